@@ -58,16 +58,16 @@ def chunk_count(n: int) -> int:
     return max(1, int(n**0.5))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, n: int, weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, n: int, weight: str | None = None, spread: Sequence[str] | None = None) -> DataFrame:
     """Add `out`: the row's place from 0 among the rows of its keys, or the sum of `weight` over the rows before it.
 
-    The order is by a hash chunk of the `order` columns and then by these; it is total and repeatable if they are
+    The order is by a hash chunk of the `spread` columns (those of `order` unless given) and then by `order`; it is total and repeatable if they are
     unique. Two levels of prefix sums (inside chunks of about sqrt(n) rows, then over the chunks) keep a key with any
     share of the rows from meeting in one task.
     """
     chunk, before = f"_{out}_chunk", f"_{out}_before"
     keys, order = list(keys), list(order)
-    cut = df.withColumn(chunk, F.pmod(F.xxhash64(*order), F.lit(chunk_count(n))).cast("int"))
+    cut = df.withColumn(chunk, F.pmod(F.xxhash64(*(spread or order)), F.lit(chunk_count(n))).cast("int"))
     size = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
     per = cut.groupBy(*keys, chunk).agg(size.alias("_size"))
     upto = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)

@@ -184,7 +184,8 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
     pieces = F.transform(F.sequence(F.lit(0), ((F.char_length("text") - 1) / chunk_chars).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")))
     cut = (
         rows.where(F.char_length("text") > chunk_chars)
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", size.alias("n_bytes"), F.explode(pieces).alias("p"))
+        .withColumn("row", F.monotonically_increasing_id())  # before the explosion, so that a text's chunks share it
+        .select("row", "doc_id", size.alias("n_bytes"), F.explode(pieces).alias("p"))
         .select("row", "doc_id", "n_bytes", "p.k", "p.chunk")
         .repartition("row", "k")
     )
