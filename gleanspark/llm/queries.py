@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm.host_rules import host_rules
+from gleanspark.llm.minhash import near_duplicates
 from gleanspark.llm.mixing import mixed
 from gleanspark.llm.packing import pack
 from gleanspark.llm.pii import personal_data
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", "source", "mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot")

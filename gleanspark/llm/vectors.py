@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import like, materialize, prepared
+from gleanspark.llm.common import few_rows_a_batch, like, materialize, prepared
 
 SCALE = 1024
 #: Pivots: half the square root of the rows, this many at most, drawn by a hash of the ids.
@@ -142,7 +142,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
 
     found_schema = "query_id long, vec_id long, score long"
     near = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    own = materialize(near.join(blocks, ["cell", "block"]).select("data", "queries").mapInArrow(solve, found_schema), "topk-own")
+    with few_rows_a_batch(spark, 16):
+        own = materialize(near.join(blocks, ["cell", "block"]).select("data", "queries").mapInArrow(solve, found_schema), "topk-own")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     reached = own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
@@ -165,6 +166,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
     total = sum(r["queries"] for r in summary)
     far_packs = routed.groupBy("cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-total // PACK_QUERIES)))).cast("int").alias("pack")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
     far = far_packs.join(F.broadcast(sizes.select("cell", "blocks")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    others = far.join(blocks, ["cell", "block"]).select("data", "queries").mapInArrow(solve, found_schema)
+    with few_rows_a_batch(spark, 16):
+        others = materialize(far.join(blocks, ["cell", "block"]).select("data", "queries").mapInArrow(solve, found_schema), "topk-others")
     merged = own.unionByName(others).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
