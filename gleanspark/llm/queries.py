@@ -11,6 +11,7 @@ from gleanspark.llm.host_rules import host_rules
 from gleanspark.llm.minhash import near_duplicates
 from gleanspark.llm.mixing import mixed
 from gleanspark.llm.packing import pack
+from gleanspark.llm.passages import repeated_passages
 from gleanspark.llm.pii import personal_data
 from gleanspark.llm.sharding import shard
 from gleanspark.llm.token_count import token_counts
@@ -53,6 +54,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
