@@ -114,3 +114,14 @@ def parcels(column: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Ids up to this many may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among `ids` (one column). Rows without an id stay."""
+    gone = materialize(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_column].cast("long") == F.col("_gone"), "left_anti")

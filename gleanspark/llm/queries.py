@@ -13,6 +13,7 @@ from gleanspark.llm.mixing import mixed
 from gleanspark.llm.packing import pack
 from gleanspark.llm.passages import repeated_passages
 from gleanspark.llm.pii import personal_data
+from gleanspark.llm.quality_model import classify
 from gleanspark.llm.sharding import shard
 from gleanspark.llm.token_count import token_counts
 from gleanspark.llm.vectors import top_k
@@ -50,6 +51,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("low_posterior", 6).alias("low_posterior"), F.round("toxic_posterior", 6).alias("toxic_posterior"), "kept")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
