@@ -175,7 +175,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, spans added from disguises that overlap none of the same kind), in code points of the text."""
+    """(plain spans, spans added from disguises that no plain one of their kind covers wholly), in code points of the text."""
     base = detect(text)
     if not _disguised(text):
         return base, []
@@ -185,7 +185,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in detect(plain):
         s, e = begin[a], end[b - 1]
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        if not any(k == kind and x <= s and e <= y for k, x, y in base):
             added.append((kind, s, e))
     return base, added
 

@@ -69,3 +69,10 @@ def test_query_rows_and_masks(spark):
     assert masked(docs).columns == docs.columns
     assert mask("abcdef", [("card", 1, 4), ("phone", 3, 5)]) == "a<CARD>f"
     assert personal_data(docs.limit(0)).count() == 0
+
+
+def test_a_plain_fragment_does_not_hide_the_disguised_whole():
+    for text, kind in (("jаne@example.com", "email"), ("jane@example.cоm", "email"), ("+44 20 7946 ００００", "phone")):
+        base, added = find(text)
+        assert len(base) == 1 and added == [(kind, 0, len(text))], (text, base, added)
+        assert mask(text, base + added) == f"<{kind.upper()}>"
