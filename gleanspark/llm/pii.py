@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import pyarrow as pa
@@ -98,7 +98,9 @@ def _glyph_set() -> frozenset[str]:
 
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "|".join(_DIGITS)
-_BRACKETED_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]")
+#: What re.I takes for the letters i and s, besides these.
+_FOLDED = str.maketrans({"ı": "i", "İ": "i", "ſ": "s"})
+_BRACKETED_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]", re.I)
 #: One rewriting step at a time, left to right: bracketed signs, bare "x at y dot z", runs of spelled digits.
 _REWRITE = re.compile(
     r"(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*)"
@@ -110,10 +112,7 @@ _REWRITE = re.compile(
     re.I,
 )
 _NUMBERS = re.compile(rf"\b(?:{_NUMBER})\b", re.I)
-
-
-_SIGN_WORD = re.compile(r"\b(?:dot|point)\b")
-_NUMBER_RUN = re.compile(rf"\b(?:{_NUMBER})[\s,-]+(?:dot[\s,-]+)?(?:{_NUMBER})\b")
+_SIGN_WORD = re.compile(r"\b(?:dot|point)\b", re.I)
 
 
 def _latin(text: str) -> bool:
@@ -125,26 +124,20 @@ def _latin(text: str) -> bool:
 
 
 def _disguised(text: str) -> bool:
-    """Whether rewriting could change what is found: a look-alike, a sign in words or brackets, two digits spelled in a row."""
+    """Whether rewriting could change the text: a look-alike, a sign in words or brackets, a spelled digit. True whenever it does."""
     if not text.isascii() and not _latin(text) and not _glyph_set().isdisjoint(text):
         return True
-    low = text.lower()
-    if ("dot" in low or "point" in low) and _SIGN_WORD.search(low) or _BRACKETED_AT.search(low):
-        return True
-    return sum(map(low.count, _DIGITS)) >= 4 and bool(_NUMBER_RUN.search(low))
+    return bool(_SIGN_WORD.search(text) or _BRACKETED_AT.search(text) or _NUMBERS.search(text))
 
 
 def rewrite(text: str) -> tuple[str, list[int], list[int]]:
     """The text without disguises, and by character of it, where its source begins and ends."""
-    table = _glyphs()
-    chars: list[str] = []
-    at: list[int] = []
-    for i, c in enumerate(text):
-        x = table.get(ord(c), c)
-        if x:
-            chars.append(x)
-            at.append(i)
-    plain = "".join(chars)
+    plain: str = text
+    at: Sequence[int] = range(len(text))
+    if not _glyph_set().isdisjoint(text):
+        table = _glyphs()
+        kept = [(x, i) for i, c in enumerate(text) if (x := table.get(ord(c), c))]
+        plain, at = "".join(x for x, _ in kept), [i for _, i in kept]
     out: list[str] = []
     begin: list[int] = []
     end: list[int] = []
@@ -152,7 +145,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
     def copy(a: int, b: int) -> None:
         out.append(plain[a:b])
         begin.extend(at[a:b])
-        end.extend(i + 1 for i in at[a:b])
+        end.extend(range(a + 1, b + 1) if isinstance(at, range) else [i + 1 for i in at[a:b]])
 
     done = 0
     for m in _REWRITE.finditer(plain):
@@ -162,7 +155,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
         copy(done, m.start())
         if kind == "digits":
             for w in _NUMBERS.finditer(m[0]):
-                out.append(_DIGITS[w[0].lower()])
+                out.append(_DIGITS[w[0].translate(_FOLDED).lower()])
                 begin.append(at[m.start() + w.start()])
                 end.append(at[m.start() + w.end() - 1] + 1)
         else:

@@ -4,7 +4,7 @@ import re
 
 from llm_docs import documents
 
-from gleanspark.llm.pii import detect, find, mask, masked, personal_data, rewrite
+from gleanspark.llm.pii import _disguised, detect, find, mask, masked, personal_data, rewrite
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -76,3 +76,17 @@ def test_a_plain_fragment_does_not_hide_the_disguised_whole():
         base, added = find(text)
         assert len(base) == 1 and added == [(kind, 0, len(text))], (text, base, added)
         assert mask(text, base + added) == f"<{kind.upper()}>"
+
+
+def test_few_spelled_digits_are_rewritten():
+    for text, kind in (("4111 1111 1111 1 one one one", "card"), ("+1 four 1 five 5 five 0 one 2 three 4", "phone")):
+        assert find(text) == ([], [(kind, 0, len(text))]), text
+
+
+def test_whatever_rewriting_changes_is_looked_at():
+    r = random.Random(8)
+    alphabet = ["one", "SIX", "ſix", "oh", "tone", " ", " ", "-", "dot", "Point", "[", "(", " at ", "]", ")", "a", "7", "é", "о", "\u00ad", "plus ", "７", "\n"]
+    for _ in range(20_000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 9)))
+        if rewrite(t)[0] != t:
+            assert _disguised(t), t
