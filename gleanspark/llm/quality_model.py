@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.common import materialize, parcels, prepared, text_of
 from gleanspark.llm.host_rules import duplicate_lines, repeated_words
+from gleanspark.llm.minhash import near_duplicates
 
 #: Labelled documents to learn from, at most, picked by a hash of their ids.
 MAX_TRAINING = 10_000
 #: Words of the lexicon of toxic words, at most, by evidence.
-MAX_LEXICON = 500
-#: A toxic word stands in so large a share of the toxic documents at least: rarer ones come with the copies of one text.
-MIN_SUPPORT = 0.08
+MAX_LEXICON = 5000
+#: Toxic documents (near copies count once) that hold a toxic word, at least.
+MIN_SUPPORT = 4
+#: Documents at the training set's rate of toxicity that are added to a word's own, so that few say less.
+PRIOR_DOCUMENTS = 2.0
 #: A posterior beyond it rejects a document.
 REJECT = 0.5
 BROADCAST_SITES = 100_000
@@ -160,12 +163,18 @@ def train(docs: DataFrame, labels: DataFrame, *, max_training: int = MAX_TRAININ
     quality = fit_logistic(x, low) if 0 < low.mean() < 1 else None
     if not 0 < bad.mean() < 1:
         return Model(quality, None, {})
-    n_bad, n_good = bad.sum(), len(bad) - bad.sum()
-    # words much more frequent among toxic documents: log-odds of their document frequencies, with enough support
-    seen = known.mapInArrow(spell, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
-    support = max(4, math.ceil(MIN_SUPPORT * n_bad))
-    odds = F.log((F.col("b") + 0.5) / (n_bad + 1)) - F.log((F.col("g") + 0.5) / (n_good + 1))
-    top = seen.where(F.col("b") >= support).withColumn("odds", odds).where("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("b")), "word").limit(MAX_LEXICON).collect()
+    # near copies of a text count once: in the words' frequencies, not in the fit
+    own = [near_duplicates(known.where(c).select("doc_id", "text")).where("kept").select("doc_id") for c in ("toxic = 1", "toxic <> 1")]
+    once = materialize(known.join(F.broadcast(own[0].union(own[1])), "doc_id", "left_semi").select(*known.columns), "quality-once")
+    n_bad, n = once.where("toxic = 1").count(), once.count()
+    rate = n_bad / n
+    # words more frequent among toxic documents than chance explains: by likelihood ratio, for as many words as are tried
+    seen = materialize(once.mapInArrow(spell, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g")), "quality-words")
+    tried = math.log(max(1, seen.where(F.col("b") >= MIN_SUPPORT).count())) + 3
+    b, g = F.col("b"), F.col("g")
+    proof = b * F.log(b / ((b + g) * rate)) + F.when(g > 0, g * F.log(g / ((b + g) * (1 - rate)))).otherwise(0.0)
+    odds = F.log((b + PRIOR_DOCUMENTS * rate) / (g + PRIOR_DOCUMENTS * (1 - rate))) - math.log(rate / (1 - rate))
+    top = seen.where(b >= MIN_SUPPORT).withColumns({"odds": odds, "proof": proof}).where((F.col("odds") > 1) & (F.col("proof") > tried)).orderBy(F.desc("proof"), "word").limit(MAX_LEXICON).collect()
     lexicon = {bytes(r["word"]): float(r["odds"]) for r in top}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

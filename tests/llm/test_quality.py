@@ -60,3 +60,21 @@ def test_sites_are_shrunk_by_their_size(spark):
     rows = [(f"h{k % 20}", "p", -4.0) for k in range(2000)] + [("bad", "p", 4.0)] * 100 + [("tiny", "p", 4.0)]
     got = {x["host"]: x["shift"] for x in site_rates(spark.createDataFrame(rows, "host string, path string, odds double"), "odds").collect()}
     assert got["bad"] > got["tiny"] > got["h0"] and got["bad"] > 3
+
+
+def test_rare_toxic_words_are_learnt(spark):
+    r = random.Random(11)
+    words, bad = [f"w{i}" for i in range(400)], [f"nasty{i}" for i in range(60)]
+    texts, rows = [], []
+    for i in range(3000):
+        w = [r.choice(words) for _ in range(80)]
+        toxic = i % 5 == 0
+        if toxic:
+            for x in r.sample(bad, 2):
+                w[r.randrange(80)] = x
+        texts.append(" ".join(w))
+        rows.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["kept"] for x in classify(documents(spark, texts), labels.where("doc_id < 2400")).collect()}
+    held = range(2400, 3000)
+    assert sum(not got[i] for i in held if i % 5 == 0) > 110 and all(got[i] for i in held if i % 5)
