@@ -97,6 +97,20 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, n
     return joined.withColumn(out, (F.col(before) + F.col("_local")).cast("long")).drop(chunk, before, "_local", "_c", *[f"_k_{k}" for k in keys])
 
 
+def range_ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Add `out`: the row's place from 0 in the order of these columns, which is total if they are unique.
+
+    Rows are dealt by ranges of the order and counted; counts of the ranges before, and the place within the range,
+    give the place among all.
+    """
+    part, before = f"_{out}_part", f"_{out}_before"
+    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    per = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    per = per.select(F.col(part), (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias(before))  # one row a range
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return dealt.withColumn("_nth", nth).join(F.broadcast(per), part).withColumn(out, (F.col(before) + F.col("_nth")).cast("long")).drop(part, before, "_nth")
+
+
 def parcels(column: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
     """The column's texts in lists of about so many characters at most (one text at least)."""
     part, size = [], 0

@@ -1,29 +1,39 @@
 """Best-fit packing of token sequences, in bulk-synchronous steps.
 
-Documents become pieces of at most `capacity` tokens. Pieces are ranked within their length, gaps are kept by size in
-runs of equal bins. Each step takes the pieces of the next smaller length, sweeps the gaps from the smallest successor
-up, matches pieces to bins by rank, opens new bins for those left over and updates the gaps. The table of runs has a
-few rows for each length, whatever the number of pieces; a piece finds its bin by its length and rank.
+Documents become pieces of at most `capacity` tokens, taken by classes of falling length. A superstep range-sorts the
+pieces of a class and the gaps of all open sequences by size and sweeps both from the largest down: a gap waits until
+a piece no larger comes, and a piece takes the gap that came last, its smallest successor. That is how brackets match,
+so a distributed prefix sum does it: a piece and a gap that meet have the same depth, and where several pieces want
+one gap, the rank at this depth decides. Then the gaps are updated. Of the pieces left over as many as must open
+sequences do so, the largest first, and the step is repeated with the others.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import materialize, parcels, prepared, ranked, text_of
+from gleanspark.llm.common import materialize, parcels, prepared, range_ranked, text_of
 
 CAPACITY = 2048
 END_ID = 0
-KEPT_WORDS = 1_000_000
+#: A worker keeps the ids of words it has met, in about so many bytes; longer words are not kept.
+KEPT_BYTES = 48 << 20
+KEPT_WORD_BYTES = 64
+#: Lengths are taken by classes: up to the whole capacity, a half of it, a third ...
+CLASSES = (1, 2, 3, 4, 8, 16, 32)
+#: Supersteps of a class in which pieces open sequences one by one; what then is left is dealt in equal numbers.
+ROUNDS = 2
 
 
 def default_tokenizer() -> str:
@@ -33,10 +43,10 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """The library's ids of whole texts, put together from those of their words.
+    """The library's ids of whole texts.
 
-    For tokenizers that drop white space between words (and change nothing across it), ASCII white space parts a
-    text into words whose ids are those that they have in the text. Any other character is left to the library.
+    Where the tokenizer drops white space between words and changes nothing across it, a text's ids are those of its
+    words, parted by ASCII white space; any other character is left to the library. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,24 +56,38 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        told = json.loads(Path(path).read_text())
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        splits = [x for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [(x["behavior"], x["invert"]) for x in splits] == [("Removed", True)] and "\\s" in splits[0]["pattern"].get("Regex", "")
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
         split = []
         for t in texts:
             raw = t.encode("utf-8", "replace")
             # ASCII case means nothing to this tokenizer, but for special strings
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        if len(self.known) > KEPT_WORDS:
+        if self.size > KEPT_BYTES:
             self.known.clear()
+            self.size = 0
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
             found = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > KEPT_WORD_BYTES:
+                del self.known[w]
+            else:
+                self.size += 200 + len(w)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -71,19 +95,20 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """row, doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", order_column: str | None = None) -> DataFrame:
+    """row, doc_id, piece, start, length, ids_crc32 of every piece of every row; row: the order column, or any number."""
     prepared(docs.sparkSession)
     path = tokenizer or default_tokenizer()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
+    row = F.col(order_column).cast("long") if order_column else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = word_ids(path)
         for b in batches:
-            of, piece, start, length, crc = [], [], [], [], []
             i = 0
             for part in parcels(b.column(2)):
+                of, piece, start, length, crc = [], [], [], [], []
                 for raw in w.ids(part):
                     whole = raw + end
                     for k, a in enumerate(range(0, len(whole), 4 * capacity)):
@@ -94,87 +119,109 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
                     i += 1
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                at = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
+                    names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
-    return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length int, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, first bin, pieces a bin, offset of a bin's first) and the number of bins.
+def sweep(items: DataFrame, gaps: DataFrame, *, high: int, low: int, slots: int, chunks: int) -> DataFrame:
+    """One superstep. items: id, length (low < length <= high); gaps: bin, gap. Returns kind, ref, size, gap, level, mate, mate_size.
 
-    counts: how many pieces each length has. A step's pieces go to the smallest gap that holds one, and stay with that
-    bin while it holds another: no gap between would be smaller.
+    Rows of kind 0 are gaps, or their slots: one for each `high` tokens of a gap, `slots` at most, and the rest of it if
+    it may hold a piece. Rows of kind 1 are pieces; mate is the bin a piece goes to. Pieces without a mate have the
+    levels 0, -1, -2 ... by falling length. Each of a gap's slots is matched with one piece at most.
+
+    Rows of one size are cut into `chunks` by a hash; sums over the chunks and ranks inside them give a row's depth.
     """
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of (first bin, bins)
-    bins = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        new: list[tuple[int, int, int]] = []  # gaps after this step: size, first bin, bins
-
-        def put(gap: int, first: int, many: int, length: int = length, new: list[tuple[int, int, int]] = new) -> int:
-            """Put pieces into `many` bins with this gap; returns how many bins got some."""
-            nonlocal left, rank
-            each = gap // length
-            full = min(many, left // each)
-            if full:
-                runs.append((length, rank, first, each, capacity - gap))
-                rank, left = rank + full * each, left - full * each
-                new.append((gap - each * length, first, full))
-            if full < many and left:
-                runs.append((length, rank, first + full, left, capacity - gap))
-                new.append((gap - left * length, first + full, 1))
-                rank, left, full = rank + left, 0, full + 1
-            return full
-
-        for gap in sorted(g for g in gaps if g >= length):
-            if not left:
-                break
-            rest = []
-            for first, many in gaps.pop(gap):
-                used = put(gap, first, many) if left else 0
-                if used < many:
-                    rest.append((first + used, many - used))
-            if rest:
-                gaps[gap] = rest
-        if left:
-            many = -(-left // (capacity // length))
-            put(capacity, bins, many)
-            bins += many
-        for gap, first, many in new:
-            if gap:
-                gaps.setdefault(gap, []).append((first, many))
-    return runs, bins
-
-
-def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    whole = F.least(F.floor(F.col("gap") / high), F.lit(slots)).cast("int")
+    rest = F.col("gap") - whole * high
+    rest = F.when((rest > low) & (rest < high), F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>"))
+    opened = gaps.where(F.col("gap") > low).select(F.lit(0).alias("kind"), F.col("bin").alias("ref"), F.explode(F.concat(F.array_repeat(F.lit(high), whole), rest)).alias("size"), F.col("gap").cast("int").alias("gap"))
+    closed = items.select(F.lit(1).alias("kind"), F.col("id").alias("ref"), F.col("length").cast("int").alias("size"), F.lit(0).alias("gap"))
+    chunk = ["size", "kind", "gap", "chunk"]
+    events = opened.unionByName(closed).withColumn("chunk", F.pmod(F.xxhash64("ref"), F.lit(chunks)).cast("int"))
+    per = events.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(F.desc("size"), "kind", F.desc("gap"), "chunk")
+    per = per.withColumn("at", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*chunk).orderBy("ref"))
+    placed = events.withColumn("nth", nth).join(per.drop("n"), chunk)
+    level = F.when(F.col("kind") == 0, F.col("before") + F.col("nth")).otherwise(F.col("before") - F.col("nth") + 1)
+    by_level = Window.partitionBy("level").orderBy("at")
+    met = placed.withColumn("level", level)
+    met = met.withColumns({"prev_kind": F.lag("kind").over(by_level), "prev_ref": F.lag("ref").over(by_level), "next_kind": F.lead("kind").over(by_level), "next_size": F.lead("size").over(by_level)})
+    mate = F.when((F.col("kind") == 1) & (F.col("prev_kind") == 0), F.col("prev_ref"))
+    mate_size = F.when((F.col("kind") == 0) & (F.col("next_kind") == 1), F.col("next_size"))
+    return met.select("kind", "ref", "size", "gap", "level", mate.alias("mate"), mate_size.alias("mate_size"))
+
+
+def best_fit(items: DataFrame, capacity: int) -> DataFrame:
+    """items: id, length (1 to capacity). Returns id, bin: no bin's lengths sum up to more than capacity; a bin is named by an item in it."""
+    spark = items.sparkSession
+    bounds = sorted({capacity // c for c in CLASSES if capacity // c} | {0}, reverse=True)
+    of_class = F.lit(len(bounds) - 2)
+    for k in range(len(bounds) - 2, -1, -1):
+        of_class = F.when(F.col("length") > bounds[k + 1], F.lit(k)).otherwise(of_class)
+    counts = {r["class"]: r["n"] for r in items.groupBy(of_class.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed: list[DataFrame] = []
+    bins = spark.createDataFrame([], "bin long, gap int")
+    n_bins = 0
+    for k, (high, low) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        left, n, rounds = items.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length"), counts.get(k, 0), 0
+        most, deal = capacity // (low + 1), capacity // high
+        while n:
+            wide = bins.where(F.col("gap") > low).count() if n_bins else 0
+            chunks = max(1, int((n + wide) ** 0.5) // 256)
+            step = sweep(left, bins, high=high, low=low, slots=max(1, -(-2 * n // max(1, wide))), chunks=chunks)
+            step = materialize(step, "pack-step")
+            pieces_left = step.where("kind = 1 and mate is null")
+            n, tokens = pieces_left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+            placed.append(step.where("kind = 1 and mate is not null").select(F.col("ref").alias("id"), F.col("mate").alias("bin")))
+            used = step.where("kind = 0").groupBy(F.col("ref").alias("bin")).agg((F.max("gap") - F.coalesce(F.sum("mate_size"), F.lit(0))).cast("int").alias("gap"))
+            now = bins.where(F.col("gap") <= low).unionByName(used)
+            ranked_left = pieces_left.select(F.col("ref").alias("id"), F.col("size").alias("length"), (-F.col("level")).alias("rank"))
+            rounds += 1
+            if n and (rounds > ROUNDS or deal == most):
+                # so many in each new sequence that they fit whatever their lengths are
+                group = Window.partitionBy(F.floor(F.col("rank") / deal)).orderBy("rank")
+                dealt = materialize(ranked_left.select("id", "length", F.first("id").over(group).alias("bin")), "pack-dealt")
+                placed.append(dealt.select("id", "bin"))
+                now = now.unionByName(dealt.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("gap")))
+                n_bins, n = n_bins + -(-n // deal), 0
+            elif n:
+                must = min(n, max(-(-tokens // capacity), -(-n // most)))
+                openers = ranked_left.where(F.col("rank") < must)
+                placed.append(openers.select("id", F.col("id").alias("bin")))
+                now = now.unionByName(openers.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap")))
+                n_bins, n = n_bins + must, n - must
+                left = ranked_left.where(F.col("rank") >= must).select("id", "length")
+            bins = materialize(now.where("gap > 0"), "pack-bins")
+    return reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], "id long, bin long")
+
+
+def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", order_column: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
-    A row's tokens are its text's ids (null: none) and the end id 0; only rows longer than `capacity` are cut. Rows
-    that repeat are packed each. An empty table gives no rows; other columns are not looked at.
+    A row's tokens are its text's ids (null: none) and the end id 0; only rows longer than `capacity` are cut, wherever
+    in the text that is, however long it is. Rows that repeat are packed each; pieces of equal length go in the order
+    of a number of their own. An empty table gives no rows; other columns are not looked at.
+
+    order_column: a column with a different whole number for each row. Sequences are then numbered from 0 in the order
+    of the rows whose pieces opened them, so that who reads sequence after sequence meets the rows' order.
     """
-    cut = materialize(pieces(docs, tokenizer=tokenizer, capacity=capacity, id_column=id_column, text_column=text_column), "pack-pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs, _ = best_fit(counts, capacity)
-    # by length and first rank: where a piece's run stands
-    key = np.array([(x[0] << 44) + x[1] for x in runs], np.int64)
-    order = np.argsort(key)
-    key = key[order]
-    table = np.array([x[1:] for x in runs], np.int64).reshape(-1, 4)[order]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
-            run = table[np.searchsorted(key, (length << 44) + rank, side="right") - 1]
-            turn, slot = np.divmod(rank - run[:, 0], run[:, 2])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(run[:, 1] + turn), pa.array(run[:, 3] + slot * length)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    by_rank = ranked(cut, ["length"], ["row", "piece"], "rank", sum(counts.values()))
-    return by_rank.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    cut = pieces(docs, tokenizer=tokenizer, capacity=capacity, id_column=id_column, text_column=text_column, order_column=order_column)
+    cut = materialize(cut.withColumn("id", F.monotonically_increasing_id()), "pack-pieces")
+    binned = cut.join(best_fit(cut.select("id", "length"), capacity), "id")
+    inside = Window.partitionBy("bin").orderBy("row", "piece", "id")
+    offset = F.coalesce(F.sum(F.col("length").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = binned.withColumn("offset", offset.cast("long"))
+    if order_column:
+        opened = materialize(cut.select("id", "row", "piece").join(binned.select(F.col("bin").alias("id")).distinct(), "id"), "pack-opened")
+        numbered = range_ranked(opened, ["row", "piece", "id"], "sequence_id").select(F.col("id").alias("bin"), "sequence_id")
+        out = out.join(numbered, "bin")
+    else:
+        out = out.withColumn("sequence_id", F.col("bin"))
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

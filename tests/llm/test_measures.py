@@ -1,12 +1,14 @@
+import bisect
 import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 import zlib
 from tokenizers import Tokenizer
 
 from gleanspark.llm.host_rules import host_rules, host_verdicts
-from gleanspark.llm.packing import best_fit, pack
+from gleanspark.llm.packing import best_fit, pack, sweep
 from gleanspark.llm.sharding import longest_first, shard
 from gleanspark.llm.token_count import CountTransducer, default_tokenizer, token_counts
 
@@ -104,21 +106,42 @@ def test_shards(docs, empty, texts):
     assert shard(empty).count() == 0
 
 
-def test_best_fit_by_counts_is_best_fit_by_pieces():
+def plain_best_fit(lengths, cap):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else cap) - n)
+    return len(gaps)
+
+
+def test_supersteps_need_as_few_sequences_as_plain_best_fit(spark):
     rng = np.random.default_rng(5)
-    for _ in range(50):
-        cap = 50
-        lengths = sorted(rng.integers(1, cap + 1, 120).tolist(), reverse=True)
-        bins = []
-        for n in lengths:
-            fit = min((g for g in bins if g >= n), default=None)
-            if fit is None:
-                bins.append(cap - n)
-            else:
-                bins[bins.index(fit)] -= n
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        runs, made = best_fit(counts, cap)
-        assert made == len(bins)
+    for lengths, cap in [(rng.integers(1, 51, 120), 50), (np.minimum(2048, rng.lognormal(6, 1, 6000).astype(int) + 1), 2048), (np.repeat([700, 90, 1], [900, 100, 500]), 2048), (np.array([3] * 40), 2)]:
+        lengths = np.minimum(lengths, cap).tolist()
+        items = spark.createDataFrame(list(enumerate(lengths)), "id long, length int")
+        got = {r["id"]: r["bin"] for r in best_fit(items, cap).collect()}
+        assert sorted(got) == list(range(len(lengths)))
+        load = {}
+        for i, b in got.items():
+            load[b] = load.get(b, 0) + lengths[i]
+        assert max(load.values()) <= cap
+        assert len(load) <= plain_best_fit(lengths, cap) * 1.01 + 1
+
+
+def test_a_sweep_gives_each_piece_the_smallest_gap_left(spark):
+    r = np.random.default_rng(4)
+    for _ in range(4):
+        lengths, gaps = r.integers(33, 65, 25).tolist(), r.integers(20, 64, 25).tolist()
+        items = spark.createDataFrame(list(enumerate(lengths)), "id long, length int")
+        holes = spark.createDataFrame([(100 + i, g) for i, g in enumerate(gaps)], "bin long, gap int")
+        rows = [x for x in sweep(items, holes, high=64, low=32, slots=9, chunks=int(r.integers(1, 4))).collect() if x["kind"] == 1]
+        left, want = sorted(g for g in gaps if g > 32), []
+        for n in sorted(lengths, reverse=True):
+            k = bisect.bisect_left(left, n)
+            want.append((n, left.pop(k) if k < len(left) else None))
+        key = lambda x: (x[0], x[1] or 0)
+        assert sorted(((x["size"], gaps[x["mate"] - 100] if x["mate"] is not None else None) for x in rows), key=key) == sorted(want, key=key)
+        assert sorted(-x["level"] for x in rows if x["mate"] is None) == list(range(sum(b is None for _, b in want)))
 
 
 def test_packing_is_whole_and_tight(docs, empty, texts):
@@ -141,3 +164,10 @@ def test_packing_is_whole_and_tight(docs, empty, texts):
         assert all(r["start"] == 128 * r["piece"] and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
     assert len(seqs) <= -(-sum(r["length"] for r in rows) // 128) * 1.05 + 1
     assert pack(empty).count() == 0
+    # numbered in the order of the rows whose pieces opened the sequences
+    rows = pack(docs.withColumn("at", 1000 - F.col("doc_id")), capacity=128, order_column="at").collect()
+    number = {}
+    for r in rows:
+        number.setdefault(r["sequence_id"], []).append((1000 - r["doc_id"], r["piece"]))
+    assert sorted(number) == list(range(len(seqs)))
+    assert all(any(a <= b for a in number[k] for b in number[k + 1]) for k in range(len(seqs) - 1))
