@@ -1,25 +1,27 @@
 """Token counts by a compiled finite-state transducer.
 
-The tokenizer is compiled into a deterministic transducer that reads a text word by word (white space and what
-follows it up to the next white space). Each transition is labelled with the number of tokens that it emits; a
-transition is compiled, with the library itself, when its word is first met, and kept. Where white space follows
-other text, the byte-level pretokenizer always begins a new pretoken, so its state is the same whatever came before:
-there the transducer synchronises, and counts on both sides add up.
-
-A text longer than `chunk_chars` is cut into chunks that are counted apart, on any executor. A chunk's state map is
-(what precedes its first synchronising place, tokens between, what follows its last one): all that the chunk does to
-any state that enters it. Maps compose associatively; a text's chunks are composed by a prefix scan of pairs.
+The merges of a byte-level BPE tokenizer are compiled into a deterministic transducer over bytes. A state says how far
+the bytes read reach into the tokens (the longest suffix that begins one) and which token would end at each place
+there; a transition adds the difference that its byte makes to the number of tokens, which may be negative where bytes
+merge. This is exact, as a sequence of tokens is what the merges give if each two neighbours are what the merges give
+for these two alone. States are made when they are first reached, so that only those that texts lead to exist.
+
+A text longer than `chunk_chars` is cut into chunks that are counted apart, on any executor. White space that follows
+anything else always begins a new word of the tokenizer: there the transducer starts anew whatever came before. A
+chunk's state map is (what precedes its first such place, tokens between, what follows its last one): all that the
+chunk does to any state that enters it. Maps compose associatively; a text's chunks are composed by a scan of pairs.
 """
 
 from __future__ import annotations
 
-import os
-import re
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,15 @@ from gleanspark.llm.common import parcels, prepared, text_of
 
 MAX_TOKENS = 512
 CHUNK_CHARS = 65_536
-#: Transitions kept by a worker before it starts anew: a bound on memory, not on what is counted.
-KEPT_TRANSITIONS = 1_000_000
+#: Bounds on a worker's memory, not on what is counted: states, and bytes of words whose counts are kept.
+KEPT_STATES = 50_000
+KEPT_BYTES = 48 << 20
+KEPT_WORD_CHARS = 64
 
-_WORDS = re.compile(r"\s*\S+|\s+")
-_TWO_SPACES = re.compile(r"\s\s")
-#: White space for Python but not for the tokenizer's patterns.
-_ODD = re.compile("[\x1c-\x1f]")
-_SYNC = re.compile(r"(?<=\S)\s")
+# What the tokenizer takes for white space, and its pattern of words (fixed values).
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_SYNC = regex.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
 
 
 def default_tokenizer() -> str:
@@ -43,66 +46,135 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def _byte_of() -> dict[str, int]:
+    """The byte that a character of the vocabulary stands for: printable ones themselves, the others by 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class CountTransducer:
-    """Counts tokens as the library does for a byte-level tokenizer without normalizer."""
+    """Counts tokens as the library does for a byte-level BPE tokenizer without normalizer."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        if any(re.search(r"\s", s) for s in self.special):
-            raise ValueError("a special string with white space can't be cut out word by word")
-        self.first: dict[str, int] = {}
-        self.after_space: dict[str, int] = {}
-
-    def by_library(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _compile(self, table: dict[str, int], words: set[str], prefix: str) -> None:
-        if len(table) > KEPT_TRANSITIONS:
-            table.clear()
-        new = list(words.difference(table))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            table.update(zip(part, self.by_library([prefix + w for w in part]), strict=True))
+        told = json.loads(Path(path).read_text())
+        model, pre = told["model"], told["pre_tokenizer"] or {}
+        if told["normalizer"] or model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
+            raise ValueError("only byte-level BPE without normalizer and prefix space is compiled")
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            raise ValueError("a model option is not supported")
+        of = _byte_of()
+        raw = lambda token: bytes(of[c] for c in token)
+        self.special = [t["content"] for t in told["added_tokens"]]
+        if any(_SYNC.search(f"x{s}") or t["lstrip"] or t["rstrip"] or t["single_word"] for s, t in zip(self.special, told["added_tokens"], strict=True)):
+            raise ValueError("a special string with white space or conditions can't be cut out")
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.tokens = {raw(t) for t in model["vocab"] if t not in self.special}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.prefixes = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.known: dict[str, int] = {}
+        self.size = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        """Only the start state: nothing read, no token ends there, no tokens counted."""
+        start = (b"", (None,), (0,))
+        self.states = {start: 0}
+        self.about = [start]
+        self.after: list[dict[int, tuple[int, int]]] = [{}]
+
+    def merged(self, raw: bytes) -> list[bytes]:
+        """The tokens that the merges make of a few bytes."""
+        parts = [raw[k : k + 1] for k in range(len(raw))]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), len(self.rank)))
+            if (parts[best], parts[best + 1]) not in self.rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    def _fit(self, a: bytes, b: bytes) -> bool:
+        """Whether token b can follow token a; a empty: whether b is made at all."""
+        found = self.fits.get((a, b))
+        if found is None:
+            if len(self.fits) > 4 * KEPT_STATES:
+                self.fits.clear()
+            found = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return found
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state by a byte: the next state, and the tokens it adds."""
+        suffix, last, count = self.about[state]
+        grown = suffix + bytes([byte])
+        # last[k] ends, and count[k] tokens (compared with now) stand, before the k-th byte of the suffix
+        reach = len(grown)
+        while reach and grown[-reach:] not in self.prefixes:
+            reach -= 1
+        for n in range(reach, 0, -1):
+            token = grown[-n:]
+            before = last[len(grown) - n]
+            if token in self.tokens and self._fit(b"", token) and (before is None or self._fit(before, token)):
+                break
+        else:
+            raise ValueError(f"no token for byte {byte}")
+        now = count[len(grown) - n] + 1
+        at = len(grown) - reach
+        new = (grown[at:], (*last[at:], token), (*(c - now for c in count[at:]), 0))
+        to = self.states.get(new)
+        if to is None:
+            to = self.states[new] = len(self.about)
+            self.about.append(new)
+            self.after.append({})
+        self.after[state][byte] = (to, now)
+        return to, now
+
+    def walk(self, word: str) -> int:
+        """Tokens of one word of the tokenizer."""
+        if len(self.about) > KEPT_STATES:
+            self._clear()
+        state = n = 0
+        after = self.after
+        for byte in word.encode("utf-8", "replace"):
+            step = after[state].get(byte)
+            state, more = step if step is not None else self._compile(state, byte)
+            n += more
+        return n
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text. Texts with special strings or odd control characters go to the library whole."""
-        out = [0] * len(texts)
-        spaced, plain, whole = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if any(s in t for s in self.special) or _ODD.search(t):
-                whole.append(i)
-            elif _TWO_SPACES.search(t):
-                plain.append((i, _WORDS.findall(t)))
-            else:
-                spaced.append((i, t.split(" ")))
-        if whole:
-            for i, n in zip(whole, self.by_library([texts[i] for i in whole]), strict=True):
-                out[i] = n
-        # words that begin the text or bring their own white space
-        needed = set(chain.from_iterable(w for _, w in plain))
-        needed.update(w[0] for _, w in spaced)
-        self._compile(self.first, needed, "")
-        self._compile(self.after_space, set(chain.from_iterable(w[1:] for _, w in spaced)), " ")
-        for i, w in plain:
-            out[i] = sum(map(self.first.__getitem__, w))
-        get = self.after_space.__getitem__
-        for i, w in spaced:
-            out[i] = self.first[w[0]] + sum(map(get, w[1:]))
+        """Tokens of each text; a special string is one token."""
+        if self.size > KEPT_BYTES:
+            self.known.clear()
+            self.size = 0
+        known, out = self.known, []
+        for t in texts:
+            n, parts = 0, [t]
+            if self.cut and any(s in t for s in self.special):
+                parts = self.cut.split(t)
+                n = len(parts) - 1
+            for part in parts:
+                words = _WORDS.findall(part)
+                try:
+                    n += sum(map(known.__getitem__, words))
+                except KeyError:
+                    for w in words:
+                        k = known.get(w)
+                        if k is None:
+                            k = self.walk(w)
+                            if len(w) <= KEPT_WORD_CHARS:
+                                known[w] = k
+                                self.size += 150 + len(w)
+                        n += k
+            out.append(n)
         return out
 
     def state_map(self, chunk: str) -> tuple[str, int, str | None]:
         """(head, tokens between, tail); tail None if no place synchronises and the head is all."""
         # the special strings hold no white space (checked when compiled), so no synchronising place is inside one
         first = _SYNC.search(chunk)
-        if not first or _ODD.search(chunk):
+        if not first:
             return chunk, 0, None
         begin = first.start()
         last = begin
@@ -129,7 +201,7 @@ class CountTransducer:
         """The map of joined fragments; started: their first character is a synchronising place."""
         if not started:
             return self.state_map(text)
-        cut = [m.start() for m in _SYNC.finditer(text)] if not _ODD.search(text) else []
+        cut = [m.start() for m in _SYNC.finditer(text)]
         return ("", self.counts([text[: cut[-1]]])[0], text[cut[-1] :]) if cut else ("", 0, text)
 
     def total(self, maps: list[tuple[str, int, str | None]]) -> int:
@@ -149,8 +221,9 @@ def transducer(path: str) -> CountTransducer:
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, chunk_chars: int = CHUNK_CHARS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are counted row by row; other columns
-    are not looked at; an empty table gives no rows. tokenizer: path of a file that the executors can read too.
+    Null and empty texts have 0 bytes and 0 tokens; texts of any length are counted whole; repeated rows and null ids are
+    counted row by row; other columns are not looked at; an empty table gives no rows. tokenizer: path of a byte-level
+    BPE file that the executors can read too.
     """
     prepared(docs.sparkSession)
     path = tokenizer or default_tokenizer()
@@ -163,12 +236,23 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
             n = list(chain.from_iterable(map(t.counts, parcels(b.column(1)))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in enumerate(b.column(3)):
+                t = x.as_py()
+                n = -(-len(t) // chunk_chars)
+                for a in range(0, n, 16):
+                    k = range(a, min(n, a + 16))
+                    at = pa.array([i] * len(k), pa.int64())
+                    chunks = pa.array([t[j * chunk_chars : (j + 1) * chunk_chars] for j in k], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(k, pa.int32()), chunks], names=["row", "doc_id", "n_bytes", "k", "chunk"])
+
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for b in batches:
-            m = [t.state_map(x) for x in b.column(4).to_pylist()]
+            m = [t.state_map(x.as_py()) for x in b.column(4)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array([x[0] for x in m], pa.string()), pa.array([x[1] for x in m], pa.int64()), pa.array([x[2] for x in m], pa.string())],
+                [*b.columns[:4], pa.array([x[0] for x in m], pa.string()), pa.array([x[1] for x in m], pa.int64()), pa.array([x[2] for x in m], pa.string())],
                 names=["row", "doc_id", "n_bytes", "k", "head", "n", "tail"],
             )
 
@@ -181,14 +265,8 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
     out = "doc_id long, n_bytes long, n_tokens long"
     small = rows.where(F.char_length("text") <= chunk_chars).select("doc_id", "text", size.alias("n_bytes")).mapInArrow(short, out)
     # chunks of long texts go to as many tasks as there are; their maps are small and meet again by row
-    pieces = F.transform(F.sequence(F.lit(0), ((F.char_length("text") - 1) / chunk_chars).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")))
-    cut = (
-        rows.where(F.char_length("text") > chunk_chars)
-        .withColumn("row", F.monotonically_increasing_id())  # before the explosion, so that a text's chunks share it
-        .select("row", "doc_id", size.alias("n_bytes"), F.explode(pieces).alias("p"))
-        .select("row", "doc_id", "n_bytes", "p.k", "p.chunk")
-        .repartition("row", "k")
-    )
-    mapped = cut.mapInArrow(maps, "row long, doc_id long, n_bytes long, k int, head string, n long, tail string")
+    whole = rows.where(F.char_length("text") > chunk_chars).select(F.monotonically_increasing_id().alias("row"), "doc_id", size.alias("n_bytes"), "text")
+    chunks = whole.mapInArrow(cut, "row long, doc_id long, n_bytes long, k int, chunk string").repartition("row", "k")
+    mapped = chunks.mapInArrow(maps, "row long, doc_id long, n_bytes long, k int, head string, n long, tail string")
     long = mapped.groupBy("row", "doc_id", "n_bytes").agg(F.collect_list(F.struct("k", "head", "n", "tail")).alias("maps")).select("doc_id", "n_bytes", "maps").mapInArrow(scan, out)
     return small.unionByName(long).withColumn("over_limit", F.col("n_tokens") > max_tokens)
