@@ -15,6 +15,7 @@ chunk does to any state that enters it. Maps compose associatively; a text's chu
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import chain
@@ -29,15 +30,18 @@ from gleanspark.llm.common import parcels, prepared, text_of
 
 MAX_TOKENS = 512
 CHUNK_CHARS = 65_536
-#: Bounds on a worker's memory, not on what is counted: states, and bytes of words whose counts are kept.
-KEPT_STATES = 50_000
-KEPT_BYTES = 48 << 20
+#: Bounds on a worker's memory, not on what is counted: states, and bytes of words (with the space before them) whose counts are kept.
+KEPT_STATES = 120_000
+KEPT_BYTES = 64 << 20
 KEPT_WORD_CHARS = 64
 
 # What the tokenizer takes for white space, and its pattern of words (fixed values).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_SYNC = regex.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
+_SYNC = re.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
+#: What lies between two places where the transducer starts anew.
+_UNITS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_TWO_SPACES = re.compile(rf"[{_SPACE}][{_SPACE}]")
 
 
 def default_tokenizer() -> str:
@@ -73,15 +77,19 @@ class CountTransducer:
         self.tokens = {raw(t) for t in model["vocab"] if t not in self.special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        #: by token its merge: rank, left part, right part
+        self.made = {a + b: (k, a, b) for (a, b), k in self.rank.items()}
         self.prefixes = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.own: dict[bytes, bool] = {}
         self.known: dict[str, int] = {}
         self.size = 0
         self._clear()
 
     def _clear(self) -> None:
         """Only the start state: nothing read, no token ends there, no tokens counted."""
-        start = (b"", (None,), (0,))
+        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.ends: dict[bytes, tuple[int, list[bytes]]] = {}
+        start = (b"", (b"",), (0,))
         self.states = {start: 0}
         self.about = [start]
         self.after: list[dict[int, tuple[int, int]]] = [{}]
@@ -97,32 +105,58 @@ class CountTransducer:
         return parts
 
     def _fit(self, a: bytes, b: bytes) -> bool:
-        """Whether token b can follow token a; a empty: whether b is made at all."""
+        """Whether the merges of a + b never cross from a to b, for two tokens that the merges make of their bytes.
+
+        Seen backwards in time: what stands on both sides of the border is taken apart, the later merge first. A merge of
+        both sides prevents it if its rank comes before the one that took a side away (equal ranks go from the left).
+        """
         found = self.fits.get((a, b))
-        if found is None:
-            if len(self.fits) > 4 * KEPT_STATES:
-                self.fits.clear()
-            found = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
+        if found is not None:
+            return found
+        x, y, limit = a, b, len(self.rank)
+        byte = (-1, b"", b"")
+        while (rank := self.rank.get((x, y))) is None or rank >= limit:
+            of_x, of_y = self.made.get(x, byte), self.made.get(y, byte)
+            if of_x[0] < 0 and of_y[0] < 0:
+                self.fits[a, b] = True
+                return True
+            if of_x[0] > of_y[0]:
+                limit, x = of_x[0], of_x[2]
+            else:
+                limit, y = of_y[0] + 1, of_y[1]
+        self.fits[a, b] = False
+        return False
+
+    def _reach(self, grown: bytes) -> tuple[int, list[bytes]]:
+        """How many last bytes begin a token, and the tokens that end here, longest first."""
+        reach = len(grown)
+        while reach and grown[-reach:] not in self.prefixes:
+            reach -= 1
+        ends = []
+        for n in range(reach, 0, -1):
+            if (token := grown[-n:]) in self.tokens:
+                if token not in self.own:
+                    self.own[token] = self.merged(token) == [token]
+                if self.own[token]:
+                    ends.append(token)
+        self.ends[grown] = reach, ends
+        return reach, ends
 
     def _compile(self, state: int, byte: int) -> tuple[int, int]:
         """The transition of a state by a byte: the next state, and the tokens it adds."""
         suffix, last, count = self.about[state]
         grown = suffix + bytes([byte])
+        reach, ends = self.ends.get(grown) or self._reach(grown)
         # last[k] ends, and count[k] tokens (compared with now) stand, before the k-th byte of the suffix
-        reach = len(grown)
-        while reach and grown[-reach:] not in self.prefixes:
-            reach -= 1
-        for n in range(reach, 0, -1):
-            token = grown[-n:]
-            before = last[len(grown) - n]
-            if token in self.tokens and self._fit(b"", token) and (before is None or self._fit(before, token)):
+        for token in ends:
+            before = last[len(grown) - len(token)]
+            if not before or self._fit(before, token):
                 break
         else:
             raise ValueError(f"no token for byte {byte}")
-        now = count[len(grown) - n] + 1
+        now = count[len(grown) - len(token)] + 1
         at = len(grown) - reach
-        new = (grown[at:], (*last[at:], token), (*(c - now for c in count[at:]), 0))
+        new = (grown[at:], (*last[at:], token), (*[c - now for c in count[at:]], 0))
         to = self.states.get(new)
         if to is None:
             to = self.states[new] = len(self.about)
@@ -143,31 +177,40 @@ class CountTransducer:
             n += more
         return n
 
+    def _unit(self, unit: str) -> int:
+        n = sum(map(self.walk, _WORDS.findall(unit)))
+        if len(unit) <= KEPT_WORD_CHARS:
+            self.known[unit] = n
+            self.size += 150 + len(unit)
+        return n
+
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special strings: its units are counted apart."""
+        if _TWO_SPACES.search(text):
+            units = _UNITS.findall(text)
+        else:
+            first, *rest = text.split(" ")
+            units = [" " + x for x in rest]
+            if first:
+                units.append(first)
+        known = self.known
+        try:
+            return sum(map(known.__getitem__, units))
+        except KeyError:
+            return sum(known[u] if u in known else self._unit(u) for u in units)
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special string is one token."""
         if self.size > KEPT_BYTES:
             self.known.clear()
             self.size = 0
-        known, out = self.known, []
+        out = []
         for t in texts:
-            n, parts = 0, [t]
             if self.cut and any(s in t for s in self.special):
                 parts = self.cut.split(t)
-                n = len(parts) - 1
-            for part in parts:
-                words = _WORDS.findall(part)
-                try:
-                    n += sum(map(known.__getitem__, words))
-                except KeyError:
-                    for w in words:
-                        k = known.get(w)
-                        if k is None:
-                            k = self.walk(w)
-                            if len(w) <= KEPT_WORD_CHARS:
-                                known[w] = k
-                                self.size += 150 + len(w)
-                        n += k
-            out.append(n)
+                out.append(len(parts) - 1 + sum(map(self._plain, parts)))
+            else:
+                out.append(self._plain(t))
         return out
 
     def state_map(self, chunk: str) -> tuple[str, int, str | None]:
