@@ -1,8 +1,10 @@
 """Personal data with its exact place, plain or disguised.
 
-A transducer rewrites a text: look-alike characters become the ASCII ones they imitate, invisible ones vanish,
-"[at]" and "dot" disguises become signs, spelled digits become digits. It keeps, for each character that it emits,
-the source characters this came from, so what the detectors find in the rewritten text maps back to the source.
+Two transducers rewrite a text from left to right. The first one maps characters: look-alikes to the ASCII ones that
+they imitate, other digits, spaces and dashes to the plain ones, invisible ones to nothing. The second one maps words:
+spelled digits to digits, "[at]", " at ", "_dot_" and the like to signs. Each keeps, for every stretch that it emits,
+the stretch of its input that this came from, so what the detectors find in the rewritten text maps back to the source.
+Both take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -70,116 +73,217 @@ def detect(text: str) -> list[Span]:
     return found
 
 
-# Letters that look like the Latin ones below them.
-_LOOKS = "аеорсухіјѕԁһкмтвнАВЕКМНОРСТХІЈЅαορντικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-_LIKE = "aeopcyxijsdhkmtbhABEKMHOPCTXIJSaopvtikABEZHIKMNOPTYX"
-_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+# Letters that look like a Latin one (Cyrillic, Greek, Armenian, Cherokee).
+_LOOK_ALIKES = {
+    "a": "аα", "b": "Ь", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "іιıɩ", "j": "јϳ", "k": "кκ", "m": "м", "n": "ոп", "o": "оοօ", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ", "t": "тτ", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγү",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟ", "E": "ЕΕᎬ", "G": "Ԍ", "H": "НΗᎻ", "I": "ІΙӀİ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "Ꮩ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥУ", "Z": "ΖᏃ",
+}
+_SIGNS = frozenset("@.+-_%()[]{}<>,")
 
 
 @cache
-def _glyphs() -> dict[int, str]:
-    """What each disguised character stands for."""
-    table = {ord(a): b for a, b in zip(_LOOKS, _LIKE, strict=True)} | {ord(c): "" for c in _INVISIBLE}
-    ranges = ((0x660, 0x66A), (0x6F0, 0x6FA), (0x966, 0x970), (0x2460, 0x2469), (0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0xFE52, 0xFE6C), (0x2024, 0x2025))
-    for a, b in ranges:
-        for c in range(a, b):
-            x = unicodedata.normalize("NFKC", chr(c))
-            if len(x) != 1 or not x.isascii():
-                x = str(unicodedata.digit(chr(c), "")) or ""
-            if x:
-                table[c] = x
-    return table
+def _glyphs() -> dict[str, str]:
+    """What each disguised character stands for: compatibility forms, digits, spaces, dashes, invisible ones, look-alikes."""
+    table = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        kind = unicodedata.category(c)
+        if kind in ("Cn", "Lo", "So") and not 0x2460 <= ord(c) < 0x2500 and not 0x1F100 <= ord(c) < 0x1F200:
+            continue
+        x = unicodedata.normalize("NFKC", c)
+        if kind == "Cf":
+            table[c] = ""
+        elif kind == "Zs":
+            table[c] = " "
+        elif kind == "Pd" or c == "\u2212":
+            table[c] = "-"
+        elif (d := unicodedata.digit(c, None)) is not None:
+            table[c] = str(d)
+        elif x.isascii() and (x in _SIGNS or (x.isalnum() and (len(x) == 1 or kind in ("Nl", "No")))):
+            table[c] = x
+    return table | {"\u3002": ".", "\uff61": "."} | {c: latin for latin, alike in _LOOK_ALIKES.items() for c in alike}
 
 
 @cache
-def _glyph_set() -> frozenset[str]:
-    return frozenset(map(chr, _glyphs()))
+def _glyph() -> re.Pattern[str]:
+    return re.compile("[" + re.escape("".join(sorted(_glyphs()))) + "]")
+
+
+class Rewritten:
+    """A text under rewriting: what is emitted, and by stretch of it the stretch of the source."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.parts: list[str] = []
+        self.size = self.done = 0
+        self.at: list[int] = []  # where a stretch begins
+        self.begin: list[int] = []  # where its source begins
+        self.end: list[int] = []  # where that ends; -1 for a stretch that is copied
+
+    def _add(self, text: str, begin: int, end: int) -> None:
+        if text:
+            self.parts.append(text)
+            self.at.append(self.size)
+            self.begin.append(begin)
+            self.end.append(end)
+            self.size += len(text)
+
+    def copy(self, until: int) -> None:
+        """Emit the source as it is, from where we are."""
+        self._add(self.source[self.done : until], self.done, -1)
+        self.done = max(self.done, until)
+
+    def put(self, text: str, until: int) -> None:
+        """Emit this for the source up to there."""
+        self._add(text, self.done, until)
+        self.done = until
+
+    def text(self) -> str:
+        self.copy(len(self.source))
+        return "".join(self.parts)
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        """The source of what is emitted from a to b."""
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        begin = self.begin[i] + (a - self.at[i] if self.end[i] < 0 else 0)
+        return begin, self.begin[j] + b - self.at[j] if self.end[j] < 0 else self.end[j]
 
 
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NUMBER = "|".join(_DIGITS)
-#: What re.I takes for the letters i and s, besides these.
-_FOLDED = str.maketrans({"ı": "i", "İ": "i", "ſ": "s"})
-_BRACKETED_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]", re.I)
-#: One rewriting step at a time, left to right: bracketed signs, bare "x at y dot z", runs of spelled digits.
-_REWRITE = re.compile(
-    r"(?P<at>\s*[\[({<]\s*at\s*[\])}>]\s*)"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|point)\s*[\])}>]\s*)"
-    r"|(?P<bareat>(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:(?:\s+dot\s+|\.)[a-z0-9-]+)*\s+dot\s+[a-z]))"
-    r"|(?P<baredot>(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9]))"
-    rf"|(?P<plus>\bplus[\s-]+(?=(?:{_NUMBER})\b))"
-    rf"|(?P<digits>\b(?:{_NUMBER})\b(?:[\s,-]+(?:{_NUMBER})\b)*)",
+_NUMBERS = re.compile(_NUMBER, re.I)
+_OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
+#: Where the second transducer may have something to do; nothing is looked at twice, whatever surrounds it.
+_ANCHOR = re.compile(
+    rf"{_OPEN}(?:(?P<at>at|@)|dot|point|\.){_CLOSE}"
+    rf"|(?<![^\W\d_])(?P<digits>(?:{_NUMBER})+)(?![^\W\d_])"
+    r"|(?<![^\W_])(?:(?P<word_at>at)|(?P<word_dot>dot))(?![^\W_])"
+    rf"|(?<![^\W_])(?P<plus>plus)(?=[\s-]++(?:[0-9]|{_NUMBER}))"
+    r"|(?P<sign>@)",
     re.I,
 )
-_NUMBERS = re.compile(rf"\b(?:{_NUMBER})\b", re.I)
-_SIGN_WORD = re.compile(r"\b(?:dot|point)\b", re.I)
-
-
-def _latin(text: str) -> bool:
-    """No look-alikes among the characters: all are Latin-1, without the soft hyphen."""
-    try:
-        return b"\xad" not in text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-
-
-def _disguised(text: str) -> bool:
-    """Whether rewriting could change the text: a look-alike, a sign in words or brackets, a spelled digit. True whenever it does."""
-    if not text.isascii() and not _latin(text) and not _glyph_set().isdisjoint(text):
-        return True
-    return bool(_SIGN_WORD.search(text) or _BRACKETED_AT.search(text) or _NUMBERS.search(text))
+_BETWEEN = re.compile(r"[\s,-]*+")
+_BLANK = re.compile(r"\s*+")
+_PLUS_GAP = re.compile(r"[\s-]*+")
+# A domain has labels of 63 characters and 253 in all at most.
+_LABEL = re.compile(r"[A-Za-z0-9]++(?:-(?!dot[-\s])[A-Za-z0-9]++)*+", re.I)
+_DOT = re.compile(rf"(?P<plain>\.(?=[A-Za-z0-9]))|\s*+{_OPEN}(?:dot|point|\.){_CLOSE}\s*+|\s++(?:dot|\.)\s++|\s*+_dot_\s*+|\s*+-dot-\s*+", re.I)
+_LABEL_MAX, _DOMAIN_MAX = 63, 253
+
+
+def _domain(text: str, at: int) -> tuple[list[tuple[int, int]], bool]:
+    """From here, what stands for the dots of a domain, with the last one's label behind it; whether one is disguised."""
+    dots: list[tuple[int, int]] = []
+    disguised, length = False, 0
+    while (m := _LABEL.match(text, at, min(len(text), at + _LABEL_MAX + 1))) and m.end() - at <= _LABEL_MAX and length <= _DOMAIN_MAX:
+        if dots:
+            dots[-1] = (dots[-1][0], at)
+        length += m.end() - at + 1
+        dot = _DOT.match(text, m.end())
+        if not dot:
+            return dots, disguised
+        dots.append((m.end(), dot.end()))
+        disguised |= not dot["plain"]
+        at = dot.end()
+    if dots:  # what looked like one more dot is none
+        last = dots.pop()
+        disguised = any(text[a:b] != "." for a, b in dots) if last else disguised
+    return dots, disguised
+
+
+def _signs(text: str) -> Rewritten:
+    """The second transducer."""
+    r = Rewritten(text)
+    digits_end = -1
+    for m in _ANCHOR.finditer(text):
+        a, b = m.span()
+        if a < r.done:
+            continue
+        if m["digits"]:
+            # spelled digits in a row belong together
+            if r.done == digits_end and _BETWEEN.match(text, digits_end, a).end() == a:  # type: ignore[union-attr]
+                r.done = a
+            else:
+                r.copy(a)
+            for w in _NUMBERS.finditer(m[0]):
+                r.put(_DIGITS[w[0].lower()], a + w.end())
+            digits_end = r.done
+            continue
+        if m["plus"]:
+            r.copy(a)
+            r.put("+", _PLUS_GAP.match(text, b).end())  # type: ignore[union-attr]
+            continue
+        bracket = not (m["word_at"] or m["word_dot"] or m["sign"])
+        left, right = a, b
+        around = text[a - 1 : a], text[b : b + 1]
+        if around in (("_", "_"), ("-", "-")):
+            left, right = a - 1, b + 1
+        elif not (bracket or m["sign"] or (around[0].isspace() and around[1].isspace())):
+            continue
+        while left > r.done and text[left - 1].isspace():
+            left -= 1
+        right = _BLANK.match(text, right).end()  # type: ignore[union-attr]
+        if left <= 0 or left < r.done or not (text[left - 1].isascii() and text[right : right + 1].isascii() and text[right : right + 1].isalnum()):
+            continue
+        if m["at"] or m["word_at"] or m["sign"]:
+            if not _LOCAL.match(text[left - 1]):
+                continue
+            dots, disguised = _domain(text, right)
+            if (m["sign"] and not (dots and (disguised or b - a < right - left))) or (m["word_at"] and not disguised):
+                continue
+            r.copy(left)
+            r.put("@", right)
+            for x, y in dots:
+                r.copy(x)
+                r.put(".", y)
+            if dots:  # the last label isn't looked at for spelled digits
+                r.copy(_LABEL.match(text, dots[-1][1]).end())  # type: ignore[union-attr]
+        elif text[left - 1].isalnum():
+            r.copy(left)
+            r.put(".", right)
+    return r
+
+
+def _steps(text: str) -> tuple[str, list[Rewritten]]:
+    """The text without disguises, and what led to it."""
+    steps, plain = [], text
+    if not text.isascii() and _glyph().search(text):
+        table, r = _glyphs(), Rewritten(text)
+        for m in _glyph().finditer(text):
+            r.copy(m.start())
+            r.put(table[m[0]], m.end())
+        plain = r.text()
+        steps.append(r)
+    r = _signs(plain)
+    if r.at:
+        plain = r.text()
+        steps.append(r)
+    return plain, steps
+
+
+def _source(steps: list[Rewritten], a: int, b: int) -> tuple[int, int]:
+    for r in reversed(steps):
+        a, b = r.place(a, b)
+    return a, b
 
 
 def rewrite(text: str) -> tuple[str, list[int], list[int]]:
     """The text without disguises, and by character of it, where its source begins and ends."""
-    plain: str = text
-    at: Sequence[int] = range(len(text))
-    if not _glyph_set().isdisjoint(text):
-        table = _glyphs()
-        kept = [(x, i) for i, c in enumerate(text) if (x := table.get(ord(c), c))]
-        plain, at = "".join(x for x, _ in kept), [i for _, i in kept]
-    out: list[str] = []
-    begin: list[int] = []
-    end: list[int] = []
-
-    def copy(a: int, b: int) -> None:
-        out.append(plain[a:b])
-        begin.extend(at[a:b])
-        end.extend(range(a + 1, b + 1) if isinstance(at, range) else [i + 1 for i in at[a:b]])
-
-    done = 0
-    for m in _REWRITE.finditer(plain):
-        kind = m.lastgroup
-        if kind == "digits" and len(_NUMBERS.findall(m[0])) < 1:
-            continue
-        copy(done, m.start())
-        if kind == "digits":
-            for w in _NUMBERS.finditer(m[0]):
-                out.append(_DIGITS[w[0].translate(_FOLDED).lower()])
-                begin.append(at[m.start() + w.start()])
-                end.append(at[m.start() + w.end() - 1] + 1)
-        else:
-            out.append({"at": "@", "bareat": "@", "plus": "+"}.get(str(kind), "."))
-            begin.append(at[m.start()])
-            end.append(at[m.end() - 1] + 1)
-        done = m.end()
-    copy(done, len(plain))
-    return "".join(out), begin, end
+    plain, steps = _steps(text)
+    places = [_source(steps, k, k + 1) for k in range(len(plain))]
+    return plain, [a for a, _ in places], [b for _, b in places]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(plain spans, spans added from disguises that no plain one of their kind covers wholly), in code points of the text."""
     base = detect(text)
-    if not _disguised(text):
-        return base, []
-    plain, begin, end = rewrite(text)
+    plain, steps = _steps(text)
     if plain == text:
         return base, []
     added = []
     for kind, a, b in detect(plain):
-        s, e = begin[a], end[b - 1]
-        if not any(k == kind and x <= s and e <= y for k, x, y in base):
-            added.append((kind, s, e))
+        a, b = _source(steps, a, b)
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
+            added.append((kind, a, b))
     return base, added
 
 
@@ -230,16 +334,24 @@ def personal_data(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
 
 
 def masked(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
-    """The same rows and columns, the text with <EMAIL>, <IP>, <CARD>, <PHONE> for what was found. Null texts stay null."""
-    prepared(docs.sparkSession)
+    """The same rows and columns, the text with <EMAIL>, <IP>, <CARD>, <PHONE> for what was found.
 
-    place = docs.columns.index(text_column)
+    Null texts stay null and empty ones empty; texts of any length are searched whole, repeated rows each; an empty
+    table gives no rows; other columns, whatever their names, are passed on.
+    """
+    prepared(docs.sparkSession)
+    name = docs.select(text_column).columns[0]
+    place = next(k for k, c in enumerate(docs.columns) if c == name or c.lower() == name.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [None if t is None else mask(t, [s for x in find(t) for s in x]) for t in b.column(place).to_pylist()]
-            cols = list(b.columns)
-            cols[place] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            k = 0
+            for part in parcels(b.column(place)):
+                some = b.slice(k, len(part))
+                k += len(part)
+                new = [mask(t, [s for x in find(t) for s in x]) if valid else None for t, valid in zip(part, some.column(place).is_valid().to_pylist(), strict=True)]
+                cols = list(some.columns)
+                cols[place] = pa.array(new, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
