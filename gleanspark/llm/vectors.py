@@ -9,6 +9,7 @@ score get a copy of the query, and are searched locally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,18 @@ from pyspark.sql import functions as F
 from gleanspark.llm.common import few_rows_a_batch, like, materialize, prepared
 
 SCALE = 1024
-#: Pivots: half the square root of the rows, this many at most, drawn by a hash of the ids.
-MAX_PIVOTS = 256
+#: Pivots: half the square root of the rows, drawn by a hash of the ids; so many at most, as all tasks hold them.
+MAX_PIVOTS = 16_384
 BLOCK_ROWS = 1024
 PACK_QUERIES = 256
-#: Components beyond this are cut to it: doubles hold no unit beyond it.
-_LIMIT = float(1 << 52)
+#: Doubles hold all whole numbers below it; scores that may lie beyond are worked out as Python's integers.
+_EXACT = float(1 << 53)
+#: Scores beyond a long's range become its ends.
+_LONG = (1 << 63) - 1
 
 
-def _numbers(column: pa.Array) -> list[bytes | None]:
-    """Each vector as little-endian 64-bit integers, None if it takes no part."""
+def _vectors(column: pa.Array) -> list[bytes | None]:
+    """Each vector as doubles, None if it takes no part."""
     out: list[bytes | None] = []
     for x in column:
         v = x.as_py()
@@ -36,28 +39,47 @@ def _numbers(column: pa.Array) -> list[bytes | None]:
             out.append(None)
             continue
         a = np.asarray(v, np.float64)
-        out.append(np.clip(np.floor(a * SCALE), -_LIMIT, _LIMIT).astype("<i8").tobytes() if np.isfinite(a).all() else None)
+        out.append(a.astype("<f8").tobytes() if np.isfinite(a).all() else None)
     return out
 
 
 def _matrix(blobs: list[bytes], width: int) -> np.ndarray:
-    """The vectors as rows of int64; shorter ones have zeros behind."""
+    """The vectors as rows of doubles; shorter ones have zeros behind."""
     if all(len(b) == 8 * width for b in blobs):
-        return np.frombuffer(b"".join(blobs), "<i8").reshape(len(blobs), width)
-    out = np.zeros((len(blobs), width), np.int64)
+        return np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), width)
+    out = np.zeros((len(blobs), width))
     for row, b in zip(out, blobs, strict=True):
-        v = np.frombuffer(b, "<i8")
+        v = np.frombuffer(b, "<f8")
         row[: len(v)] = v
     return out
 
 
+def _floors(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE x) as doubles: exact, as SCALE is a power of two, but for what overflows (then infinite)."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * SCALE)
+
+
+def _exact(x: np.ndarray) -> list[list[int]]:
+    return [[int(v) * SCALE if abs(v) >= _EXACT else int(math.floor(v * SCALE)) for v in row] for row in x.tolist()]
+
+
 def _scores(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact inner products, data x queries."""
-    top = float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * data.shape[1]
-    if top < float(1 << 53):
-        return np.rint(data.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
-    exact = data.astype(object) @ queries.astype(object).T
-    return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    """Exact inner products of the whole numbers, data x queries; beyond a long's range its ends."""
+    x, q = _floors(data), _floors(queries)
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.abs(x).max(axis=1, initial=0)[:, None] * np.abs(q).max(axis=1, initial=0)[None, :] * x.shape[1]
+        out = x @ q.T
+    wide = ~(most < _EXACT)
+    out[wide] = 0
+    out = np.rint(out).astype(np.int64)
+    if wide.any():
+        a, b = _exact(data[wide.any(axis=1)]), _exact(queries[wide.any(axis=0)])
+        rows, cols = np.cumsum(wide.any(axis=1)) - 1, np.cumsum(wide.any(axis=0)) - 1
+        for i, j in np.argwhere(wide).tolist():
+            score = sum(u * v for u, v in zip(a[rows[i]], b[cols[j]], strict=True))
+            out[i, j] = max(-_LONG - 1, min(_LONG, score))
+    return out
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +99,14 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
 
     Vectors that are null or empty or hold null or non-finite components take no part, nor do rows without an id.
     Vectors of unequal length are compared as if zeros followed the shorter. Rows that repeat an id each are candidates (not for a query of that id)
-    and one query. Ties go to the smaller id. Fewer than k candidates: all. An empty table gives no rows.
+    and one query. Ties go to the smaller id. Fewer than k candidates: all. An empty table gives no rows. Components may be
+    as large as doubles are; scores beyond the range of a long become its largest or smallest value.
     """
     spark = prepared(vectors.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = pa.array(_numbers(b.column(1)), pa.binary())
+            v = pa.array(_vectors(b.column(1)), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), v], names=["vec_id", "v"]).filter(pa.compute.is_valid(v))
 
     rows = materialize(
@@ -95,16 +118,18 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
     n_pivots = max(1, min(MAX_PIVOTS, int(n**0.5) // 2))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * n_pivots).collect()
     blobs = list(dict.fromkeys(bytes(r["v"]) for r in drawn))[:n_pivots] or [bytes(8)]
-    pivots = _matrix(blobs, width).astype(np.float64)
+    pivots = _floors(_matrix(blobs, width))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = (pivots**2).sum(1) / 2
+        with np.errstate(over="ignore"):
+            half = (pivots**2).sum(1) / 2
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                x = _matrix(part.column(1).to_pylist(), width).astype(np.float64)
-                cell = (half - x @ pivots.T).argmin(1)
-                far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+                x = _floors(_matrix(part.column(1).to_pylist(), width))
+                with np.errstate(all="ignore"):
+                    cell = np.nan_to_num(half - x @ pivots.T, nan=np.inf).argmin(1)
+                    far = np.nan_to_num(np.sqrt(((x - pivots[cell]) ** 2).sum(1)), nan=np.inf)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
 
     placed = materialize(rows.mapInArrow(assign, "vec_id long, v binary, cell int, far double"), "topk-cells")
@@ -151,12 +176,14 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _matrix(b.column(1).to_pylist(), width).astype(np.float64)
+            q = _floors(_matrix(b.column(1).to_pylist(), width))
             cell = b.column(2).to_numpy()
             limit = np.array([-np.inf if r is None else r for r in b.column(3).to_pylist()], np.float64)
-            most = q @ pivots.T + np.sqrt((q**2).sum(1))[:, None] * radius
-            # as scores may be exactly alike, a cell that can just reach the k-th score is needed for ties
-            need = (most * (1 + 1e-12 * np.sign(most)) + 1 >= limit[:, None]) & (radius >= 0)
+            with np.errstate(all="ignore"):
+                own, length = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None]
+                # as scores may be exactly alike, a cell that can just reach the k-th score is needed for ties; what overflows is needed too
+                slack = 1e-12 * (np.abs(q) @ np.abs(pivots).T + length * radius) + 1
+                need = ~(own + length * radius + slack < np.minimum(limit[:, None], float(_LONG))) & (radius >= 0)
             need[np.arange(len(q)), cell] = False
             at, to = np.nonzero(need)
             at = pa.array(at)
