@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. The first four return the columns of documents: the quality classifier and near-dedup drop rows, personal
-data is masked in the texts, mixing orders the rows (the table, read in order, interleaves the sources by weight, and
-drops none). The last returns the packed pieces.
+data is masked in the texts, mixing orders the rows (the table, read in order, interleaves the sources by the target
+weights, and drops none). The last returns the packed pieces; its sequences are numbered in the order of the rows that
+opened them, so that reading sequence after sequence meets the sources by weight.
 
 Empty tables pass through; null texts are texts without words (rejected as such by a classifier that learnt so), null
 sources are one source. Rows that repeat an id are one document: they are rejected together, and one row of it stays.
@@ -14,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import materialize, without
+from gleanspark.llm.common import file_order, materialize, without
 from gleanspark.llm.minhash import near_duplicates
-from gleanspark.llm.mixing import in_order, mixed
+from gleanspark.llm.mixing import TARGET_WEIGHTS, in_order, mixed
 from gleanspark.llm.packing import pack
 from gleanspark.llm.pii import masked
 from gleanspark.llm.quality_model import classify
@@ -43,11 +44,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return in_order(mixed(docs)).select(*docs.columns)
+    return in_order(mixed(docs, weights=TARGET_WEIGHTS)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(file_order(docs, "_place"), order_column="_place")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

@@ -111,6 +111,12 @@ def range_ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     return dealt.withColumn("_nth", nth).join(F.broadcast(per), part).withColumn(out, (F.col(before) + F.col("_nth")).cast("long")).drop(part, before, "_nth")
 
 
+def file_order(df: DataFrame, out: str) -> DataFrame:
+    """Add `out`: where a row of a table read from Parquet stands, by the number in its file's name and its place in the file."""
+    part = F.expr("coalesce(try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) AS bigint), 0)")
+    return df.withColumn(out, part * F.lit(1 << 36) + F.col("_metadata.row_index"))
+
+
 def parcels(column: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
     """The column's texts in lists of about so many characters at most (one text at least)."""
     part, size = [], 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.host_rules import host_rules
 from gleanspark.llm.minhash import near_duplicates
-from gleanspark.llm.mixing import mixed
+from gleanspark.llm.mixing import TARGET_WEIGHTS, mixed
 from gleanspark.llm.packing import pack
 from gleanspark.llm.passages import repeated_passages
 from gleanspark.llm.pii import personal_data
@@ -30,7 +30,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=TARGET_WEIGHTS)
     return rows.select("doc_id", "source", "mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot")
 
 

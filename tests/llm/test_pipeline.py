@@ -33,6 +33,13 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert all(not any(find(x["text"])) for x in seen["personal_data"]) and len(seen["personal_data"]) == len(seen["near_dedup"])
     assert sorted(x["doc_id"] for x in seen["mixing"]) == sorted(x["doc_id"] for x in seen["personal_data"])
     assert {x["doc_id"] for x in seen["packing"]} == {x["doc_id"] for x in seen["mixing"]}
+    # the mixed order decides the sequences' order
+    place = {x["doc_id"]: k for k, x in enumerate(seen["mixing"])}
+    per = {}
+    for x in seen["packing"]:
+        per.setdefault(x["sequence_id"], []).append((place[x["doc_id"]], x["piece"]))
+    assert sorted(per) == list(range(len(per)))
+    assert all(any(a < b for a in per[k] for b in per[k + 1]) for k in range(len(per) - 1))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
