@@ -20,7 +20,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 #: A host is rejected when, after shrinkage, more than so large a share of its documents fails.
-MAX_HOST_RATE = 0.5
+MAX_HOST_RATE = 0.25
 #: Hosts' verdicts are broadcast up to so many hosts; beyond it they are joined by a shuffle with skew handling.
 BROADCAST_HOSTS = 100_000
 

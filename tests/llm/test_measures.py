@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 import zlib
+from llm_docs import documents
 from tokenizers import Tokenizer
 
 from gleanspark.llm.host_rules import host_rules, host_verdicts
@@ -189,3 +190,28 @@ def test_packing_is_whole_and_tight(docs, empty, texts):
         number.setdefault(r["sequence_id"], []).append((1000 - r["doc_id"], r["piece"]))
     assert sorted(number) == list(range(len(seqs)))
     assert all(any(a <= b for a in number[k] for b in number[k + 1]) for k in range(len(seqs) - 1))
+
+
+def test_verdicts_on_hosts_equal_plain_ones(spark):
+    rng = np.random.default_rng(12)
+    texts, sources = [], []
+    for h in range(25):
+        for _ in range(int(rng.integers(1, 60))):
+            bad = rng.random() < (0.7 if h % 5 == 0 else 0.04)
+            texts.append(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 10 if bad else 80)))
+            sources.append(f"h{h}" if h else None)
+    got = by_id(host_rules(documents(spark, texts, sources)))
+    host = {}
+    for i, s in enumerate(sources):
+        n, k = host.get(s or "", (0, 0))
+        host[s or ""] = n + 1, k + got[i]["base_failed"]
+    n = sum(a for a, _ in host.values())
+    m = sum(k for _, k in host.values()) / n
+    within = m * (1 - m)
+    between = sum(a * (k / a) ** 2 for a, k in host.values()) - n * m * m - (len(host) - 1) * within
+    spread = max(0.0, between) / max(1.0, n - sum(a * a for a, _ in host.values()) / n)
+    strength = max(0.0, within / spread - 1)
+    rejected = {h for h, (a, k) in host.items() if (k + m * strength) / (a + strength) > 0.25}
+    assert 3 <= len(rejected) <= 8
+    assert all(got[i]["kept"] == (not got[i]["base_failed"] and (s or "") not in rejected) for i, s in enumerate(sources))
+    assert sum(not got[i]["base_failed"] and not got[i]["kept"] for i in range(len(texts))) > 10
