@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +31,9 @@ def signature_rules() -> list[Rule]:
     """The signatures' rules; required patterns are regexes over any evidence with a weight of 1."""
     out: list[Rule] = []
     for tech, _, _, _, required, optional, negative, _, _ in SIGNATURES:
-        out += [(tech, "required", "content", "regex", 1.0, p) for p in re.findall(r"`(.*?)`", required)]
-        for role, text in (("optional", optional), ("negative", negative)):
-            out += [(tech, role, t, "contains", float(w), p) for t, w, p in re.findall(r"(\w+):(\d+) `(.*?)`", text)]
+        out += [(tech, "required", "content", "regex", 1.0, p) for p in required]
+        for role, rules in (("optional", optional), ("negative", negative)):
+            out += [(tech, role, t, "contains", float(w), p) for t, w, p in rules]
     return out
 
 
@@ -124,7 +122,7 @@ def evaluated(found: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def signature_table(spark) -> DataFrame:  # noqa: ANN001
-    rows = [(t, len(re.findall(r"`(.*?)`", req)), float(m), float(p)) for t, _, p, m, req, _, _, _, _ in SIGNATURES]
+    rows = [(t, len(req), float(m), float(p)) for t, _, p, m, req, _, _, _, _ in SIGNATURES]
     return spark.createDataFrame(rows, "technology string, n_required int, minimum double, priority double")
 
 
@@ -185,11 +183,35 @@ def identities(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("identity", found).where("identity is not null")
 
 
+# What a candidate's best piece of evidence is worth by its type, and all others.
+CANDIDATE_WEIGHTS = {
+    "package_reference": 85.0,
+    "runtime_pattern": 80.0,
+    "import_export": 70.0,
+    "bundle_marker": 75.0,
+    "bundle_runtime": 75.0,
+    "http_header": 70.0,
+    "package_marker": 55.0,
+    "ast_extraction": 50.0,
+    "source_map_metadata": 65.0,
+    "css_marker": 80.0,
+    "html_marker": 80.0,
+}
+OTHER_WEIGHT = 40.0
+# Which kind of discovery a piece of evidence is: two kinds confirm each other.
+DISCOVERY = {"package_reference": "package", "package_marker": "package", "import_export": "package", "runtime_pattern": "runtime", "bundle_runtime": "bundle", "bundle_marker": "bundle", "http_header": "http", "http_metadata": "http", "css_marker": "css", "html_element": "html", "html_marker": "html"}
+
+
 def candidates(evidence: DataFrame) -> DataFrame:
-    """Technologies by name: score, whether known, and whether the evidence is enough (known 55, open 70 at least)."""
-    named = identities(evidence).withColumn("base", lookup(F.col("evidence_type"), V.EVIDENCE_WEIGHTS, 20.0))
+    """Technologies by name: score, whether known, and whether the evidence is enough (known 55, open 70 at least).
+
+    The score is the best piece's weight, 5 for each further type (15 at most), 10 if two kinds of discovery agree, a
+    twentieth of the highest confidence hint (metadata `confidence_hint`; 5 at most), less 5 for names not in the catalog.
+    """
+    hint = F.coalesce(F.expr("try_cast(metadata['confidence_hint'] AS double)"), F.lit(0.0))
+    named = identities(evidence).withColumns({"base": lookup(F.col("evidence_type"), CANDIDATE_WEIGHTS, OTHER_WEIGHT), "_kind": lookup(F.col("evidence_type"), DISCOVERY), "_hint": hint})
     known = ~F.col("identity").contains(":")
-    per = named.groupBy("page_id", "identity").agg(F.max("base").alias("best"), F.count_distinct("evidence_type").alias("types"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence_type") == "package_reference").alias("packages"), F.count_if(F.col("base") >= 70).alias("strong"))
-    score = clamp(F.col("best") + F.least(F.lit(15.0), 5.0 * (F.col("types") - 1)) + F.when(F.col("n") > 1, 10.0).otherwise(0.0) - 5.0)
+    per = named.groupBy("page_id", "identity").agg(F.max("base").alias("best"), F.count_distinct("evidence_type").alias("types"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence_type") == "package_reference").alias("packages"), F.count_if(F.col("base") >= 70).alias("strong"), F.count_distinct("_kind").alias("_kinds"), F.max("_hint").alias("_hint"))
+    score = F.least(F.lit(100.0), F.col("best") + F.least(F.lit(15.0), 5.0 * (F.col("types") - 1)) + F.when(F.col("_kinds") >= 2, 10.0).otherwise(0.0) + F.least(F.lit(5.0), F.col("_hint") / 20) - F.when(known, 0.0).otherwise(5.0))
     open_ok = (F.col("score") >= 70) & (~F.col("identity").startswith("package:") | (F.col("packages") > 0) | (F.col("strong") >= 2))
-    return per.withColumn("score", F.round(score, 1)).withColumn("known", known).withColumn("accepted", F.when(known, F.col("score") >= 55).otherwise(open_ok))
+    return per.withColumn("score", F.round(score, 1)).drop("_kinds", "_hint").withColumn("known", known).withColumn("accepted", F.when(known, F.col("score") >= 55).otherwise(open_ok))

@@ -30,6 +30,22 @@ def finding(page: Column, analyzer: str | Column, category: str | Column, key: C
     return [values[c].alias(c) for c in COLUMNS]
 
 
+def item(analyzer: str, category: str, key: Column, title: Column, *, severity: str = "INFO", confidence: float = 100.0, evidence: Column | None = None, location: Column | None = None) -> Column:
+    """A finding as a struct, for arrays that are exploded once for all analyzers."""
+    text = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(analyzer).alias("analyzer"), F.lit(category).alias("category"), key.alias("key"), title.alias("title"), F.lit(severity).alias("severity"), F.lit(float(confidence)).alias("confidence"),
+        (text if evidence is None else evidence).alias("evidence"), (text if location is None else location).alias("location"),
+    )
+
+
+def exploded(rows: DataFrame, arrays: list[Column]) -> DataFrame:
+    """Findings of rows (page_id, ...), from arrays of `item`: one pass over the rows whatever the number of analyzers."""
+    f = lambda name: F.col(f"_f.{name}")
+    found = rows.select("page_id", F.explode(F.flatten(F.array(*arrays))).alias("_f"))
+    return found.select(*finding(F.col("page_id"), f("analyzer"), f("category"), f("key"), f("title"), severity=f("severity"), confidence=f("confidence"), evidence=f("evidence"), location=f("location")))
+
+
 def united(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -34,17 +34,12 @@ class Pattern:
     flags: str = ""
 
 
-def _parsed(text: str) -> list[tuple[str, float, str, str]]:
-    """kind, weight, flags, pattern of `kind:weight/flags `pattern`; ...`."""
-    return [(k, float(w), f or "", p) for k, w, f, p in re.findall(r"(\w+):(\d+)(?:/(\w+))? `(.*?)`(?=; \w+:\d|$)", text)]
-
-
 def fingerprint_patterns() -> list[Pattern]:
-    return [Pattern(t, k, p, w, f) for t, _, _, _, text, _ in FINGERPRINTS for k, w, f, p in _parsed(text)]
+    return [Pattern(t, k, p, float(w), f) for t, _, _, _, patterns, _ in FINGERPRINTS for k, w, p, f in patterns]
 
 
 def version_patterns() -> list[Pattern]:
-    return [Pattern(t, k, p, w, f) for t, _, _, _, _, text in FINGERPRINTS for k, w, f, p in _parsed(text)]
+    return [Pattern(t, k, p, float(w), f) for t, _, _, _, _, patterns in FINGERPRINTS for k, w, p, f in patterns]
 
 
 def weak_pattern(matcher: str, pattern: str) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions import fixed_values as V
-from gleanspark.operators.findings import finding, united
+from gleanspark.operators.findings import exploded, item
 
 SERVER_HEADERS = ("server", "x-powered-by", "via")
 
@@ -61,37 +61,43 @@ def csp_directives(responses: DataFrame) -> DataFrame:
     return rows.select("page_id", F.lower(F.split("d", r"\s+", 2)[0]).alias("directive"), F.trim(F.regexp_replace("d", r"^\S+", "")).alias("sources"))
 
 
-def _matrix(responses: DataFrame, analyzer: str, category: str, names: tuple[str, ...]) -> DataFrame:
-    h = header_presence(responses, names)
-    state = F.when(F.col("present"), "present").otherwise("missing")
-    return h.select(*finding(F.col("page_id"), analyzer, category, F.concat_ws("-", "header", state), F.concat_ws(" ", "header", state), evidence=F.col("value")))
+def _matrix(analyzer: str, category: str, names: tuple[str, ...]) -> Column:
+    """A finding for each of these headers, whether the response has it or not."""
+    have = lowered(F.col("headers"))
 
+    def one(name: str) -> Column:
+        value = F.element_at(have, name)
+        state = F.when(F.array_contains(F.map_keys(have), name), "present").otherwise("missing")
+        return item(analyzer, category, F.concat_ws("-", F.lit(name), state), F.concat_ws(" ", F.lit(name), state), evidence=value)
 
-def _listed(responses: DataFrame, analyzer: str, category: str, items: Column, none: str) -> DataFrame:
-    rows = responses.select("page_id", F.posexplode_outer(items).alias("i", "item"))
-    return rows.select(*finding(F.col("page_id"), analyzer, category, F.coalesce(F.col("i").cast("string"), F.lit("none")), F.coalesce("item", F.lit(none)), evidence=F.col("item")))
+    return F.array(*[one(n) for n in names])
 
 
-def _one(responses: DataFrame, analyzer: str, category: str, title: Column) -> DataFrame:
-    return responses.select(*finding(F.col("page_id"), analyzer, category, F.lit("one"), title, location=F.col("url")))
+def _listed(analyzer: str, category: str, items: Column, none: str) -> Column:
+    some = F.transform(items, lambda x, i: item(analyzer, category, i.cast("string"), x, evidence=x))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, some).otherwise(F.array(item(analyzer, category, F.lit("none"), F.lit(none))))
+
+
+def _one(analyzer: str, category: str, title: Column) -> Column:
+    return F.array(item(analyzer, category, F.lit("one"), title, location=F.col("url")))
 
 
 HTTP_ANALYZERS = {
-    "http-header-analyzer": lambda r: _matrix(r, "http-header-analyzer", "HEADERS", V.COMMON_RESPONSE_HEADERS),
-    "security-header-analyzer": lambda r: _matrix(r, "security-header-analyzer", "HEADERS", V.SECURITY_HEADERS),
-    "cors-analyzer": lambda r: _matrix(r, "cors-analyzer", "HTTP", V.CORS_HEADERS),
-    "cache-control-analyzer": lambda r: _matrix(r, "cache-control-analyzer", "HEADERS", V.CACHE_HEADERS),
-    "server-fingerprint-analyzer": lambda r: _matrix(r, "server-fingerprint-analyzer", "INFRASTRUCTURE", SERVER_HEADERS),
-    "content-type-analyzer": lambda r: _one(r, "content-type-analyzer", "HTTP", F.coalesce(F.element_at(lowered(F.col("headers")), "content-type"), F.lit("No content type"))),
-    "http-response-metadata-analyzer": lambda r: _one(r, "http-response-metadata-analyzer", "METADATA", F.concat_ws(" ", F.lit("Status"), F.col("status_code").cast("string"))),
-    "cookie-analyzer": lambda r: _listed(r, "cookie-analyzer", "COOKIES", F.transform("set_cookies", lambda c: F.concat(F.lit("Cookie: "), cookie(c)["name"])), "No cookies"),
-    "redirect-analyzer": lambda r: _listed(r, "redirect-analyzer", "HTTP", F.transform("redirects", lambda x: F.concat_ws(" ", x["status_code"].cast("string"), x["url"], x["location"])), "No redirects"),
-    "csp-analyzer": lambda r: _listed(r, "csp-analyzer", "HEADERS", F.filter(F.transform(F.split(F.element_at(lowered(F.col("headers")), "content-security-policy"), ";"), lambda d: F.trim(d)), lambda d: d != ""), "No content security policy"),
+    "http-header-analyzer": lambda: _matrix("http-header-analyzer", "HEADERS", V.COMMON_RESPONSE_HEADERS),
+    "security-header-analyzer": lambda: _matrix("security-header-analyzer", "HEADERS", V.SECURITY_HEADERS),
+    "cors-analyzer": lambda: _matrix("cors-analyzer", "HTTP", V.CORS_HEADERS),
+    "cache-control-analyzer": lambda: _matrix("cache-control-analyzer", "HEADERS", V.CACHE_HEADERS),
+    "server-fingerprint-analyzer": lambda: _matrix("server-fingerprint-analyzer", "INFRASTRUCTURE", SERVER_HEADERS),
+    "content-type-analyzer": lambda: _one("content-type-analyzer", "HTTP", F.coalesce(F.element_at(lowered(F.col("headers")), "content-type"), F.lit("No content type"))),
+    "http-response-metadata-analyzer": lambda: _one("http-response-metadata-analyzer", "METADATA", F.concat_ws(" ", F.lit("Status"), F.col("status_code").cast("string"))),
+    "cookie-analyzer": lambda: _listed("cookie-analyzer", "COOKIES", F.transform("set_cookies", lambda c: F.concat(F.lit("Cookie: "), cookie(c)["name"])), "No cookies"),
+    "redirect-analyzer": lambda: _listed("redirect-analyzer", "HTTP", F.transform("redirects", lambda x: F.concat_ws(" ", x["status_code"].cast("string"), x["url"], x["location"])), "No redirects"),
+    "csp-analyzer": lambda: _listed("csp-analyzer", "HEADERS", F.filter(F.transform(F.split(F.element_at(lowered(F.col("headers")), "content-security-policy"), ";"), lambda d: F.trim(d)), lambda d: d != ""), "No content security policy"),
 }
 
 
 def http_findings(responses: DataFrame, enabled: list[str] | None = None) -> DataFrame:
-    return united([f(responses) for n, f in HTTP_ANALYZERS.items() if enabled is None or n in enabled])
+    return exploded(responses, [f() for n, f in HTTP_ANALYZERS.items() if enabled is None or n in enabled])
 
 
 def http_evidence(responses: DataFrame) -> DataFrame:

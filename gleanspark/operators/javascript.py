@@ -15,7 +15,25 @@ from gleanspark.operators.pages import resolved, script_references
 
 # Fixed values of the features: how much of a script counts, how many tokens, rounds and resources.
 MAX_CHARS, MAX_STRINGS, MAX_IDENTIFIERS, MAX_ROUNDS, MAX_RESOURCES = 5 * 1024 * 1024, 500, 300, 20, 200
-BUNDLER_MARKS = (("turbopack", r"turbopack"), ("rspack", r"__rspack_require__|rspack"), ("webpack", r"__webpack_require__|webpackChunk|webpackJsonp|webpack"), ("vite", r"__vite__|/@vite/|import\.meta\.hot|vite"), ("rollup", r"rollup"), ("parcel", r"parcelRequire|parcel"), ("esbuild", r"esbuild"))
+# Marks of bundlers in a name or the first 8 KiB, in this order.
+BUNDLER_MARKS = (
+    ("webpack", r"__webpack_require__|webpackChunk|webpackJsonp"),
+    ("turbopack", r"turbopack|__turbopack__"),
+    ("vite", r"__vite__|import\.meta\.env"),
+    ("rollup", r"rollupVersion|\bRollup\b"),
+    ("parcel", r"parcelRequire|\bParcel\b"),
+    ("rspack", r"__rspack_require__"),
+    ("esbuild", r"esbuild|__ESBUILD__"),
+)
+# Parts of a script's name that tell its kind.
+WORKER_NAME = r"worker|sw\.js|service-worker|serviceworker"
+ENTRY_NAME = r"main|index|app|entry|bootstrap|start"
+RUNTIME_NAME = r"runtime|webpack-runtime|vite/runtime|turbopack/runtime"
+VENDOR_NAME = r"vendor|vendors|lib(?:rary)?|node_modules|framework"
+FRAMEWORK_NAME = r"react|vue|angular|svelte|next|nuxt|solid|ember|preact"
+CHUNK_NAME = r"chunk|lazy|async|dynamic|split"
+# One line is minified from so many characters on; up to so many lines, from so many on average.
+MINIFIED_LINE, MINIFIED_LINES, MINIFIED_AVERAGE = 500, 50, 180
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -31,35 +49,40 @@ def tokens(scripts: DataFrame) -> DataFrame:
 
 
 def shape(content: Column) -> Column:
-    """minified or readable: few lines that are long on average."""
-    lines = F.size(F.split(content, "\n"))
-    return F.when((F.char_length(content) / lines > 180) & (lines < 500), "minified").otherwise("readable")
+    """minified or readable: one very long line, or few lines that are long on average (line ends aside)."""
+    lines, size = F.size(F.split(content, "\n")), F.char_length(content)
+    few = (lines <= MINIFIED_LINES) & ((size - (lines - 1)) / lines >= MINIFIED_AVERAGE)
+    return F.when(F.when(lines <= 1, size > MINIFIED_LINE).otherwise(few), "minified").otherwise("readable")
 
 
 def bundler(name: Column, content: Column) -> Column:
     """The first bundler whose marks the name or the first 8 KiB have."""
     text = F.concat_ws("\n", name, F.substring(content, 1, 8192))
-    return F.coalesce(*[F.when(text.rlike(java_pattern(p, "i")), F.lit(n)) for n, p in BUNDLER_MARKS], F.lit("unknown"))
+    return F.coalesce(*[F.when(text.rlike(java_pattern(p)), F.lit(n)) for n, p in BUNDLER_MARKS], F.lit("unknown"))
 
 
-def resource_kind(name: Column, is_module: Column) -> Column:
+def resource_kind(name: Column, is_module: Column, source: Column | None = None) -> Column:
+    """What a script is, by how it was found (source: service_worker, shared_worker, worker, dynamic_import, html_script ...) and its name."""
     low = F.lower(name)
-    return (
-        F.when(low.contains("serviceworker") | low.contains("service-worker") | low.rlike(r"^sw\.js$"), "service_worker")
-        .when(low.contains("sharedworker"), "shared_worker")
-        .when(low.contains("worker"), "worker")
-        .when(low.rlike(r"runtime|polyfill"), "runtime_bundle")
-        .when(low.rlike(r"vendor|node_modules|framework-"), "vendor_bundle")
-        .when(low.rlike(r"chunk"), "lazy_chunk")
-        .when(low.rlike(r"^(?:main|index|app|entry|bundle)[.\-]"), "entry_bundle")
-        .when(is_module, "module")
-        .otherwise("unknown")
+    found = F.lit("") if source is None else F.coalesce(source, F.lit(""))
+    by_worker = F.when(found.isin("service_worker", "shared_worker", "worker"), found).when(low.rlike(WORKER_NAME), "worker")
+    return F.coalesce(
+        by_worker,
+        F.when(is_module, "module")
+        .when(low.rlike(ENTRY_NAME), "entry_bundle")
+        .when(low.rlike(RUNTIME_NAME), "runtime_bundle")
+        .when(low.rlike(VENDOR_NAME), "vendor_bundle")
+        .when(low.rlike(FRAMEWORK_NAME), "framework_bundle")
+        .when((found == "dynamic_import") | low.rlike(CHUNK_NAME), F.when((found == "dynamic_import") | low.contains("lazy"), "lazy_chunk").otherwise("dynamic_chunk"))
+        .when(found.isin("html_script", "html_module"), "entry_bundle")
+        .otherwise("application_bundle"),
     )
 
 
 def chunk_name(name: Column) -> Column:
-    """main of main.8f3a2b.chunk.js and the like."""
-    return F.nullif(F.regexp_extract(name, r"^([A-Za-z0-9_~]+?)(?:[.\-][0-9a-f]{6,})?(?:\.chunk)?\.m?js$", 1), F.lit(""))
+    """x of chunk-x, chunk.x, or x.chunk, whichever comes first; null if none does."""
+    p = java_pattern(r"chunk[-.]?([\w-]+)|([\w-]+)\.chunk", "i")
+    return F.coalesce(F.nullif(F.regexp_extract(name, p, 1), F.lit("")), F.nullif(F.regexp_extract(name, p, 2), F.lit("")))
 
 
 def script_evidence(scripts: DataFrame) -> DataFrame:

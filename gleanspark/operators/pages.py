@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.columns import any_of, asset_category, filename, host, normalize_url
-from gleanspark.operators.findings import finding, united
+from gleanspark.operators.findings import exploded, finding, item
 
 # Well-known resources and their paths; marks of frameworks in a page.
 WELL_KNOWN = (
@@ -43,10 +43,14 @@ def links_of(rel: str) -> Column:
     return F.filter("page.links", lambda x: F.array_contains(F.split(F.lower(F.coalesce(x["rel"], F.lit(""))), r"\s+"), rel))
 
 
-def inline_scripts(parsed: DataFrame) -> DataFrame:
-    """page_id, index (among scripts with text and no src), content."""
+def inline_script_texts(parsed: DataFrame) -> DataFrame:
+    """page_id, url, index (among scripts with text and no src), content."""
     own = F.filter("page.scripts", lambda s: s["src"].isNull() & (F.trim(s["content"]) != ""))
-    return parsed.select("page_id", F.posexplode(own).alias("index", "s")).select("page_id", "index", F.col("s.content").alias("content"))
+    return parsed.select("page_id", "url", F.posexplode(own).alias("index", "s")).select("page_id", "url", "index", F.col("s.content").alias("content"))
+
+
+def inline_scripts(parsed: DataFrame) -> DataFrame:
+    return inline_script_texts(parsed).drop("url")
 
 
 def comments(parsed: DataFrame) -> DataFrame:
@@ -105,10 +109,14 @@ def resolved(references_: DataFrame) -> DataFrame:
     )
     # each step is a column of its own, so that no expression is repeated inside another
     out = references_.withColumn("_joined", joined)
-    round_ = F.regexp_replace(F.col("_joined"), r"/\.(?=/|$)", "")
-    for _ in range(8):  # each round takes out one "x/.."; deeper ones than eight are left
-        round_ = F.regexp_replace(round_, r"(?<!/)/(?!\.\.?/)[^/?#]+/\.\.(/|$)", "/")
-    out = out.withColumn("_joined", F.when(F.col("_joined").contains("/."), round_).otherwise(F.col("_joined")))
+    at = F.col("_joined")
+    head, tail = F.regexp_extract(at, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1), F.regexp_extract(at, r"([?#].*)$", 1)
+    steps = F.split(F.regexp_extract(at, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "/")
+    # a step up takes away the one before it, never the root; "." says nothing
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.lit(1), F.size(acc) - 1))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(steps, -1)
+    plain = F.concat(head, F.array_join(walked, "/"), F.when(last.isin(".", ".."), "/").otherwise(""), tail)
+    out = out.withColumn("_joined", F.when(at.contains("/.") & (head != ""), plain).otherwise(at))
     out = out.withColumn("_url", normalize_url(F.col("_joined")))
     return out.withColumn("url", F.when(F.col("_url").rlike("^https?://[^/?#]+"), F.col("_url"))).drop("_joined", "_url")
 
@@ -144,18 +152,18 @@ def duplicates(texts: DataFrame, key: str, text_column: str) -> DataFrame:
     return hashed.join(first, "content_hash").select(key, "content_hash", F.when(F.col(key) != F.col("_first"), F.col("_first")).alias("duplicate_of"))
 
 
-def _present(parsed: DataFrame, analyzer: str, what: str, value: Column, title: str) -> DataFrame:
+def _present(analyzer: str, what: str, value: Column, title: str) -> Column:
     """A finding for each page, whether it has the value or not."""
     there = F.coalesce(F.trim(value), F.lit("")) != ""
     text = F.when(there, F.concat(F.lit(f"{title}: "), F.trim(value))).otherwise(F.lit(f"{title} missing"))
-    return parsed.select(*finding(F.col("page_id"), analyzer, "METADATA", F.concat(F.lit(f"{what}-"), F.when(there, "present").otherwise("missing")), text, evidence=value, location=F.col("url")))
+    return F.array(item(analyzer, "METADATA", F.concat(F.lit(f"{what}-"), F.when(there, "present").otherwise("missing")), text, evidence=value, location=F.col("url")))
 
 
-def _each(parsed: DataFrame, analyzer: str, items: Column, title: str) -> DataFrame:
+def _each(analyzer: str, items: Column, title: str) -> Column:
     """A finding for each item, or one that says there is none."""
-    rows = parsed.select("page_id", "url", F.posexplode_outer(items).alias("i", "item"))
-    text = F.when(F.col("i").isNull(), F.lit(f"No {title}")).otherwise(F.concat(F.lit(f"{title}: "), F.col("item")))
-    return rows.select(*finding(F.col("page_id"), analyzer, "METADATA", F.coalesce(F.col("i").cast("string"), F.lit("none")), text, evidence=F.col("item"), location=F.col("url")))
+    none = F.array(item(analyzer, "METADATA", F.lit("none"), F.lit(f"No {title}"), location=F.col("url")))
+    some = F.transform(items, lambda x, i: item(analyzer, "METADATA", i.cast("string"), F.concat(F.lit(f"{title}: "), x), evidence=x, location=F.col("url")))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, some).otherwise(none)
 
 
 def _pairs(prefix: str) -> Column:
@@ -176,23 +184,23 @@ def _scripts_text() -> Column:
     return F.array_join(F.transform("page.scripts", lambda s: F.concat_ws(" ", s["src"], s["content"])), "\n")
 
 
-# Analyzers by id: from parsed pages (page_id, url, page) to findings.
+# Analyzers by id: arrays of findings, in terms of page and url.
 METADATA_ANALYZERS = {
-    "html-metadata-analyzer": lambda p: _present(p, "html-metadata-analyzer", "title", F.col("page.title"), "Title"),
-    "language-analyzer": lambda p: _present(p, "language-analyzer", "language", F.col("page.language"), "Language"),
-    "application-metadata-analyzer": lambda p: _present(p, "application-metadata-analyzer", "application-name", meta("application-name"), "Application name"),
-    "generator-meta-analyzer": lambda p: _present(p, "generator-meta-analyzer", "generator", meta("generator"), "Generator"),
-    "theme-color-analyzer": lambda p: _present(p, "theme-color-analyzer", "theme-color", meta("theme-color"), "Theme color"),
-    "html-comment-analyzer": lambda p: _each(p, "html-comment-analyzer", F.transform("page.comments", lambda c: F.trim(c)), "HTML comment"),
-    "opengraph-analyzer": lambda p: _each(p, "opengraph-analyzer", _pairs("og:"), "OpenGraph property"),
-    "twitter-card-analyzer": lambda p: _each(p, "twitter-card-analyzer", _pairs("twitter:"), "Twitter card property"),
-    "canonical-link-analyzer": lambda p: _each(p, "canonical-link-analyzer", _hrefs("canonical"), "Canonical link"),
-    "alternate-link-analyzer": lambda p: _each(p, "alternate-link-analyzer", _hrefs("alternate"), "Alternate link"),
-    "favicon-analyzer": lambda p: _each(p, "favicon-analyzer", _hrefs("icon"), "Icon"),
-    "web-app-manifest-analyzer": lambda p: _each(p, "web-app-manifest-analyzer", _hrefs("manifest"), "Web app manifest"),
-    "framework-metadata-analyzer": lambda p: _each(p, "framework-metadata-analyzer", frameworks(_scripts_text()), "Framework hint"),
-    "service-worker-analyzer": lambda p: _each(p, "service-worker-analyzer", F.regexp_extract_all(_scripts_text(), F.lit(r"serviceWorker\.register\(\s*['\"]([^'\"]+)"), F.lit(1)), "Service worker"),
-    "sourcemap-analyzer": lambda p: _each(p, "sourcemap-analyzer", F.regexp_extract_all(_scripts_text(), F.lit(r"sourceMappingURL=([^\s\"']+)"), F.lit(1)), "Source map"),
+    "html-metadata-analyzer": lambda: _present("html-metadata-analyzer", "title", F.col("page.title"), "Title"),
+    "language-analyzer": lambda: _present("language-analyzer", "language", F.col("page.language"), "Language"),
+    "application-metadata-analyzer": lambda: _present("application-metadata-analyzer", "application-name", meta("application-name"), "Application name"),
+    "generator-meta-analyzer": lambda: _present("generator-meta-analyzer", "generator", meta("generator"), "Generator"),
+    "theme-color-analyzer": lambda: _present("theme-color-analyzer", "theme-color", meta("theme-color"), "Theme color"),
+    "html-comment-analyzer": lambda: _each("html-comment-analyzer", F.transform("page.comments", lambda c: F.trim(c)), "HTML comment"),
+    "opengraph-analyzer": lambda: _each("opengraph-analyzer", _pairs("og:"), "OpenGraph property"),
+    "twitter-card-analyzer": lambda: _each("twitter-card-analyzer", _pairs("twitter:"), "Twitter card property"),
+    "canonical-link-analyzer": lambda: _each("canonical-link-analyzer", _hrefs("canonical"), "Canonical link"),
+    "alternate-link-analyzer": lambda: _each("alternate-link-analyzer", _hrefs("alternate"), "Alternate link"),
+    "favicon-analyzer": lambda: _each("favicon-analyzer", _hrefs("icon"), "Icon"),
+    "web-app-manifest-analyzer": lambda: _each("web-app-manifest-analyzer", _hrefs("manifest"), "Web app manifest"),
+    "framework-metadata-analyzer": lambda: _each("framework-metadata-analyzer", frameworks(_scripts_text()), "Framework hint"),
+    "service-worker-analyzer": lambda: _each("service-worker-analyzer", F.regexp_extract_all(_scripts_text(), F.lit(r"serviceWorker\.register\(\s*['\"]([^'\"]+)"), F.lit(1)), "Service worker"),
+    "sourcemap-analyzer": lambda: _each("sourcemap-analyzer", F.regexp_extract_all(_scripts_text(), F.lit(r"sourceMappingURL=([^\s\"']+)"), F.lit(1)), "Source map"),
 }
 # Analyzers of well-known resources by id: the type that each looks for.
 WELL_KNOWN_ANALYZERS = {
@@ -210,7 +218,7 @@ WELL_KNOWN_ANALYZERS = {
 
 def metadata_findings(parsed: DataFrame, enabled: list[str] | None = None) -> DataFrame:
     """All enabled analyzers' findings; those not enabled aren't part of the plan."""
-    return united([f(parsed) for n, f in METADATA_ANALYZERS.items() if enabled is None or n in enabled])
+    return exploded(parsed, [f() for n, f in METADATA_ANALYZERS.items() if enabled is None or n in enabled])
 
 
 def well_known_findings(observed: DataFrame) -> DataFrame:

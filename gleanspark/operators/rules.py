@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.columns import java_pattern
-from gleanspark.operators.findings import finding, united
+from gleanspark.operators.findings import exploded, item
 
 SNIPPET = 500
 
@@ -57,11 +57,12 @@ def usable(rules: Sequence[PageRule], min_confidence: float = 0.0) -> list[PageR
 
 
 def rule_findings(contexts: DataFrame, rules: Sequence[PageRule], min_confidence: float = 0.0) -> DataFrame:
-    parts = []
+    """A finding for each context and usable rule that matches it; one pass over the contexts."""
+    found = []
     for r in usable(rules, min_confidence):
-        rows = contexts.withColumn("_hit", r.hit()).where("_hit is not null")
-        parts.append(rows.select(*finding(F.col("page_id"), f"rule:{r.id}", r.category, F.lit(r.id), F.lit(r.name or r.id), severity=r.severity, confidence=r.confidence, evidence=F.col("_hit"), location=F.col("url"))))
-    return united(parts)
+        hit = r.hit()
+        found.append(F.when(hit.isNotNull(), item(f"rule:{r.id}", r.category, F.lit(r.id), F.lit(r.name or r.id), severity=r.severity, confidence=r.confidence, evidence=hit, location=F.col("url"))))
+    return exploded(contexts, [F.array_compact(F.array(*found))])
 
 
 def load_rules(folder: str) -> list[PageRule]:

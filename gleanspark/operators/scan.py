@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,24 @@ CONTACTS = (
     ("guid", 88.0, "LOW", "", 0, r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"),
 )
 CONTACT_BY_NAME = {c[0]: c for c in CONTACTS}
+#: What a match of a contact's pattern must hold.
+CONTACT_NEEDS = {
+    "email": ("@",),
+    "username": ("user", "developer", "author", "maintainer"),
+    "application-name": ("app", "product"),
+    "environment-name": ("env",),
+    "external-url": ("://",),
+    "internal-url": ("://",),
+    "domain": (".",),
+    "hostname": (".local", ".internal", ".corp", ".lan"),
+    "subdomain": ("dev.", "staging.", "test.", "qa.", "uat.", "preview.", "sandbox."),
+    "ipv4": (".",),
+    "ipv6": (":",),
+    "uuid": ("-",),
+    "guid": ("-",),
+}
+
+
 # Fixed value: an assignment whose value may be a secret, to be judged by its entropy.
 ENTROPY_ASSIGNMENT = r"(?:token|secret|password|key)\s*[:=]\s*['\"]([A-Za-z0-9+/=_\-]{24,})['\"]"
 ENTROPY_THRESHOLD = 3.5
@@ -45,6 +64,8 @@ class Rule:
     pattern: str
     flags: str = ""
     group: int = 0
+    #: A match holds one of these, in any case; none: the pattern is always tried.
+    needs: tuple[str, ...] = ()
 
     def compiled(self) -> re.Pattern[str]:
         on = 0
@@ -53,6 +74,10 @@ class Rule:
         return re.compile(self.pattern, on)
 
 
+def contact_rules() -> list[Rule]:
+    return [Rule(c[0], c[5], c[3], c[4], CONTACT_NEEDS.get(c[0], ())) for c in CONTACTS]
+
+
 def values(text: Column, pattern: str, flags: str = "", group: int = 0) -> Column:
     """All matches of one pattern, where only values are needed: a native expression."""
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern, flags)), F.lit(group))
@@ -72,11 +97,17 @@ HIT = T.StructType(
 
 
 def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str]]], margin: int = 40) -> Iterator[tuple]:
+    low = text.casefold()
+    ends: list[int] | None = None  # places of line ends, looked up by bisection
     for rule, pattern in rules:
+        if rule.needs and not any(n in low for n in rule.needs):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            line = text.count("\n", 0, a) + 1
-            yield rule.rule_id, m.group(rule.group), a, b, line, a - text.rfind("\n", 0, a), text[max(0, a - margin) : b + margin].strip()
+            if ends is None:
+                ends = [e.start() for e in re.finditer("\n", text)]
+            line = bisect_left(ends, a)
+            yield rule.rule_id, m.group(rule.group), a, b, line + 1, a - (ends[line - 1] if line else -1), text[max(0, a - margin) : b + margin].strip()
 
 
 def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text", margin: int = 40) -> DataFrame:
@@ -107,7 +138,7 @@ def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text",
 
 def contact_hits(texts: DataFrame, text_column: str = "text") -> DataFrame:
     """Contacts and identifiers with their place, confidence and severity."""
-    found = scanned(texts, [Rule(c[0], c[5], c[3], c[4]) for c in CONTACTS], text_column, margin=30)
+    found = scanned(texts, contact_rules(), text_column, margin=30)
     about = texts.sparkSession.createDataFrame([(c[0], c[1], c[2]) for c in CONTACTS], "rule_id string, confidence double, severity string")
     return found.join(F.broadcast(about), "rule_id")
 

@@ -8,6 +8,9 @@ from gleanspark.operators.pages import WELL_KNOWN
 from gleanspark.operators.scan import CONTACT_BY_NAME, ENTROPY_ASSIGNMENT
 from gleanspark.plans.fixtures import sql as table
 
+#: As in queries.
+CASES, SCRIPTS = 1_000_000_000, 1000
+
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -44,6 +47,9 @@ FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT
 _ANCHORS = f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS "index", {_ENTITIES.format("found[i]")} AS href
 FROM (SELECT page_id, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS found FROM pages))"""
 
+_SCRIPTS = f"""(SELECT script_id + {CASES} AS script_id, content, regexp_replace(url, '^.*/', '') AS name FROM {table("scripts")}
+  UNION ALL SELECT page_id * {SCRIPTS} + "index", content, name FROM ({_listed('<script>(.*?)</script>')}) JOIN (SELECT page_id, {_filename("trim(url)")} AS name FROM pages) USING (page_id))"""
+
 _SECURITY = ", ".join(f"({_q(h)})" for h in V.SECURITY_HEADERS)
 
 ORACLES: dict[str, str] = {
@@ -105,7 +111,7 @@ JOIN {table("detections")} AS b ON b.page_id = a.page_id AND b.technology = k.o"
     "report_csv": f"""SELECT technology, category, version, printf('%.2f', confidence) AS confidence, coalesce(filename, '') AS filename, array_to_string(evidence, '; ') AS evidence FROM {table("detections")}""",
     "provider_import": f"""SELECT page_id, t->>'$.name' AS name, t->>'$.version' AS version, CAST(t->>'$.confidence' AS DOUBLE) AS confidence FROM (
   SELECT page_id, unnest(CASE WHEN json[1] = '[' THEN json_extract(json, '$[*]') WHEN json_exists(json, '$.technologies') THEN json_extract(json, '$.technologies[*]') ELSE json_extract(json, '$.*.technologies[*]') END) AS t FROM {table("provider_json")} WHERE json_valid(json)) WHERE t->>'$.name' IS NOT NULL""",
-    "js_duplicates": f"""SELECT script_id, h AS content_hash, CASE WHEN script_id <> f THEN f END AS duplicate_of FROM (SELECT script_id, sha256(coalesce(content, '')) AS h, min(script_id) OVER (PARTITION BY sha256(coalesce(content, ''))) AS f FROM {table("scripts")})""",
+    "js_duplicates": f"""SELECT script_id, h AS content_hash, CASE WHEN script_id <> f THEN f END AS duplicate_of FROM (SELECT script_id, sha256(coalesce(content, '')) AS h, min(script_id) OVER (PARTITION BY sha256(coalesce(content, ''))) AS f FROM {_SCRIPTS})""",
 }
 # Every anchor of the synthetic pages is a path from the root.
 _ASSETS = f"""SELECT regexp_replace({_normalized("u")}, '#.*$', '') AS asset_key, page_id FROM (SELECT a.page_id, regexp_extract(trim(p.url), '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || a.href AS u FROM ({_ANCHORS}) AS a JOIN pages AS p USING (page_id))"""

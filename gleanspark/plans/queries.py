@@ -55,12 +55,85 @@ def _anchor_inventory(s: SparkSession, d: str) -> DataFrame:
     return pages.inventory(pages.resolved(rows))
 
 
-def _assessed(s: SparkSession) -> DataFrame:
-    return artifacts.with_risk(artifacts.artifact_references(frame(s, "artifact_texts")))
+#: Ids of the literal edge cases begin here, beyond those of the tables that they are put to.
+CASES = 1_000_000_000
+#: Numbers of a page's scripts are below it.
+SCRIPTS = 1000
 
 
-def _judged(s: SparkSession) -> DataFrame:
-    return sensitive.judged(sensitive.signalled(sensitive.sensitive_hits(frame(s, "secret_texts"))))
+def _with_cases(s: SparkSession, name: str, key: str, real: DataFrame) -> DataFrame:
+    """A table's rows and the literal edge cases of the same columns."""
+    cases = frame(s, name)
+    return real.select(*cases.columns).unionByName(cases.withColumn(key, F.col(key) + CASES))
+
+
+def _script_texts(s: SparkSession, d: str) -> DataFrame:
+    return pages.inline_script_texts(_pages(s, d)).withColumn("script_id", F.col("page_id") * SCRIPTS + F.col("index"))
+
+
+def _scripts(s: SparkSession, d: str) -> DataFrame:
+    """script_id, url, content: inline scripts of all pages, and cases."""
+    return _with_cases(s, "scripts", "script_id", _script_texts(s, d))
+
+
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    """Inline scripts of all pages as what patterns and rules look at, and cases."""
+    nothing = F.lit(None).cast("string")
+    real = _script_texts(s, d).withColumns({"ctx_id": F.col("script_id"), "filename": nothing, "source_map_url": nothing})
+    return _with_cases(s, "contexts", "page_id", real)
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    """What the inline scripts of all pages show, as evidence for technologies, and cases."""
+    texts = _script_texts(s, d)
+    kind, key = F.col("evidence_type"), F.col("key")
+    name = F.when(kind == "runtime_pattern", "runtime_family").when(kind == "bundle_runtime", "bundler").otherwise("technology")
+    real = javascript.script_evidence(texts).withColumns(
+        {
+            "page_id": F.floor(F.col("script_id") / SCRIPTS).cast("long"),
+            "evidence_id": F.concat_ws(":", F.col("script_id").cast("string"), kind, key),
+            "source": F.lit("javascript"),
+            "url": F.concat(F.lit("inline://"), F.col("script_id").cast("string")),
+            "file": F.lit(None).cast("string"),
+            "metadata": F.create_map(name, key),
+        }
+    )
+    return _with_cases(s, "evidence", "page_id", real)
+
+
+def _secret_texts(s: SparkSession, d: str) -> DataFrame:
+    """All turns of all conversations, and cases."""
+    turns = _table(s, d, "conversations").select(F.col("conv_id").alias("page_id"), F.concat_ws(":", "role", F.col("turn").cast("string")).alias("source"), "text")
+    return _with_cases(s, "secret_texts", "page_id", turns)
+
+
+def _artifact_texts(s: SparkSession, d: str) -> DataFrame:
+    """All pages, and cases."""
+    return _with_cases(s, "artifact_texts", "page_id", _table(s, d, "pages").select("page_id", F.lit("html").alias("source"), F.col("html").alias("text")))
+
+
+def _assessed(s: SparkSession, d: str) -> DataFrame:
+    return artifacts.with_risk(artifacts.artifact_references(_artifact_texts(s, d)))
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    return sensitive.judged(sensitive.signalled(sensitive.sensitive_hits(_secret_texts(s, d))))
+
+
+def _calibrated(s: SparkSession, d: str) -> DataFrame:
+    found = _judged(s, d)
+    return sensitive.calibrated(found, sensitive.pairs(found))
+
+
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    return evidence.evaluated(evidence.matched_rules(_evidence(s, d), evidence.signature_rules()), evidence.signature_table(s))
+
+
+def _reachable(s: SparkSession, d: str) -> DataFrame:
+    """From each page to the scripts that its own ones name, and from the first case on."""
+    scripts = _scripts(s, d)
+    seeds = scripts.where(F.col("script_id") == CASES + 1).select(F.lit(CASES + 1).cast("long").alias("page_id"), "url").unionByName(_table(s, d, "pages").select("page_id", "url"))
+    return javascript.reachable(seeds, scripts)
 
 
 def _hash_counts(s: SparkSession, d: str) -> DataFrame:
@@ -105,33 +178,33 @@ QUERIES: dict[str, Query] = {
     "http_evidence": lambda s, d: http.http_evidence(frame(s, "responses")).select("page_id", "evidence_type", "value", F.element_at("metadata", "header").alias("header")),
     "asset_categories": lambda s, d: frame(s, "assets").select("id", C.asset_category(F.col("url"), F.col("filename"), F.col("mime"), F.col("hint")).alias("category")),
     "download_outcomes": lambda s, d: frame(s, "downloads").select("id", C.download_status(F.col("ok"), F.col("status"), F.col("error")).alias("outcome")),
-    "fp_matches": lambda s, d: fingerprint.pattern_matches(frame(s, "contexts")).select("page_id", "ctx_id", "technology", "matcher", "pattern", "weight", "tier"),
-    "fp_score": lambda s, d: fingerprint.scores(fingerprint.pattern_matches(frame(s, "contexts")), fingerprint.context_versions(frame(s, "contexts"))).select("page_id", "ctx_id", "technology", "version", "n", "confidence"),
-    "fp_versions": lambda s, d: fingerprint.context_versions(frame(s, "contexts")),
-    "fp_detect": lambda s, d: fingerprint.detect(frame(s, "contexts")).select("page_id", "technology", "version", "confidence", "contexts", "confirmed"),
-    "signature_evaluations": lambda s, d: evidence.evaluated(evidence.matched_rules(frame(s, "evidence"), evidence.signature_rules()), evidence.signature_table(s)),
-    "signature_detections": lambda s, d: evidence.by_signatures(frame(s, "evidence")).select("page_id", "technology", "confidence"),
-    "signature_reduced": lambda s, d: evidence.reduced(evidence.evaluated(evidence.matched_rules(frame(s, "evidence"), evidence.signature_rules()), evidence.signature_table(s))),
-    "evidence_identities": lambda s, d: evidence.identities(frame(s, "evidence")).select("page_id", "evidence_id", "identity"),
-    "identity_candidates": lambda s, d: evidence.candidates(frame(s, "evidence")),
+    "fp_matches": lambda s, d: fingerprint.pattern_matches(_contexts(s, d)).select("page_id", "ctx_id", "technology", "matcher", "pattern", "weight", "tier"),
+    "fp_score": lambda s, d: fingerprint.scores(fingerprint.pattern_matches(_contexts(s, d)), fingerprint.context_versions(_contexts(s, d))).select("page_id", "ctx_id", "technology", "version", "n", "confidence"),
+    "fp_versions": lambda s, d: fingerprint.context_versions(_contexts(s, d)),
+    "fp_detect": lambda s, d: fingerprint.detect(_contexts(s, d)).select("page_id", "technology", "version", "confidence", "contexts", "confirmed"),
+    "signature_evaluations": lambda s, d: _evaluated(s, d),
+    "signature_detections": lambda s, d: evidence.by_signatures(_evidence(s, d)).select("page_id", "technology", "confidence"),
+    "signature_reduced": lambda s, d: evidence.reduced(_evaluated(s, d)),
+    "evidence_identities": lambda s, d: evidence.identities(_evidence(s, d)).select("page_id", "evidence_id", "identity"),
+    "identity_candidates": lambda s, d: evidence.candidates(_evidence(s, d)),
     "evidence_summary": lambda s, d: frame(s, "evidence").groupBy("source", "evidence_type").agg(F.count(F.lit(1)).alias("n")),
     "version_validate": lambda s, d: frame(s, "versions").select("id", C.normalize_version(F.col("raw")).alias("normalized"), F.coalesce(C.valid_version(F.col("raw")), F.lit(False)).alias("valid")),
     "version_primary": lambda s, d: providers.resolved_versions(frame(s, "version_candidates")),
-    "js_tokens": lambda s, d: javascript.tokens(frame(s, "scripts")).select("script_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("strings").alias("n_strings")),
-    "js_evidence": lambda s, d: javascript.script_evidence(frame(s, "scripts")),
-    "js_versions": lambda s, d: javascript.version_hits(frame(s, "scripts")),
-    "js_duplicates": lambda s, d: javascript.duplicate_scripts(frame(s, "scripts")),
-    "js_reachable": lambda s, d: javascript.reachable(frame(s, "scripts").where("script_id = 1").select(F.lit(1).cast("long").alias("page_id"), "url"), frame(s, "scripts")),
-    "js_kinds": lambda s, d: frame(s, "scripts").select("script_id", javascript.bundler(C.filename(F.col("url")), F.col("content")).alias("bundler"), javascript.resource_kind(C.filename(F.col("url")), F.lit(False)).alias("kind"), javascript.chunk_name(C.filename(F.col("url"))).alias("chunk"), javascript.shape(F.coalesce("content", F.lit(""))).alias("shape")),
-    "artifact_references": lambda s, d: artifacts.artifact_references(frame(s, "artifact_texts")).select("page_id", "source", "category", "artifact_type", "shown", "start"),
-    "artifact_classify_risk": lambda s, d: _assessed(s).select("page_id", "artifact_type", "classification", "severity", "risk_confidence"),
-    "artifact_classes": lambda s, d: artifacts.classes(_assessed(s)),
-    "artifact_findings": lambda s, d: artifacts.artifact_findings(_assessed(s)).drop("finding_id"),
-    "sensitive_verdicts": lambda s, d: _judged(s).select("page_id", "source", "rule_id", "start", "state", "reason", "adjusted_confidence"),
-    "cred_pair_range_join": lambda s, d: sensitive.pairs(_judged(s)),
-    "severity_calibrate": lambda s, d: sensitive.calibrated(_judged(s), sensitive.pairs(_judged(s))).select("page_id", "source", "rule_id", "start", "final_severity", "final_confidence"),
-    "sensitive_values": lambda s, d: sensitive.sensitive_values(frame(s, "secret_texts")).drop("content_key"),
-    "sensitive_summary": lambda s, d: sensitive.summary(sensitive.sensitive_values(frame(s, "secret_texts"))),
+    "js_tokens": lambda s, d: javascript.tokens(_scripts(s, d)).select("script_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("strings").alias("n_strings")),
+    "js_evidence": lambda s, d: javascript.script_evidence(_scripts(s, d)),
+    "js_versions": lambda s, d: javascript.version_hits(_scripts(s, d)),
+    "js_duplicates": lambda s, d: javascript.duplicate_scripts(_scripts(s, d)),
+    "js_reachable": _reachable,
+    "js_kinds": lambda s, d: _scripts(s, d).select("script_id", javascript.bundler(C.filename(F.col("url")), F.col("content")).alias("bundler"), javascript.resource_kind(C.filename(F.col("url")), F.lit(False)).alias("kind"), javascript.chunk_name(C.filename(F.col("url"))).alias("chunk"), javascript.shape(F.coalesce("content", F.lit(""))).alias("shape")),
+    "artifact_references": lambda s, d: artifacts.artifact_references(_artifact_texts(s, d)).select("page_id", "source", "category", "artifact_type", "shown", "start"),
+    "artifact_classify_risk": lambda s, d: _assessed(s, d).select("page_id", "artifact_type", "classification", "severity", "risk_confidence"),
+    "artifact_classes": lambda s, d: artifacts.classes(_assessed(s, d)),
+    "artifact_findings": lambda s, d: artifacts.artifact_findings(_assessed(s, d)).drop("finding_id"),
+    "sensitive_verdicts": lambda s, d: _judged(s, d).select("page_id", "source", "rule_id", "start", "state", "reason", "adjusted_confidence"),
+    "cred_pair_range_join": lambda s, d: sensitive.pairs(_judged(s, d)),
+    "severity_calibrate": lambda s, d: _calibrated(s, d).select("page_id", "source", "rule_id", "start", "final_severity", "final_confidence"),
+    "sensitive_values": lambda s, d: sensitive.sensitive_values(_secret_texts(s, d)).drop("content_key"),
+    "sensitive_summary": lambda s, d: sensitive.summary(sensitive.sensitive_values(_secret_texts(s, d))),
     "sensitive_documents": lambda s, d: sensitive.sensitive_values(_table(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source"), "text")),
     "provider_merge": lambda s, d: providers.merged_providers(providers.canonical(frame(s, "provider_rows"))),
     "provider_import": lambda s, d: providers.imported_results(frame(s, "provider_json")),
@@ -142,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "conflict_removal": lambda s, d: providers.without_conflicts(frame(s, "detections"), frame(s, "conflicts")),
     "report_groups": lambda s, d: findings.report_groups(frame(s, "detections")),
     "report_csv": lambda s, d: findings.csv_rows(frame(s, "detections")),
-    "rule_findings": lambda s, d: rules.rule_findings(frame(s, "contexts").withColumn("headers", F.create_map().cast("map<string,string>")), RULES).drop("finding_id"),
+    "rule_findings": lambda s, d: rules.rule_findings(_contexts(s, d).withColumn("headers", F.create_map().cast("map<string,string>")), RULES).drop("finding_id"),
 }
 
 

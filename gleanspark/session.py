@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(name: str = "gleanspark", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -25,6 +27,25 @@ def local_session(name: str = "gleanspark", cores: str = "*", partitions: int =
     )
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the folder in spark.checkpoint.dir and read it again: what is used twice is worked out once.
+
+    Where the setting is unset, local sessions use a folder of their own; others must set it, as executors share no other.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="gleanspark-tables-")
+        folder = _LOCAL[app]
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it anywhere."""
     app = spark.sparkContext.applicationId
