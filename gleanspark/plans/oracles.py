@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from gleanspark.functions import fixed_values as V
 from gleanspark.functions.identities import RELATIONSHIPS
+from gleanspark.functions.js_patterns import JS_BUNDLE_PATTERNS, JS_RUNTIME_PATTERNS, JS_VERSION_PATTERNS
+from gleanspark.functions.version_patterns import METHOD_WEIGHTS, VERSION_PATTERNS
+from gleanspark.operators import javascript as J
+from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, Pattern, evidence_tier, fingerprint_patterns
 from gleanspark.operators.pages import WELL_KNOWN
 from gleanspark.operators.scan import CONTACT_BY_NAME, ENTROPY_ASSIGNMENT
 from gleanspark.plans.fixtures import sql as table
@@ -119,6 +125,98 @@ _CATEGORY = f"""CASE WHEN contains(lower(filename), 'manifest') THEN 'manifest'
 ORACLES["anchor_inventory"] = f"""SELECT *, {_CATEGORY} AS category FROM (SELECT asset_key, count(*) AS n_references, count(DISTINCT page_id) AS n_pages, 'anchor' AS sources, {_filename("asset_key")} AS filename FROM ({_ASSETS}) GROUP BY asset_key)"""
 ORACLES["asset_category_summary"] = f"SELECT category, count(*) AS n_assets, CAST(sum(n_references) AS BIGINT) AS n_references FROM ({ORACLES['anchor_inventory']}) GROUP BY 1"
 
+# Scripts of pages as contexts, and cases.
+_CONTEXTS = f"""(SELECT page_id + {CASES} AS page_id, ctx_id, url, filename, content, source_map_url FROM {table("contexts")}
+  UNION ALL SELECT page_id, page_id * {SCRIPTS} + "index", url, NULL, content, NULL FROM ({_listed('<script>(.*?)</script>')}) JOIN (SELECT page_id, url FROM pages) USING (page_id))"""
+
+
+def _pattern(p: Pattern) -> str:
+    """The condition of a fingerprint's pattern on a context."""
+    text, name, url, low = "coalesce(content, '')", "lower(coalesce(filename, ''))", "lower(coalesce(url, ''))", p.pattern.lower()
+    has = lambda x, y: f"contains({x}, {_q(y)})"
+    matches = lambda x, y, flags="c": f"regexp_matches({x}, {_q(y)}, '{flags}')"
+    if p.matcher == "string":
+        return has(text, p.pattern)
+    if p.matcher == "regex":
+        return matches(text, p.pattern, "i" if "i" in p.flags else "c")
+    if p.matcher == "filename":
+        if low.startswith("re:"):
+            return f"({matches(name, low[3:], 'i')} OR {matches(url, low[3:], 'i')})"
+        more = {"chunk": ["webpack"], "vendor": list(BUNDLE_HINTS), "bundle": list(BUNDLE_HINTS)}.get(low, [])
+        return "(" + " OR ".join(has(x, y) for x in (name, url) for y in [low, *more]) + ")"
+    if p.matcher == "sourcemap":
+        both = f"concat_ws(chr(10), source_map_url, {text})"
+        found = matches(both, p.pattern[3:], "i") if p.pattern.startswith("re:") else has(f"lower({both})", low)
+        return f"((source_map_url IS NOT NULL OR {has(text, 'sourceMappingURL=')}) AND {found})"
+    if len(p.pattern.strip()) <= 2:
+        return "false"
+    n = re.escape(p.pattern)
+    found = [matches(text, rf"\b(?:var|let|const)\s+{n}\b|\b(?:window|self|globalThis)\.{n}\b|\b{n}\s*[.=]")]
+    found += [has(text, p.pattern)] if p.pattern in BOOTSTRAP_MARKERS else []
+    found += [has(text, m) for m in {"webpackBootstrap": ("__webpack_require__", "webpackJsonp"), "viteBootstrap": ("__vite__", "import.meta.hot")}.get(p.pattern, ())]
+    return "(" + " OR ".join(found) + ")"
+
+
+def _struct(**values: str) -> str:
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in values.items()) + "}"
+
+
+def _each_of(source: str, key: str, items: list[tuple[str, str]]) -> str:
+    """The structs (as lists) whose conditions hold, one row each."""
+    return f"SELECT {key}, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in items) + f"], lambda x: x IS NOT NULL)) AS m FROM {source}"
+
+
+_FP = [(_pattern(p), _struct(technology=_q(p.technology), matcher=_q(p.matcher), pattern=_q(p.pattern), weight=f"{p.weight}::DOUBLE", tier=_q(evidence_tier(p.matcher, p.pattern, p.weight)))) for p in fingerprint_patterns()]
+ORACLES["fp_matches"] = f"SELECT page_id, ctx_id, m.technology, m.matcher, m.pattern, m.weight, m.tier FROM ({_each_of(_CONTEXTS, 'page_id, ctx_id', _FP)})"
+
+_VERSION = r"^\d{1,4}\.\d{1,4}(\.\d{1,4})?(-[\w.-]+)?(\+[\w.-]+)?$"
+_plain = lambda raw: f"trim(regexp_replace(regexp_replace(trim({raw}), '^[\"'']+|[\"'']+$', '', 'g'), '^[vV]', ''))"
+_is_version = lambda v: f"(regexp_matches({v}, {_q(_VERSION)}) AND NOT regexp_matches({v}, '^0+\\.0+(\\.0+)?([-+].*)?$'))"
+_TEXT = "coalesce(content, '')"
+_JS = [(f"regexp_matches({_TEXT}, {_q(p)})", _struct(t=_q(kind), k=_q(k), l=_q(n), v=f"regexp_extract({_TEXT}, {_q(p)}, 0)")) for kind, patterns in (("runtime_pattern", JS_RUNTIME_PATTERNS), ("bundle_runtime", JS_BUNDLE_PATTERNS)) for k, n, p in patterns]
+_JS += [(_is_version(_plain(f"regexp_extract({_TEXT}, {_q(p)}, 1)")), _struct(t="'version_candidate'", k=_q(k), l=_q(n), v=_plain(f"regexp_extract({_TEXT}, {_q(p)}, 1)"))) for k, n, p in JS_VERSION_PATTERNS]
+ORACLES["js_evidence"] = f"SELECT script_id, m.t AS evidence_type, m.k AS key, m.l AS label, m.v AS value FROM ({_each_of(_SCRIPTS, 'script_id', _JS)})"
+
+_HITS = " UNION ALL ".join(f"SELECT script_id, {_q(t)} AS technology, {_q(m)} AS method, {METHOD_WEIGHTS.get(m, 60.0)}::DOUBLE AS weight, unnest(regexp_extract_all({_TEXT}, {_q(p)}, 1)) AS raw FROM {_SCRIPTS}" for t, m, p in VERSION_PATTERNS)
+ORACLES["js_versions"] = f"SELECT DISTINCT script_id, technology, method, {_plain('raw')} AS version, weight FROM ({_HITS}) WHERE {_is_version(_plain('raw'))}"
+
+_HEAD = "concat_ws(chr(10), name, substr(content, 1, 8192))"
+_LINES = f"len(string_split({_TEXT}, chr(10)))"
+_named = lambda p: f"regexp_matches(lower(name), {_q(p)})"
+_CHUNK = r"(?i)chunk[-.]?([\w-]+)|([\w-]+)\.chunk"
+ORACLES["js_kinds"] = f"""SELECT script_id, CASE {" ".join(f"WHEN regexp_matches({_HEAD}, {_q(p)}) THEN {_q(n)}" for n, p in J.BUNDLER_MARKS)} ELSE 'unknown' END AS bundler,
+  CASE WHEN {_named(J.WORKER_NAME)} THEN 'worker' WHEN {_named(J.ENTRY_NAME)} THEN 'entry_bundle' WHEN {_named(J.RUNTIME_NAME)} THEN 'runtime_bundle' WHEN {_named(J.VENDOR_NAME)} THEN 'vendor_bundle'
+  WHEN {_named(J.FRAMEWORK_NAME)} THEN 'framework_bundle' WHEN {_named(J.CHUNK_NAME)} THEN CASE WHEN contains(lower(name), 'lazy') THEN 'lazy_chunk' ELSE 'dynamic_chunk' END ELSE 'application_bundle' END AS kind,
+  coalesce(nullif(regexp_extract(name, {_q(_CHUNK)}, 1), ''), nullif(regexp_extract(name, {_q(_CHUNK)}, 2), '')) AS chunk,
+  CASE WHEN CASE WHEN {_LINES} <= 1 THEN length({_TEXT}) > 500 ELSE {_LINES} <= 50 AND (length({_TEXT}) - ({_LINES} - 1)) / {_LINES} >= 180 END THEN 'minified' ELSE 'readable' END AS shape FROM {_SCRIPTS}"""
+
+ORACLES["rule_findings"] = f"""SELECT page_id, analyzer, category, title, severity, confidence, evidence, url AS location FROM (
+  SELECT page_id, url, 'rule:has-react' AS analyzer, 'TECHNOLOGY' AS category, 'React used' AS title, 'LOW' AS severity, 80.0::DOUBLE AS confidence, 'React.createElement' AS evidence FROM {_CONTEXTS} WHERE contains(content, 'React.createElement')
+  UNION ALL SELECT page_id, url, 'rule:version-set', 'INFORMATION', 'Version set', 'INFO', 100.0, regexp_extract(content, '(\\w+)\\.version\\s*=\\s*"[\\d.]+"', 0) FROM {_CONTEXTS} WHERE regexp_matches(content, '(\\w+)\\.version\\s*=\\s*"[\\d.]+"')
+  UNION ALL SELECT page_id, url, 'rule:bundle-name', 'INFORMATION', 'Bundle', 'INFO', 100.0, regexp_extract(filename, '(?i)bundle', 0) FROM {_CONTEXTS} WHERE regexp_matches(filename, '(?i)bundle'))"""
+
+# The synthetic pages have a title, a language and comments, but no other metadata: SQL says so for those kinds.
+_ABSENT = (("opengraph-analyzer", "No OpenGraph property"), ("twitter-card-analyzer", "No Twitter card property"), ("canonical-link-analyzer", "No Canonical link"), ("alternate-link-analyzer", "No Alternate link"), ("favicon-analyzer", "No Icon"), ("web-app-manifest-analyzer", "No Web app manifest"), ("framework-metadata-analyzer", "No Framework hint"), ("service-worker-analyzer", "No Service worker"), ("sourcemap-analyzer", "No Source map"), ("application-metadata-analyzer", "Application name missing"), ("generator-meta-analyzer", "Generator missing"), ("theme-color-analyzer", "Theme color missing"))
+_told = lambda analyzer, what, value: f"SELECT page_id, {_q(analyzer)} AS analyzer, CASE WHEN coalesce(trim({value}), '') <> '' THEN '{what}: ' || trim({value}) ELSE '{what} missing' END AS title, {value} AS evidence FROM ({ORACLES['html_title_lang']})"
+ORACLES["page_findings"] = f"""SELECT page_id, analyzer, 'METADATA' AS category, title, 'INFO' AS severity, 100.0::DOUBLE AS confidence, evidence, url AS location FROM (
+  {_told("html-metadata-analyzer", "Title", "title")} UNION ALL {_told("language-analyzer", "Language", "language")}
+  UNION ALL SELECT page_id, 'html-comment-analyzer', 'HTML comment: ' || content, content FROM ({ORACLES["html_comments"]})
+  UNION ALL SELECT page_id, 'html-comment-analyzer', 'No HTML comment', NULL FROM pages WHERE NOT contains(html, '<!--')
+  UNION ALL SELECT page_id, a, t, NULL FROM pages, (VALUES {", ".join(f"({_q(a)}, {_q(t)})" for a, t in _ABSENT)}) AS v(a, t)) JOIN (SELECT page_id, url FROM pages) USING (page_id)"""
+_FINDINGS = f"({ORACLES['page_findings']})"
+for _by in ("category", "analyzer", "severity"):
+    ORACLES[f"finding_stats_by_{_by}"] = f"SELECT {_by}, count(*) AS n, round(avg(confidence), 2) AS avg_confidence, max(confidence) AS max_confidence FROM {_FINDINGS} GROUP BY 1"
+ORACLES["finding_statistics"] = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {c} AS value, count(*) AS n FROM {_FINDINGS} GROUP BY 2" for d, c in (("category", "category"), ("severity", "severity"), ("analyzer", "analyzer"), ("all", "'all'")))
+ORACLES["sarif_rows"] = f"""SELECT analyzer AS rule_id, CAST(to_json({{'ruleId': analyzer, 'level': 'note', 'message': {{'text': title}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': coalesce(location, '')}}}}}}]}}) AS VARCHAR) AS result FROM {_FINDINGS}"""
+
+_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+_FULL = _normalized(f"CASE WHEN regexp_matches(trim(url), {_q(_URL)}) THEN trim(url) ELSE 'https://' || trim(url) END")
+ORACLES["url_cases"] = f"""SELECT id, {_normalized("trim(url)")} AS normalized, CASE WHEN regexp_matches({_FULL}, '^https?://[^/?#]+') THEN {_FULL} END AS valid, {_filename("trim(url)")} AS filename FROM {table("urls")}"""
+ORACLES["http_evidence"] = f"""SELECT page_id, 'http_header' AS evidence_type, h.value AS value, lower(trim(h.key)) AS header FROM (SELECT page_id, unnest(map_entries(headers)) AS h FROM {table("responses")})
+UNION ALL SELECT page_id, 'http_metadata', CAST(status_code AS VARCHAR), 'status' FROM {table("responses")}"""
+# Worked out by hand from the rules: scores of page 2 are 72 and 72.75, of different sources; page 3 can't confirm, and 0.0.0 is no version.
+ORACLES["version_primary"] = "SELECT * FROM (VALUES (1, 'react', '18.2.0', 'WEAK_ALTERNATE', '17.0.2'), (2, 'vue', 'Unknown', 'AMBIGUOUS', '3.3.1,3.4.0'), (3, 'jquery', 'Unknown', 'WEAK_ONLY', '3.7.1')) AS v(page_id, technology, version, conflict, alternates)"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
