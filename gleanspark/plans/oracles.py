@@ -9,7 +9,8 @@ from gleanspark.functions.identities import RELATIONSHIPS
 from gleanspark.functions.js_patterns import JS_BUNDLE_PATTERNS, JS_RUNTIME_PATTERNS, JS_VERSION_PATTERNS
 from gleanspark.functions.version_patterns import METHOD_WEIGHTS, VERSION_PATTERNS
 from gleanspark.operators import javascript as J
-from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, Pattern, evidence_tier, fingerprint_patterns
+from gleanspark.functions.fingerprints import FINGERPRINTS
+from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, VERSION_MULTIPLIERS, Pattern, evidence_tier, fingerprint_patterns, strong_pattern, version_patterns, weak_pattern
 from gleanspark.operators.pages import WELL_KNOWN
 from gleanspark.operators.scan import CONTACT_BY_NAME, ENTROPY_ASSIGNMENT
 from gleanspark.plans.fixtures import sql as table
@@ -166,7 +167,7 @@ def _each_of(source: str, key: str, items: list[tuple[str, str]]) -> str:
     return f"SELECT {key}, unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {v} END" for c, v in items) + f"], lambda x: x IS NOT NULL)) AS m FROM {source}"
 
 
-_FP = [(_pattern(p), _struct(technology=_q(p.technology), matcher=_q(p.matcher), pattern=_q(p.pattern), weight=f"{p.weight}::DOUBLE", tier=_q(evidence_tier(p.matcher, p.pattern, p.weight)))) for p in fingerprint_patterns()]
+_FP = [(_pattern(p), _struct(technology=_q(p.technology), matcher=_q(p.matcher), pattern=_q(p.pattern), weight=f"{p.weight}::DOUBLE", tier=_q(evidence_tier(p.matcher, p.pattern, p.weight)), strong=str(strong_pattern(p.matcher, p.pattern)), weak=str(weak_pattern(p.matcher, p.pattern)))) for p in fingerprint_patterns()]
 ORACLES["fp_matches"] = f"SELECT page_id, ctx_id, m.technology, m.matcher, m.pattern, m.weight, m.tier FROM ({_each_of(_CONTEXTS, 'page_id, ctx_id', _FP)})"
 
 _VERSION = r"^\d{1,4}\.\d{1,4}(\.\d{1,4})?(-[\w.-]+)?(\+[\w.-]+)?$"
@@ -214,8 +215,29 @@ _FULL = _normalized(f"CASE WHEN regexp_matches(trim(url), {_q(_URL)}) THEN trim(
 ORACLES["url_cases"] = f"""SELECT id, {_normalized("trim(url)")} AS normalized, CASE WHEN regexp_matches({_FULL}, '^https?://[^/?#]+') THEN {_FULL} END AS valid, {_filename("trim(url)")} AS filename FROM {table("urls")}"""
 ORACLES["http_evidence"] = f"""SELECT page_id, 'http_header' AS evidence_type, h.value AS value, lower(trim(h.key)) AS header FROM (SELECT page_id, unnest(map_entries(headers)) AS h FROM {table("responses")})
 UNION ALL SELECT page_id, 'http_metadata', CAST(status_code AS VARCHAR), 'status' FROM {table("responses")}"""
+_VERSIONS = _each_of(_CONTEXTS, "page_id, ctx_id", [(_is_version(_plain(f"regexp_extract({_TEXT}, {_q(p.pattern)}, 1)")), _struct(t=_q(p.technology), c=f"{p.weight * VERSION_MULTIPLIERS.get(p.matcher, 1.0)}::DOUBLE", w=f"{p.weight}::DOUBLE", v=_plain(f"regexp_extract({_TEXT}, {_q(p.pattern)}, 1)"))) for p in version_patterns()])
+ORACLES["fp_versions"] = f"SELECT page_id, ctx_id, m.t AS technology, arg_max(m.v, {{'c': m.c, 'w': m.w, 'v': m.v}}) AS version, arg_max(m.w, {{'c': m.c, 'w': m.w, 'v': m.v}}) AS version_weight FROM ({_VERSIONS}) GROUP BY 1, 2, 3"
+_SHARE = "CASE m.matcher " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in V.MATCHER_MULTIPLIERS.items()) + " ELSE 1.0 END"
+_PRIOR = "CASE technology " + " ".join(f"WHEN {_q(t)} THEN {c}" for t, _, _, c, _, _ in FINGERPRINTS) + " ELSE 0 END"
+_SCORES = f"""WITH f AS (SELECT page_id, ctx_id, m.technology AS technology, sum(m.weight * {_SHARE}) AS raw, count(*) AS n, count(*) FILTER (WHERE m.strong) AS n_strong, count(*) FILTER (WHERE m.weak) AS n_weak,
+    count(*) FILTER (WHERE m.tier = 'high') AS n_high, count(*) FILTER (WHERE m.tier <> 'low') AS n_medium_high, count(*) FILTER (WHERE m.matcher = 'filename') AS n_filename
+  FROM ({_each_of(_CONTEXTS, 'page_id, ctx_id', _FP)}) GROUP BY 1, 2, 3),
+v AS ({ORACLES["fp_versions"]}),
+b AS (SELECT f.*, version, least(100.0, least(100.0, raw * 1.15) + CASE WHEN version IS NULL THEN 0 ELSE least(20.0, version_weight * 0.6) END)::DOUBLE AS base FROM f LEFT JOIN v USING (page_id, ctx_id, technology)),
+d AS (SELECT *, CASE WHEN n >= 2 THEN least(100.0, base * 1.08) ELSE base END::DOUBLE AS several FROM b),
+j AS (SELECT *, CASE WHEN n_strong >= 2 THEN least(100.0, several * 1.12) WHEN n_strong = 1 THEN least(100.0, several * 1.08) WHEN n = 1 AND n_filename = 1 THEN several * 0.65 WHEN n = 1 AND n_weak = 1 THEN several * 0.4 ELSE several END::DOUBLE AS judged FROM d)
+SELECT page_id, ctx_id, technology, coalesce(version, 'Unknown') AS version, n, n_weak, n_high, n_medium_high, round(greatest(0.0, least(100.0, judged * 0.82::DOUBLE + ({_PRIOR})::DOUBLE * 0.18::DOUBLE)), 2)::DOUBLE AS confidence FROM j"""
+ORACLES["fp_score"] = f"SELECT page_id, ctx_id, technology, version, n, confidence FROM ({_SCORES})"
+ORACLES["fp_detect"] = f"""SELECT page_id, technology, version, confidence, contexts, confidence >= 50 AND (version <> 'Unknown' OR high > 0 OR (not_weak > 0 AND (medium_high >= 2 OR (medium_high = 1 AND confidence >= 70)))) AS confirmed
+FROM (SELECT page_id, technology, coalesce(arg_max(version, {{'c': confidence, 'x': ctx_id}}) FILTER (WHERE version <> 'Unknown'), 'Unknown') AS version, round(least(100.0, max(confidence) + least(10.0, 2.0 * (count(*) - 1))), 1)::DOUBLE AS confidence, count(*) AS contexts,
+    max(n_high) AS high, max(n_medium_high) AS medium_high, max(n - n_weak) AS not_weak FROM ({_SCORES}) WHERE confidence >= 45 GROUP BY 1, 2)"""
+# Worked out by hand: vue falls to nuxt, and so displaces angularjs no more.
+ORACLES["conflict_removal"] = "SELECT page_id::BIGINT AS page_id, technology, confidence::DOUBLE AS confidence FROM (VALUES (1, 'nextjs', 96.5), (1, 'react', 91.25), (1, 'webpack', 80.0), (2, 'nuxt', 88.0), (2, 'angularjs', 60.0)) AS v(page_id, technology, confidence)"
+ORACLES["cookie_attributes"] = """SELECT page_id::BIGINT AS page_id, CAST(i AS INTEGER) AS "index", name, value, CAST(NULL AS VARCHAR) AS domain, path, CAST(NULL AS VARCHAR) AS expires, samesite, CAST(NULL AS VARCHAR) AS priority, max_age, secure, httponly, false AS partitioned, host_prefix, CAST(NULL AS VARCHAR) AS secure_prefix, raw
+FROM (VALUES (1, 0, 'session', 'abc', '/', NULL, NULL, true, true, NULL, 'session=abc; Path=/; Secure; HttpOnly'), (1, 1, '__Host-id', '7', '/', 'Lax', 60, true, false, '__Host-', '__Host-id=7; Path=/; Secure; SameSite=Lax; Max-Age=60'),
+  (3, 0, 'flag', '', NULL, NULL, NULL, false, false, NULL, 'flag')) AS v(page_id, i, name, value, path, samesite, max_age, secure, httponly, host_prefix, raw)"""
 # Worked out by hand from the rules: scores of page 2 are 72 and 72.75, of different sources; page 3 can't confirm, and 0.0.0 is no version.
-ORACLES["version_primary"] = "SELECT * FROM (VALUES (1, 'react', '18.2.0', 'WEAK_ALTERNATE', '17.0.2'), (2, 'vue', 'Unknown', 'AMBIGUOUS', '3.3.1,3.4.0'), (3, 'jquery', 'Unknown', 'WEAK_ONLY', '3.7.1')) AS v(page_id, technology, version, conflict, alternates)"
+ORACLES["version_primary"] = "SELECT page_id::BIGINT AS page_id, technology, version, conflict, alternates FROM (VALUES (1, 'react', '18.2.0', 'WEAK_ALTERNATE', '17.0.2'), (2, 'vue', 'Unknown', 'AMBIGUOUS', '3.3.1,3.4.0'), (3, 'jquery', 'Unknown', 'WEAK_ONLY', '3.7.1')) AS v(page_id, technology, version, conflict, alternates)"
 
 
 def oracle_sql() -> dict[str, str]:
