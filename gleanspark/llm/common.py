@@ -18,10 +18,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which all executors see; where it is unset, local sessions get one of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gleanspark-work-")
@@ -78,23 +80,23 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, n
     unique. Two levels of prefix sums (inside chunks of about sqrt(n) rows, then over the chunks) keep a key with any
     share of the rows from meeting in one task.
     """
-    chunk, before = f"_{out}_chunk", f"_{out}_before"
+    chunk, before, size_, local_, key_chunk = (f"_{out}_{x}" for x in ("chunk", "before", "size", "local", "key_chunk"))
     keys, order = list(keys), list(order)
     cut = df.withColumn(chunk, F.pmod(F.xxhash64(*(spread or order)), F.lit(chunk_count(n))).cast("int"))
     size = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
-    per = cut.groupBy(*keys, chunk).agg(size.alias("_size"))
+    per = cut.groupBy(*keys, chunk).agg(size.alias(size_))
     upto = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     # a null key is a key: joined by equality that knows nulls
-    per = per.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(chunk).alias("_c"), F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias(before))
+    per = per.select(*[F.col(k).alias(f"_{out}_key_{k}") for k in keys], F.col(chunk).alias(key_chunk), F.coalesce(F.sum(size_).over(upto), F.lit(0)).alias(before))
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     if weight:
         local = F.coalesce(F.sum(F.col(weight).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     else:
         local = F.row_number().over(inside) - 1
-    cut = cut.withColumn("_local", local)
-    on = [cut[k].eqNullSafe(per[f"_k_{k}"]) for k in keys] + [cut[chunk] == per["_c"]]
+    cut = cut.withColumn(local_, local)
+    on = [cut[k].eqNullSafe(per[f"_{out}_key_{k}"]) for k in keys] + [cut[chunk] == per[key_chunk]]
     joined = cut.join(per, on, "inner")
-    return joined.withColumn(out, (F.col(before) + F.col("_local")).cast("long")).drop(chunk, before, "_local", "_c", *[f"_k_{k}" for k in keys])
+    return joined.withColumn(out, (F.col(before) + F.col(local_)).cast("long")).drop(chunk, before, local_, key_chunk, *[f"_{out}_key_{k}" for k in keys])
 
 
 def range_ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:

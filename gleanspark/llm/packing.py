@@ -20,15 +20,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import materialize, parcels, prepared, range_ranked, text_of
 
 CAPACITY = 2048
 END_ID = 0
-#: A worker keeps the ids of words it has met, in about so many bytes; longer words are not kept.
-KEPT_BYTES = 48 << 20
+#: A worker keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
+KEPT_BYTES = 64 << 20
 KEPT_WORD_BYTES = 64
 #: Lengths are taken by classes: up to the whole capacity, a half of it, a third ...
 CLASSES = (1, 2, 3, 4, 8, 16, 32)
@@ -61,6 +61,7 @@ class WordIds:
         splits = [x for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [(x["behavior"], x["invert"]) for x in splits] == [("Removed", True)] and "\\s" in splits[0]["pattern"].get("Regex", "")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.size = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -73,11 +74,13 @@ class WordIds:
             # ASCII case means nothing to this tokenizer, but for special strings
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if self.size > KEPT_BYTES:
-            self.known.clear()
-            self.size = 0
+            self.before, self.known, self.size = self.known, {}, 0
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
+        before = self.before
+        self.known.update((w, before[w]) for w in new if w in before)
+        unknown = [w for w in new if w not in before]
+        for k in range(0, len(unknown), 5000):
+            part = unknown[k : k + 5000]
             found = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
         get = self.known.__getitem__
@@ -168,21 +171,33 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     counts = {r["class"]: r["n"] for r in items.groupBy(of_class.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()}
     placed: list[DataFrame] = []
     bins = spark.createDataFrame([], "bin long, gap int")
-    n_bins = 0
+    wide = [0] * len(bounds)  # gaps above each bound
+
+    def kept(now: DataFrame) -> DataFrame:
+        """The gaps that are left, written; their numbers are counted as they are."""
+        nonlocal wide
+        seen = Observation()
+        written = materialize(now.where("gap > 0").observe(seen, *[F.count_if(F.col("gap") > b).alias(f"n{k}") for k, b in enumerate(bounds)]), "pack-bins")
+        wide = [seen.get[f"n{k}"] for k in range(len(bounds))]
+        return written
+
     for k, (high, low) in enumerate(zip(bounds, bounds[1:], strict=False)):
         left, n, rounds = items.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length"), counts.get(k, 0), 0
         most, deal = capacity // (low + 1), capacity // high
+        if n and most == 1:
+            # no two fit together, and nothing is open yet
+            placed.append(left.select("id", F.col("id").alias("bin")))
+            bins, n = kept(left.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap"))), 0
         while n:
-            wide = bins.where(F.col("gap") > low).count() if n_bins else 0
-            chunks = max(1, int((n + wide) ** 0.5) // 256)
-            step = sweep(left, bins, high=high, low=low, slots=max(1, -(-2 * n // max(1, wide))), chunks=chunks)
-            step = materialize(step, "pack-step")
-            pieces_left = step.where("kind = 1 and mate is null")
-            n, tokens = pieces_left.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+            chunks = max(1, int((n + wide[k + 1]) ** 0.5) // 256)
+            step = sweep(left, bins, high=high, low=low, slots=max(1, -(-2 * n // max(1, wide[k + 1]))), chunks=chunks)
+            alone, seen = (F.col("kind") == 1) & F.col("mate").isNull(), Observation()
+            step = materialize(step.observe(seen, F.count_if(alone).alias("n"), F.coalesce(F.sum(F.when(alone, F.col("size"))), F.lit(0)).alias("tokens")), "pack-step")
+            n, tokens = seen.get["n"], seen.get["tokens"]
             placed.append(step.where("kind = 1 and mate is not null").select(F.col("ref").alias("id"), F.col("mate").alias("bin")))
             used = step.where("kind = 0").groupBy(F.col("ref").alias("bin")).agg((F.max("gap") - F.coalesce(F.sum("mate_size"), F.lit(0))).cast("int").alias("gap"))
             now = bins.where(F.col("gap") <= low).unionByName(used)
-            ranked_left = pieces_left.select(F.col("ref").alias("id"), F.col("size").alias("length"), (-F.col("level")).alias("rank"))
+            ranked_left = step.where(alone).select(F.col("ref").alias("id"), F.col("size").alias("length"), (-F.col("level")).alias("rank"))
             rounds += 1
             if n and (rounds > ROUNDS or deal == most):
                 # so many in each new sequence that they fit whatever their lengths are
@@ -190,15 +205,15 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
                 dealt = materialize(ranked_left.select("id", "length", F.first("id").over(group).alias("bin")), "pack-dealt")
                 placed.append(dealt.select("id", "bin"))
                 now = now.unionByName(dealt.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("gap")))
-                n_bins, n = n_bins + -(-n // deal), 0
+                n = 0
             elif n:
                 must = min(n, max(-(-tokens // capacity), -(-n // most)))
                 openers = ranked_left.where(F.col("rank") < must)
                 placed.append(openers.select("id", F.col("id").alias("bin")))
                 now = now.unionByName(openers.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap")))
-                n_bins, n = n_bins + must, n - must
+                n -= must
                 left = ranked_left.where(F.col("rank") >= must).select("id", "length")
-            bins = materialize(now.where("gap > 0"), "pack-bins")
+            bins = kept(now)
     return reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], "id long, bin long")
 
 

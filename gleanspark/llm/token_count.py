@@ -30,9 +30,10 @@ from gleanspark.llm.common import parcels, prepared, text_of
 
 MAX_TOKENS = 512
 CHUNK_CHARS = 65_536
-#: Bounds on a worker's memory, not on what is counted: states, and bytes of words (with the space before them) whose counts are kept.
+#: Bounds on a worker's memory, not on what is counted: states, and bytes of words (with the space before them) whose
+#: counts are kept, and as many of those met before that.
 KEPT_STATES = 120_000
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 40 << 20
 KEPT_WORD_CHARS = 64
 
 # What the tokenizer takes for white space, and its pattern of words (fixed values).
@@ -82,6 +83,7 @@ class CountTransducer:
         self.prefixes = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         self.own: dict[bytes, bool] = {}
         self.known: dict[str, int] = {}
+        self.before: dict[str, int] = {}
         self.size = 0
         self._clear()
 
@@ -178,7 +180,9 @@ class CountTransducer:
         return n
 
     def _unit(self, unit: str) -> int:
-        n = sum(map(self.walk, _WORDS.findall(unit)))
+        n = self.before.get(unit, -1)
+        if n < 0:
+            n = sum(map(self.walk, _WORDS.findall(unit)))
         if len(unit) <= KEPT_WORD_CHARS:
             self.known[unit] = n
             self.size += 150 + len(unit)
@@ -202,8 +206,7 @@ class CountTransducer:
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special string is one token."""
         if self.size > KEPT_BYTES:
-            self.known.clear()
-            self.size = 0
+            self.before, self.known, self.size = self.known, {}, 0
         out = []
         for t in texts:
             if self.cut and any(s in t for s in self.special):
