@@ -490,45 +490,6 @@ STRUCTURED_RULES = (
     'twilio-key',
 )
 
-# Fixed values.
-ASSIGNMENT_RULES = (
-    'base64-secret',
-    'bearer-token',
-    'connection-string',
-    'correlated-credentials',
-    'generic-api-key',
-    'high-entropy-secret',
-    'password-field',
-    'session-token',
-    'username-field',
-)
-
-# Fixed values.
-WEAK_VERSION_SOURCES = (
-    'bundle',
-    'generic_literal',
-    'global',
-    'inline',
-    'minified',
-    'reference',
-    'regex',
-    'unknown',
-)
-
-# Fixed values.
-CONFIRMABLE_METHODS = (
-    'RUNTIME_CONSTANT',
-    'FRAMEWORK_OBJECT',
-    'PACKAGE_IDENTIFIER',
-    'PACKAGE_MANIFEST',
-    'BUILD_METADATA',
-    'TECHNOLOGY_MARKER',
-    'METADATA',
-    'BANNER',
-    'SOURCE_MAP',
-    'ASSET_FILENAME',
-)
-
 # Fixed values.
 MANIFEST_FILES = (
     'browserconfig.xml',

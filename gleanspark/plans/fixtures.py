@@ -49,6 +49,7 @@ FIXTURES: dict[str, Rows] = {
             (3, "https://a.example/lazy.js", 'webpackJsonp.push(1); Bootstrap v5.3.2 fetch("data.json")'),
             (4, "https://a.example/copy.js", 'export const a = 1; new Worker("/work.js"); jquery@3.7.1'),
             (5, "https://a.example/work.js", None),
+            (6, "https://a.example/app.chunk.js", "//# sourceMappingURL=old.map\nlet q = 1;\n/*# sourceMappingURL=app.chunk.js.map*/"),
         ],
     ),
     "secret_texts": (
@@ -118,6 +119,23 @@ FIXTURES: dict[str, Rows] = {
             (3, "d3", "0.0.0", "runtime", 95.0, 90.0, True, True),
         ],
     ),
+    "robots": ("id long, text string", [(1, "User-agent: *\nSitemap: https://a.example/sitemap.xml\nsitemap:/b.xml  \nDisallow: /x"), (2, "# Sitemap: no"), (3, ""), (4, None), (5, "Sitemap:\thttps://c.example/s.xml.gz\r\nSitemap: https://c.example/t.xml")]),
+    "manifests": (
+        "id long, text string",
+        [(1, '{"name": "A", "icons": [{"src": "/i.png", "sizes": "48x48"}, {"sizes": "1x1"}], "screenshots": [{"src": "s.webp"}], "shortcuts": [{"name": "x", "icons": [{"src": "c.svg"}]}]}'), (2, "not json"), (3, '{"icons": []}'), (4, None), (5, '{"shortcuts": [{"icons": [{"src": "d.png"}]}, {"name": "none"}]}')],
+    ),
+    "observed": (
+        "page_id long, resource_type string, url string, available boolean",
+        [(1, "robots", "https://a.example/robots.txt", True), (1, "robots", "https://www.a.example/robots.txt", True), (1, "sitemap", "https://a.example/sitemap.xml", False), (2, "humans", "https://b.example/humans.txt", None), (2, "ads", "https://b.example/ads.txt", True), (2, "favicon", "https://b.example/favicon.ico", True)],
+    ),
+    "styles": (
+        "id long, css string",
+        [(1, "@import 'base.css'; body { background: url( \"a b.png\" ) } p { src: URL(f.woff2) }"), (2, "@IMPORT \"x.css\"; @import url(y.css);"), (3, "p { margin: 0 }"), (4, ""), (5, None)],
+    ),
+    "ranked": (
+        "page_id long, technology string, version string, confidence double, weight double",
+        [(1, "react", "18.2.0", 90.0, 25.0), (1, "react", "18.1.0", 90.0, 30.0), (1, "react", "17.0.2", 95.0, 10.0), (1, "vue", "3.4.1", 80.0, 25.0), (1, "vue", "3.4.0", 80.0, 25.0), (2, "react", "16.0.0", 10.0, 1.0), (2, None, "1.0", 5.0, 1.0)],
+    ),
     "versions": ("id long, raw string", [(1, "v1.2.3"), (2, '"2.0"'), (3, "0.0.0"), (4, "7"), (5, "1.2.3-beta.1+b5"), (6, "0.1"), (7, "abc"), (8, ""), (9, None), (10, "V10.20"), (11, "12345.1"), (12, "0.0")]),
     "urls": ("id long, url string", [(1, "HTTPS://Example.COM/a/b/?q=1#x"), (2, "http://example.com"), (3, " http://A.b/c// "), (4, "https://h.example:8080/p/file.min.js"), (5, "nope"), (6, None), (7, "ftp://x.example/y/"), (8, "https://u.example/manifest.json?v=2")]),
     "assets": (

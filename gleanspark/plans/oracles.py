@@ -11,7 +11,7 @@ from gleanspark.functions.version_patterns import METHOD_WEIGHTS, VERSION_PATTER
 from gleanspark.operators import javascript as J
 from gleanspark.functions.fingerprints import FINGERPRINTS
 from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, VERSION_MULTIPLIERS, Pattern, evidence_tier, fingerprint_patterns, strong_pattern, version_patterns, weak_pattern
-from gleanspark.operators.pages import WELL_KNOWN
+from gleanspark.operators.pages import WELL_KNOWN, WELL_KNOWN_ANALYZERS
 from gleanspark.operators.scan import CONTACT_BY_NAME, ENTROPY_ASSIGNMENT
 from gleanspark.plans.fixtures import sql as table
 
@@ -231,6 +231,21 @@ ORACLES["fp_score"] = f"SELECT page_id, ctx_id, technology, version, n, confiden
 ORACLES["fp_detect"] = f"""SELECT page_id, technology, version, confidence, contexts, confidence >= 50 AND (version <> 'Unknown' OR high > 0 OR (not_weak > 0 AND (medium_high >= 2 OR (medium_high = 1 AND confidence >= 70)))) AS confirmed
 FROM (SELECT page_id, technology, coalesce(arg_max(version, {{'c': confidence, 'x': ctx_id}}) FILTER (WHERE version <> 'Unknown'), 'Unknown') AS version, round(least(100.0, max(confidence) + least(10.0, 2.0 * (count(*) - 1))), 1)::DOUBLE AS confidence, count(*) AS contexts,
     max(n_high) AS high, max(n_medium_high) AS medium_high, max(n - n_weak) AS not_weak FROM ({_SCORES}) WHERE confidence >= 45 GROUP BY 1, 2)"""
+ORACLES["sitemap_lines"] = f"SELECT id, unnest(regexp_extract_all(text, '(?im)^Sitemap:\\s*(\\S+)', 1)) AS url FROM {table('robots')}"
+_bare = lambda found: f"list_transform({found}, lambda x: regexp_replace(trim(x), '^[''\"]|[''\"]$', '', 'g'))"
+_URLS, _IMPORTS = _q(r"(?i)url\(\s*([^)]+?)\s*\)"), _q(r"(?i)@import\s+(['\"][^'\"]+['\"])")
+_CSS = f"list_concat({_bare(f'regexp_extract_all(css, {_URLS}, 1)')}, {_bare(f'regexp_extract_all(css, {_IMPORTS}, 1)')})"
+ORACLES["css_references"] = f"""SELECT id, CAST(i - 1 AS INTEGER) AS "index", found[i] AS url FROM (SELECT id, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT id, {_CSS} AS found FROM {table("styles")}))"""
+_MAPS = _q(r"sourceMappingURL=([^\s\"']+)")
+ORACLES["source_map_references"] = f"SELECT script_id, regexp_replace(list_last(m), '[*/;,]+$', '') AS url FROM (SELECT script_id, regexp_extract_all(content, {_MAPS}, 1) AS m FROM {_SCRIPTS}) WHERE len(m) > 0"
+ORACLES["manifest_references"] = f"""SELECT id, url FROM (SELECT id, unnest(list_concat(json_extract_string(text, '$.icons[*].src'), json_extract_string(text, '$.screenshots[*].src'), json_extract_string(text, '$.shortcuts[*].icons[*].src'))) AS url
+FROM {table("manifests")} WHERE json_valid(text)) WHERE url IS NOT NULL"""
+ORACLES["confidence_levels"] = f"SELECT page_id, technology, CASE WHEN confidence >= 95 THEN 'very_high' WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END AS level FROM {table('detections')}"
+ORACLES["version_priorities"] = f"SELECT page_id, technology, version, source, CASE source {' '.join(f'WHEN {_q(k)} THEN {v}' for k, v in V.VERSION_SOURCE_PRIORITIES.items())} ELSE 30 END::DOUBLE AS source_priority FROM {table('version_candidates')}"
+ORACLES["best_versions"] = f"SELECT page_id, technology, version, confidence, weight FROM (SELECT *, row_number() OVER (PARTITION BY page_id, technology ORDER BY confidence DESC, weight DESC, version) AS p FROM {table('ranked')}) WHERE p = 1"
+_KINDS = ", ".join(f"({_q(t)}, {_q(a)})" for a, t in WELL_KNOWN_ANALYZERS.items())
+ORACLES["well_known_findings"] = f"""SELECT page_id, a AS analyzer, 'METADATA' AS category, t || CASE WHEN there THEN ' present' ELSE ' missing' END AS title, 'INFO' AS severity, 100.0::DOUBLE AS confidence, CAST(NULL AS VARCHAR) AS evidence, u AS location
+FROM (SELECT p.page_id, t, a, coalesce(bool_or(o.available), false) AS there, min(o.url) FILTER (WHERE o.available) AS u FROM (SELECT DISTINCT page_id FROM {table("observed")}) AS p CROSS JOIN (VALUES {_KINDS}) AS k(t, a) LEFT JOIN {table("observed")} AS o ON o.page_id = p.page_id AND o.resource_type = t GROUP BY 1, 2, 3)"""
 # Worked out by hand: vue falls to nuxt, and so displaces angularjs no more.
 ORACLES["conflict_removal"] = "SELECT page_id::BIGINT AS page_id, technology, confidence::DOUBLE AS confidence FROM (VALUES (1, 'nextjs', 96.5), (1, 'react', 91.25), (1, 'webpack', 80.0), (2, 'nuxt', 88.0), (2, 'angularjs', 60.0)) AS v(page_id, technology, confidence)"
 ORACLES["cookie_attributes"] = """SELECT page_id::BIGINT AS page_id, CAST(i AS INTEGER) AS "index", name, value, CAST(NULL AS VARCHAR) AS domain, path, CAST(NULL AS VARCHAR) AS expires, samesite, CAST(NULL AS VARCHAR) AS priority, max_age, secure, httponly, false AS partitioned, host_prefix, CAST(NULL AS VARCHAR) AS secure_prefix, raw

@@ -215,6 +215,14 @@ QUERIES: dict[str, Query] = {
     "conflict_removal": lambda s, d: providers.without_conflicts(frame(s, "detections"), frame(s, "conflicts")),
     "report_groups": lambda s, d: findings.report_groups(frame(s, "detections")),
     "report_csv": lambda s, d: findings.csv_rows(frame(s, "detections")),
+    "sitemap_lines": lambda s, d: frame(s, "robots").select("id", F.explode(pages.sitemap_lines(F.col("text"))).alias("url")),
+    "well_known_findings": lambda s, d: pages.well_known_findings(frame(s, "observed")).drop("finding_id"),
+    "css_references": lambda s, d: frame(s, "styles").select("id", F.posexplode(pages.css_urls(F.coalesce("css", F.lit("")))).alias("index", "url")),
+    "source_map_references": lambda s, d: _scripts(s, d).select("script_id", html.source_map_reference(F.coalesce("content", F.lit(""))).alias("url")).where("url is not null"),
+    "manifest_references": lambda s, d: frame(s, "manifests").select("id", F.explode(html.manifest_references(F.col("text"))).alias("url")),
+    "confidence_levels": lambda s, d: frame(s, "detections").select("page_id", "technology", C.confidence_level(F.col("confidence")).alias("level")),
+    "version_priorities": lambda s, d: frame(s, "version_candidates").select("page_id", "technology", "version", "source", javascript.version_source_priority(F.col("source")).alias("source_priority")),
+    "best_versions": lambda s, d: fingerprint.ranked_versions(frame(s, "ranked")),
     "rule_findings": lambda s, d: rules.rule_findings(_contexts(s, d).withColumn("headers", F.create_map().cast("map<string,string>")), RULES).drop("finding_id"),
 }
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,30 +116,18 @@ def parsed(pages: DataFrame, html_column: str = "html") -> DataFrame:
     return pages.select(*rest, F.col(html_column)).mapInArrow(run, schema)
 
 
-def source_map_reference(script: str) -> str | None:
-    """The last sourceMappingURL of a script."""
-    import re
+def source_map_reference(script: Column) -> Column:
+    """The last sourceMappingURL of a script, null if it has none."""
+    found = F.regexp_extract_all(script, F.lit(r"sourceMappingURL=([^\s\"']+)"), F.lit(1))
+    return F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"[*/;,]+$", "")
 
-    found = re.findall(r"sourceMappingURL=([^\s\"']+)", script)
-    return found[-1].rstrip("*/;,") if found else None
 
+MANIFEST = "icons array<struct<src:string>>, screenshots array<struct<src:string>>, shortcuts array<struct<icons:array<struct<src:string>>>>"
 
-def manifest_references(text: str) -> list[str]:
-    """URLs of icons, screenshots and shortcuts in a web manifest; none if it can't be read."""
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return []
-    out: list[str] = []
 
-    def walk(x: object) -> None:
-        if isinstance(x, dict):
-            out.extend(v for k, v in x.items() if k == "src" and isinstance(v, str))
-            for v in x.values():
-                walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                walk(v)
-
-    walk(found)
-    return out
+def manifest_references(text: Column) -> Column:
+    """URLs of icons, screenshots and shortcuts' icons in a web manifest; none if it can't be read."""
+    told = F.from_json(text, MANIFEST)
+    sources = lambda c: F.coalesce(F.transform(c, lambda x: x["src"]), F.array().cast("array<string>"))
+    shortcuts = F.coalesce(F.flatten(F.transform(told["shortcuts"], lambda x: sources(x["icons"]))), F.array().cast("array<string>"))
+    return F.filter(F.concat(sources(told["icons"]), sources(told["screenshots"]), shortcuts), lambda x: x.isNotNull())
