@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanspark.functions.columns import technology_id, valid_version
+from gleanspark.functions.signatures import SIGNATURES
 from gleanspark.functions.identities import RELATIONSHIPS
 
 UNKNOWN = "Unknown"
@@ -102,6 +103,20 @@ def without_conflicts(detections: DataFrame, conflicts: DataFrame) -> DataFrame:
     return page.withColumn("kept", kept).select("page_id", F.explode(F.filter("all", lambda d: F.array_contains(F.col("kept"), d["technology"]))).alias("d")).select("page_id", "d.technology", "d.confidence")
 
 
+def with_dependencies(accepted: DataFrame, found: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """accepted (page_id, technology, confidence) and, of found, what an accepted technology of the page stands on.
+
+    dependencies: technology, needs; by default those of the signatures. One step: what is added back adds nothing.
+    """
+    if dependencies is None:
+        rows = [(s[0], n) for s in SIGNATURES for n in s[7]]
+        dependencies = accepted.sparkSession.createDataFrame(rows, "technology string, needs string")
+    wanted = accepted.join(F.broadcast(dependencies), "technology").select("page_id", F.col("needs").alias("technology")).distinct()
+    columns = ["page_id", "technology", "confidence"]
+    back = found.join(wanted, columns[:2], "left_semi").join(accepted, columns[:2], "left_anti")
+    return accepted.select(*columns).unionByName(back.select(*columns))
+
+
 def resolved_versions(candidates: DataFrame) -> DataFrame:
     """The version of each page's technology, or why there is none.
 

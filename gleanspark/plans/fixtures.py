@@ -62,6 +62,7 @@ FIXTURES: dict[str, Rows] = {
             (2, "e.js", '<input type="password" name="password">\ntoken = "${TOKEN}"'),
             (2, "f.js", 'api_key = "a8Kd93kdLs02Pq7ZxW"\napi_key = "a8Kd93kdLs02Pq7ZxW"'),
             (3, "g.js", None),
+            (4, "h.js", 'db_host = "db.internal"\ndb_user: "svc-reports"\npassword: "Tr0ub4dor&3xyz"\n' + "\n" * 12 + 'password: "0therV4lue!zz"'),
         ],
     ),
     "artifact_texts": (
@@ -103,6 +104,9 @@ FIXTURES: dict[str, Rows] = {
             (2, "nuxt", "meta-framework", "Unknown", 88.0, "a.js", ["global:__NUXT__"]),
             (2, "vue", "framework", "3.4.0", 88.0, "a.js", ["string:Vue.createApp"]),
             (2, "angularjs", "framework", "Unknown", 60.0, "b.js", []),
+            (3, "nextjs", "meta-framework", "Unknown", 90.0, "n.js", []),
+            (3, "react", "framework", "Unknown", 50.0, "n.js", []),
+            (3, "vue", "framework", "Unknown", 55.0, "n.js", []),
         ],
     ),
     "conflicts": ("technology string, other string", [("react", "preact"), ("angular", "angularjs"), ("angularjs", "vue"), ("vue", "nuxt")]),

@@ -213,6 +213,8 @@ QUERIES: dict[str, Query] = {
     "regression_metrics": lambda s, d: providers.regression_metrics(frame(s, "samples")),
     "relationships": lambda s, d: providers.relationships(frame(s, "detections")),
     "conflict_removal": lambda s, d: providers.without_conflicts(frame(s, "detections"), frame(s, "conflicts")),
+    "dependency_addback": lambda s, d: providers.with_dependencies(frame(s, "detections").where("confidence >= 85"), frame(s, "detections")),
+    "database_sets": lambda s, d: sensitive.database_sets(_judged(s, d)),
     "report_groups": lambda s, d: findings.report_groups(frame(s, "detections")),
     "report_csv": lambda s, d: findings.csv_rows(frame(s, "detections")),
     "sitemap_lines": lambda s, d: frame(s, "robots").select("id", F.explode(pages.sitemap_lines(F.col("text"))).alias("url")),

@@ -51,3 +51,17 @@ def test_runs(spark, name):
     found = QUERIES[name](spark, SF_DIR)
     assert len(set(found.columns)) == len(found.columns)
     found.collect()
+
+
+def test_database_sets_by_hand(spark):
+    """A host, a user and a password on three lines; a second password stands too far away."""
+    rows = QUERIES["database_sets"](spark, SF_DIR).where("page_id >= 1000000000").collect()
+    assert [tuple(r) for r in rows] == [(1000000004, "h.js", "database_credentials", 24, 47, True)]
+
+
+def test_steps_up_are_resolved_however_many(spark):
+    from gleanspark.operators.pages import resolved
+
+    rows = [("https://a.example/b/c/d.html", "../" * 12 + "e.js?x=/../y"), ("https://a.example/" + "p/" * 20 + "q", "../" * 15 + "r.js"), ("https://a.example/b/", "./c/./d/.."), ("https://a.example/b/c", "//h.example/../z"), ("https://a.example/b/c", "mailto:x")]
+    got = [r["url"] for r in resolved(spark.createDataFrame(rows, "base string, href string").coalesce(1)).collect()]
+    assert got == ["https://a.example/e.js?x=/../y", "https://a.example/" + "p/" * 5 + "r.js", "https://a.example/b/c", "https://h.example/z", None]
