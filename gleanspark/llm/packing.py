@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -30,6 +31,13 @@ END_ID = 0
 #: A worker keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
 KEPT_BYTES = 64 << 20
 KEPT_WORD_BYTES = 64
+#: Words that the tokenizer's steps before its merges leave as they are: ASCII but the apostrophe, small Latin-1 letters;
+#: and the parts that its pattern cuts them into.
+_PLAIN = re.compile("[!-&(-~ß-öø-ÿ]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The character of the vocabulary for each byte: printable ones themselves, the others by 256 and on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTER = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 #: Lengths are taken by classes: up to the whole capacity, a half of it, a third ...
 CLASSES = (1, 2, 3, 4, 8, 16, 32)
 #: Supersteps of a class in which pieces open sequences one by one; what then is left is dealt in equal numbers.
@@ -46,7 +54,8 @@ class WordIds:
     """The library's ids of whole texts.
 
     Where the tokenizer drops white space between words and changes nothing across it, a text's ids are those of its
-    words, parted by ASCII white space; any other character is left to the library. Other tokenizers get whole texts.
+    words, parted by ASCII white space. Plain words are cut into the parts that the tokenizer's pattern makes of them,
+    which go to the library's merges at once; others go through all its steps. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,8 +71,25 @@ class WordIds:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [(x["behavior"], x["invert"]) for x in splits] == [("Removed", True)] and "\\s" in splits[0]["pattern"].get("Regex", "")
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.size = 0
 
+    def _plain(self, word: bytes) -> bytes | None:
+        """The ids of a plain word, None if it isn't one."""
+        v = word.decode().lower()
+        if not _PLAIN.fullmatch(v) or "<|" in v:
+            return None
+        out = []
+        for part in _PARTS.findall(v):
+            ids = self.parts.get(part)
+            if ids is None:
+                told = part if part.isascii() else part.encode().decode("latin-1").translate(_CHARACTER)
+                ids = np.array([t.id for t in self.library.model.tokenize(told)], "<u4").tobytes()
+                if len(part) <= KEPT_WORD_BYTES:
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
@@ -75,10 +101,18 @@ class WordIds:
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if self.size > KEPT_BYTES:
             self.before, self.known, self.size = self.known, {}, 0
+            self.parts.clear()
         new = list(set(chain.from_iterable(split)).difference(self.known))
         before = self.before
         self.known.update((w, before[w]) for w in new if w in before)
-        unknown = [w for w in new if w not in before]
+        unknown = []
+        for w in new:
+            if w not in before:
+                found_ids = self._plain(w)
+                if found_ids is None:
+                    unknown.append(w)
+                else:
+                    self.known[w] = found_ids
         for k in range(0, len(unknown), 5000):
             part = unknown[k : k + 5000]
             found = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)

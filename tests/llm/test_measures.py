@@ -9,7 +9,8 @@ from llm_docs import documents
 from tokenizers import Tokenizer
 
 from gleanspark.llm.host_rules import host_rules, host_verdicts
-from gleanspark.llm.packing import best_fit, pack, sweep
+from gleanspark.llm.packing import WordIds, best_fit, pack, sweep
+from gleanspark.llm.packing import default_tokenizer as default_word_tokenizer
 from gleanspark.llm.sharding import longest_first, shard
 from gleanspark.llm.token_count import CountTransducer, default_tokenizer, token_counts
 
@@ -163,6 +164,13 @@ def test_a_sweep_gives_each_piece_the_smallest_gap_left(spark):
         assert sorted(-x["level"] for x in rows if x["mate"] is None) == list(range(sum(b is None for _, b in want)))
 
 
+def test_ids_are_the_library_s():
+    words, rng = WordIds(default_word_tokenizer()), np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("aAzZ09'’-_.,!éÉßÿ÷ªºµÀİσΣς́ﬁ<|> €½²")) for _ in range(12)) for _ in range(8000)]
+    want = words.library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, got, w in zip(texts, words.ids(texts), want, strict=True) if got != np.array(w.ids, "<u4").tobytes()] == []
+
+
 def test_packing_is_whole_and_tight(docs, empty, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = pack(docs, capacity=128).collect()
