@@ -1 +1 @@
-
+"""Operators on tables that grow."""
