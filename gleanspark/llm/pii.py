@@ -104,8 +104,8 @@ def _glyphs() -> dict[str, str]:
 
 
 @cache
-def _glyph() -> re.Pattern[str]:
-    return re.compile("[" + re.escape("".join(sorted(_glyphs()))) + "]")
+def _glyph_set() -> frozenset[str]:
+    return frozenset(_glyphs())
 
 
 class Rewritten:
@@ -246,11 +246,12 @@ def _signs(text: str) -> Rewritten:
 def _steps(text: str) -> tuple[str, list[Rewritten]]:
     """The text without disguises, and what led to it."""
     steps, plain = [], text
-    if not text.isascii() and _glyph().search(text):
+    if not text.isascii() and not _glyph_set().isdisjoint(text):
         table, r = _glyphs(), Rewritten(text)
-        for m in _glyph().finditer(text):
-            r.copy(m.start())
-            r.put(table[m[0]], m.end())
+        for i, c in enumerate(text):
+            if c in table:
+                r.copy(i)
+                r.put(table[c], i + 1)
         plain = r.text()
         steps.append(r)
     r = _signs(plain)
