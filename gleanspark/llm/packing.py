@@ -28,8 +28,8 @@ from gleanspark.llm.common import materialize, parcels, prepared, range_ranked,
 
 CAPACITY = 2048
 END_ID = 0
-#: A worker keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
-KEPT_BYTES = 64 << 20
+#: A task keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
+KEPT_BYTES = 24 << 20
 KEPT_WORD_BYTES = 64
 #: Words that the tokenizer's steps before its merges leave as they are: ASCII but the apostrophe, small Latin-1 letters;
 #: and the parts that its pattern cuts them into.
@@ -74,6 +74,10 @@ class WordIds:
         self.parts: dict[str, bytes] = {}
         self.size = 0
 
+    def forget(self) -> None:
+        """Drop all words: workers outlive their tasks, and other stages need the memory."""
+        self.known, self.before, self.parts, self.size = {}, {}, {}, 0
+
     def _plain(self, word: bytes) -> bytes | None:
         """The ids of a plain word, None if it isn't one."""
         v = word.decode().lower()
@@ -161,6 +165,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                     [b.column(0).take(at), b.column(1).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
                     names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        w.forget()
 
     return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length int, ids_crc32 long")
 
