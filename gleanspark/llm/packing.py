@@ -29,7 +29,7 @@ from gleanspark.llm.common import materialize, parcels, prepared, range_ranked,
 CAPACITY = 2048
 END_ID = 0
 #: A task keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 12 << 20
 KEPT_WORD_BYTES = 64
 #: Words that the tokenizer's steps before its merges leave as they are: ASCII but the apostrophe, small Latin-1 letters;
 #: and the parts that its pattern cuts them into.
