@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.llm.codes import compressed
 from gleanspark.llm.host_rules import host_rules
 from gleanspark.llm.minhash import near_duplicates
 from gleanspark.llm.mixing import TARGET_WEIGHTS, mixed
+from gleanspark.llm.negatives import hard_negatives
+from gleanspark.llm.neighbours import nearest
 from gleanspark.llm.packing import pack
 from gleanspark.llm.passages import repeated_passages
 from gleanspark.llm.pii import personal_data
@@ -68,5 +71,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}

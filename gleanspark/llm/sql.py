@@ -1,7 +1,7 @@
 """DuckDB SQL with the same results as the queries, where SQL can express them.
 
-Shards by a heap, token counts by a library, packing, schedules, classifiers, chains and disguises are beyond SQL;
-their tests compare them with brute force.
+Shards by a heap, token counts by a library, packing, schedules, classifiers, chains, disguises and approximate search
+are beyond SQL; their tests compare them with brute force.
 """
 
 from __future__ import annotations
@@ -80,5 +80,54 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+_HARD_NEGATIVES = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT) for x in embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum([coalesce(a.v[i], 0) * coalesce(c.v[i], 0) for i in range(1, greatest(len(a.v), len(c.v)) + 1)]) AS BIGINT) AS score
+    FROM whole a JOIN whole c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), met AS (
+    SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives JOIN scored s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 3
+"""
+
+
+def _codes() -> str:
+    """The rounds of assignment and averages one after the other, all parts against all entries."""
+    assigned = """near{k} AS (
+    SELECT r, p, c.j, list_sum([(a.v[i] - c.v[i]) * (a.v[i] - c.v[i]) for i in range(1, len(a.v) + 1)]) AS d, a.v FROM parts a JOIN book{k} c USING (p)
+    QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, c.j) = 1
+)"""
+    improved = """sums{k} AS (
+    SELECT p, j, i, sum(x) AS s, count(*) AS n FROM (SELECT p, j, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM near{k}) GROUP BY ALL
+), means{k} AS (
+    SELECT p, j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{k} GROUP BY p, j
+), book{next} AS (
+    SELECT p, j, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (p, j)
+)"""
+    steps = [x.format(k=k, next=k + 1) for k in range(4) for x in (assigned, improved)]
+    return f"""
+WITH whole AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) for x in embedding] AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS (
+    SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM whole, range(4) t(p)
+), book0 AS (
+    SELECT p, r - 1 AS j, v FROM parts WHERE r <= 256
+), {", ".join(steps)}, {assigned.format(k=4)}, coded AS (
+    SELECT r, string_agg(lpad(lower(to_hex(j)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near4 GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, j)) FROM book4) AS codebooks_sha256
+FROM whole JOIN coded USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _NEAR_DUPLICATES, "op4_host_rules": _HOST_RULES, "op8_top_k": _TOP_K}
+    return {"op1_near_duplicates": _NEAR_DUPLICATES, "op4_host_rules": _HOST_RULES, "op8_top_k": _TOP_K, "op12_hard_negatives": _HARD_NEGATIVES, "op13_codes": _codes()}

@@ -54,19 +54,20 @@ def _matrix(blobs: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _floors(x: np.ndarray) -> np.ndarray:
-    """floor(SCALE x) as doubles: exact, as SCALE is a power of two, but for what overflows (then infinite)."""
+def floors(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """floor(scale x) as doubles: exact for a power of two, but for what overflows (then infinite)."""
     with np.errstate(over="ignore"):
-        return np.floor(x * SCALE)
+        return np.floor(x * scale)
 
 
-def _exact(x: np.ndarray) -> list[list[int]]:
-    return [[int(v) * SCALE if abs(v) >= _EXACT else int(math.floor(v * SCALE)) for v in row] for row in x.tolist()]
+def exact(x: np.ndarray, scale: int = SCALE) -> list[list[int]]:
+    """floor(scale x) as Python's integers."""
+    return [[int(v) * scale if abs(v) >= _EXACT else int(math.floor(v * scale)) for v in row] for row in x.tolist()]
 
 
-def _scores(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def scores(data: np.ndarray, queries: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """Exact inner products of the whole numbers, data x queries; beyond a long's range its ends."""
-    x, q = _floors(data), _floors(queries)
+    x, q = floors(data, scale), floors(queries, scale)
     with np.errstate(over="ignore", invalid="ignore"):
         most = np.abs(x).max(axis=1, initial=0)[:, None] * np.abs(q).max(axis=1, initial=0)[None, :] * x.shape[1]
         out = x @ q.T
@@ -74,7 +75,7 @@ def _scores(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
     out[wide] = 0
     out = np.rint(out).astype(np.int64)
     if wide.any():
-        a, b = _exact(data[wide.any(axis=1)]), _exact(queries[wide.any(axis=0)])
+        a, b = exact(data[wide.any(axis=1)], scale), exact(queries[wide.any(axis=0)], scale)
         rows, cols = np.cumsum(wide.any(axis=1)) - 1, np.cumsum(wide.any(axis=0)) - 1
         for i, j in np.argwhere(wide).tolist():
             score = sum(u * v for u, v in zip(a[rows[i]], b[cols[j]], strict=True))
@@ -118,7 +119,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
     n_pivots = max(1, min(MAX_PIVOTS, int(n**0.5) // 2))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * n_pivots).collect()
     blobs = list(dict.fromkeys(bytes(r["v"]) for r in drawn))[:n_pivots] or [bytes(8)]
-    pivots = _floors(_matrix(blobs, width))
+    pivots = floors(_matrix(blobs, width))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -126,7 +127,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                x = _floors(_matrix(part.column(1).to_pylist(), width))
+                x = floors(_matrix(part.column(1).to_pylist(), width))
                 with np.errstate(all="ignore"):
                     cell = np.nan_to_num(half - x @ pivots.T, nan=np.inf).argmin(1)
                     far = np.nan_to_num(np.sqrt(((x - pivots[cell]) ** 2).sum(1)), nan=np.inf)
@@ -158,8 +159,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
                 order = np.argsort(ids, kind="stable")
                 x = _matrix([d["v"] for d in data], width)[order]
                 ids = ids[order]
-                scores = _scores(x, _matrix([q["v"] for q in queries], width))
-                got = [_best(ids, scores[:, j], q["vec_id"], k) for j, q in enumerate(queries)]
+                found = scores(x, _matrix([q["v"] for q in queries], width))
+                got = [_best(ids, found[:, j], q["vec_id"], k) for j, q in enumerate(queries)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([q["vec_id"] for q in queries], [len(g[0]) for g in got]).astype(np.int64)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))],
                     names=["query_id", "vec_id", "score"],
@@ -176,7 +177,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, query_every: int = 100, id_column:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _floors(_matrix(b.column(1).to_pylist(), width))
+            q = floors(_matrix(b.column(1).to_pylist(), width))
             cell = b.column(2).to_numpy()
             limit = np.array([-np.inf if r is None else r for r in b.column(3).to_pylist()], np.float64)
             with np.errstate(all="ignore"):
