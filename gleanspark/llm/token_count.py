@@ -38,7 +38,13 @@ KEPT_WORD_CHARS = 64
 
 # What the tokenizer takes for white space, and its pattern of words (fixed values).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def _words(letters: str, numbers: str) -> regex.Pattern:
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{_SPACE}{letters}{numbers}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+_ASCII_WORDS = _words("A-Za-z", "0-9")
 _SYNC = re.compile(rf"(?<=[^{_SPACE}])[{_SPACE}]")
 #: What lies between two places where the transducer starts anew.
 _UNITS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -59,10 +65,27 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@cache
+def character_classes() -> tuple[str, str]:
+    """What the library takes for letters and for numbers, as ranges of a pattern: its tables may be of another Unicode version than others'."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    every, out = "".join(map(chr, points)), []
+    for kind in "LN":
+        # the places of all other characters; what lies between them are runs of the class, cut where the surrogates are
+        others = [at for _, at in pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed").pre_tokenize_str(every)]
+        ends = [(a[1], b[0]) for a, b in zip([(0, 0), *others], [*others, (len(points), 0)], strict=True) if a[1] < b[0]]
+        cut = [x for a, b in ends for x in ([(a, b)] if not a < 0xD800 < b else [(a, 0xD800), (0xD800, b)])]
+        out.append("".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" for a, b in cut))
+    return out[0], out[1]
+
+
 class CountTransducer:
     """Counts tokens as the library does for a byte-level BPE tokenizer without normalizer."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, classes: tuple[str, str] | None = None) -> None:
+        self.words = _words(*(classes or character_classes()))
         told = json.loads(Path(path).read_text())
         model, pre = told["model"], told["pre_tokenizer"] or {}
         if told["normalizer"] or model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -182,7 +205,7 @@ class CountTransducer:
     def _unit(self, unit: str) -> int:
         n = self.before.get(unit, -1)
         if n < 0:
-            n = sum(map(self.walk, _WORDS.findall(unit)))
+            n = sum(map(self.walk, (_ASCII_WORDS if unit.isascii() else self.words).findall(unit)))
         if len(unit) <= KEPT_WORD_CHARS:
             self.known[unit] = n
             self.size += 150 + len(unit)
@@ -260,8 +283,8 @@ class CountTransducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str) -> CountTransducer:
-    return CountTransducer(path)
+def transducer(path: str, classes: tuple[str, str]) -> CountTransducer:
+    return CountTransducer(path, classes)
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, chunk_chars: int = CHUNK_CHARS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,12 +295,12 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
     BPE file that the executors can read too.
     """
     prepared(docs.sparkSession)
-    path = tokenizer or default_tokenizer()
+    path, classes = tokenizer or default_tokenizer(), character_classes()
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
     size = F.octet_length("text").cast("long")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(path, classes)
         for b in batches:
             n = list(chain.from_iterable(map(t.counts, parcels(b.column(1)))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
@@ -294,7 +317,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
                     yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(k, pa.int32()), chunks], names=["row", "doc_id", "n_bytes", "k", "chunk"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(path, classes)
         for b in batches:
             m = [t.state_map(x.as_py()) for x in b.column(4)]
             yield pa.RecordBatch.from_arrays(
@@ -303,7 +326,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, max_tokens: i
             )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
+        t = transducer(path, classes)
         for b in batches:
             n = [t.total([(x["head"], x["n"], x["tail"]) for x in sorted(row, key=lambda x: x["k"])]) for row in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
