@@ -4,8 +4,9 @@ Documents become pieces of at most `capacity` tokens, taken by classes of fallin
 pieces of a class and the gaps of all open sequences by size and sweeps both from the largest down: a gap waits until
 a piece no larger comes, and a piece takes the gap that came last, its smallest successor. That is how brackets match,
 so a distributed prefix sum does it: a piece and a gap that meet have the same depth, and where several pieces want
-one gap, the rank at this depth decides. Then the gaps are updated. Of the pieces left over as many as must open
-sequences do so, the largest first, and the step is repeated with the others.
+one gap, the rank at this depth decides. Then the gaps are updated. Of the pieces left over, the largest fill as many
+new sequences as must be opened, in the order of falling length, as best fit does with pieces that no gap takes. The
+step is repeated with the others, until none is left.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARACTER = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 #: Lengths are taken by classes: up to the whole capacity, a half of it, a third ...
 CLASSES = (1, 2, 3, 4, 8, 16, 32)
-#: Supersteps of a class in which pieces open sequences one by one; what then is left is dealt in equal numbers.
-ROUNDS = 2
+#: Supersteps of a class end when gaps could save no more than one in so many sequences: of the last class, and of
+#: others, whose sequences shorter pieces still fill.
+WASTE, FILLED_LATER = 500, 50
 
 
 def default_tokenizer() -> str:
@@ -101,8 +103,9 @@ class WordIds:
         split = []
         for t in texts:
             raw = t.encode("utf-8", "replace")
-            # ASCII case means nothing to this tokenizer, but for special strings
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            # ASCII case means nothing to this tokenizer, but for special strings, and before marks that small letters
+            # alone compose with (those marks start with these bytes): it composes first, and lower-cases then
+            split.append((raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split())
         if self.size > KEPT_BYTES:
             self.before, self.known, self.size = self.known, {}, 0
             self.parts.clear()
@@ -200,6 +203,26 @@ def sweep(items: DataFrame, gaps: DataFrame, *, high: int, low: int, slots: int,
     return met.select("kind", "ref", "size", "gap", "level", mate.alias("mate"), mate_size.alias("mate_size"))
 
 
+def dealing(of_length: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """How pieces by falling length fill new sequences, each with as many as its first and longest one fits in.
+
+    of_length: how many pieces there are of each length. By length: the rank of its first piece; how many of its first
+    pieces go to the sequence `at` that longer ones opened; the number of the first sequence that it opens itself, and
+    how many pieces that one and each after it get. Then the number of sequences.
+    """
+    out, first, opened, room = [], 0, 0, 0
+    for length, n in sorted(of_length.items(), reverse=True):
+        carried, deal = min(n, room), capacity // length
+        out.append((length, first, carried, opened - 1, opened, deal))
+        room -= carried
+        if n > carried:
+            own = -(-(n - carried) // deal)
+            opened += own
+            room = own * deal - (n - carried)
+        first += n
+    return out, opened
+
+
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     """items: id, length (1 to capacity). Returns id, bin: no bin's lengths sum up to more than capacity; a bin is named by an item in it."""
     spark = items.sparkSession
@@ -207,52 +230,58 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     of_class = F.lit(len(bounds) - 2)
     for k in range(len(bounds) - 2, -1, -1):
         of_class = F.when(F.col("length") > bounds[k + 1], F.lit(k)).otherwise(of_class)
-    counts = {r["class"]: r["n"] for r in items.groupBy(of_class.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["class"]: (r["n"], r["longest"]) for r in items.groupBy(of_class.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()}
     placed: list[DataFrame] = []
     bins = spark.createDataFrame([], "bin long, gap int")
-    wide = [0] * len(bounds)  # gaps above each bound
+    wide, opened, free = [0] * len(bounds), 0, 0  # gaps above each bound, sequences, tokens in gaps that the longest piece left fits in
 
-    def kept(now: DataFrame) -> DataFrame:
-        """The gaps that are left, written; their numbers are counted as they are."""
-        nonlocal wide
+    def kept(now: DataFrame, longest: int) -> DataFrame:
+        """The gaps that are left, written; what counts of them is counted as they are."""
+        nonlocal wide, free
         seen = Observation()
-        written = materialize(now.where("gap > 0").observe(seen, *[F.count_if(F.col("gap") > b).alias(f"n{k}") for k, b in enumerate(bounds)]), "pack-bins")
-        wide = [seen.get[f"n{k}"] for k in range(len(bounds))]
+        room = F.coalesce(F.sum(F.when(F.col("gap") >= longest, F.col("gap").cast("long"))), F.lit(0)).alias("room")
+        written = materialize(now.where("gap > 0").observe(seen, room, *[F.count_if(F.col("gap") > b).alias(f"n{k}") for k, b in enumerate(bounds)]), "pack-bins")
+        wide, free = [seen.get[f"n{k}"] for k in range(len(bounds))], seen.get["room"]
         return written
 
     for k, (high, low) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        left, n, rounds = items.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length"), counts.get(k, 0), 0
-        most, deal = capacity // (low + 1), capacity // high
-        if n and most == 1:
+        n, longest = counts.get(k, (0, 0))
+        left = items.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length")
+        if n and capacity // (low + 1) == 1:
             # no two fit together, and nothing is open yet
             placed.append(left.select("id", F.col("id").alias("bin")))
-            bins, n = kept(left.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap"))), 0
+            bins, opened, n = kept(left.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap")), 1), opened + n, 0
         while n:
             chunks = max(1, int((n + wide[k + 1]) ** 0.5) // 256)
-            step = sweep(left, bins, high=high, low=low, slots=max(1, -(-2 * n // max(1, wide[k + 1]))), chunks=chunks)
+            step = sweep(left, bins, high=longest, low=low, slots=max(1, -(-2 * n // max(1, wide[k + 1]))), chunks=chunks)
             alone, seen = (F.col("kind") == 1) & F.col("mate").isNull(), Observation()
-            step = materialize(step.observe(seen, F.count_if(alone).alias("n"), F.coalesce(F.sum(F.when(alone, F.col("size"))), F.lit(0)).alias("tokens")), "pack-step")
-            n, tokens = seen.get["n"], seen.get["tokens"]
+            told = [F.count_if(alone).alias("n"), F.coalesce(F.sum(F.when(alone, F.col("size"))), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.when(alone, F.col("size"))), F.lit(1)).alias("longest")]
+            step = materialize(step.observe(seen, *told), "pack-step")
+            n, tokens, longest = (seen.get[c] for c in ("n", "tokens", "longest"))
             placed.append(step.where("kind = 1 and mate is not null").select(F.col("ref").alias("id"), F.col("mate").alias("bin")))
             used = step.where("kind = 0").groupBy(F.col("ref").alias("bin")).agg((F.max("gap") - F.coalesce(F.sum("mate_size"), F.lit(0))).cast("int").alias("gap"))
-            now = bins.where(F.col("gap") <= low).unionByName(used)
+            bins = kept(bins.where(F.col("gap") <= low).unionByName(used), longest)
+            if not n:
+                continue
             ranked_left = step.where(alone).select(F.col("ref").alias("id"), F.col("size").alias("length"), (-F.col("level")).alias("rank"))
-            rounds += 1
-            if n and (rounds > ROUNDS or deal == most):
-                # so many in each new sequence that they fit whatever their lengths are
-                group = Window.partitionBy(F.floor(F.col("rank") / deal)).orderBy("rank")
-                dealt = materialize(ranked_left.select("id", "length", F.first("id").over(group).alias("bin")), "pack-dealt")
-                placed.append(dealt.select("id", "bin"))
-                now = now.unionByName(dealt.groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("gap")))
-                n = 0
-            elif n:
-                must = min(n, max(-(-tokens // capacity), -(-n // most)))
-                openers = ranked_left.where(F.col("rank") < must)
-                placed.append(openers.select("id", F.col("id").alias("bin")))
-                now = now.unionByName(openers.select(F.col("id").alias("bin"), (F.lit(capacity) - F.col("length")).cast("int").alias("gap")))
-                n -= must
-                left = ranked_left.where(F.col("rank") >= must).select("id", "length")
-            bins = kept(now)
+            of_length = {r["length"]: r["n"] for r in ranked_left.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+            plan, all_of_them = dealing(of_length, capacity)
+            # so many sequences must be opened whatever the gaps take; where they can save few more, all that is left opens some
+            must = max(0, -(-(tokens - free) // capacity))
+            if (all_of_them - must) * (FILLED_LATER if low else WASTE) <= opened + must:
+                must = all_of_them
+            plan = spark.createDataFrame(plan, "length int, first long, carried long, at long, base long, deal long")
+            later = F.col("rank") - F.col("first") - F.col("carried")
+            group_of = F.when(later < 0, F.col("at")).otherwise(F.col("base") + F.floor(later / F.col("deal")))
+            together, seen = Window.partitionBy("group").orderBy("rank"), Observation()
+            dealt = ranked_left.join(F.broadcast(plan), "length").withColumn("group", group_of).withColumn("bin", F.when(F.col("group") < must, F.first("id").over(together)))
+            told = [F.count_if(F.col("bin").isNull()).alias("n"), F.count_if(F.col("bin") == F.col("id")).alias("opened"), F.coalesce(F.max(F.when(F.col("bin").isNull(), F.col("length"))), F.lit(0)).alias("longest")]
+            dealt = materialize(dealt.select("id", "length", "bin").observe(seen, *told), "pack-dealt")
+            n, longest, opened = seen.get["n"], seen.get["longest"], opened + seen.get["opened"]
+            placed.append(dealt.where("bin is not null").select("id", "bin"))
+            bins = bins.unionByName(dealt.where("bin is not null").groupBy("bin").agg((F.lit(capacity) - F.sum("length")).cast("int").alias("gap")))
+            wide = [w + seen.get["opened"] for w in wide]
+            left = dealt.where("bin is null").select("id", "length")
     return reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], "id long, bin long")
 
 

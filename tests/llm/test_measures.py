@@ -47,6 +47,13 @@ def test_transitions_add_up_to_the_library_s_counts():
     assert 0 < len(t.about) < 100_000 and min(n for a in t.after for _, n in a.values()) < 0  # merges take back what was counted
 
 
+def test_all_characters_have_the_library_s_classes():
+    t, library = CountTransducer(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    texts = [chr(c) + "'m1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 16 == 0 or 0xA000 <= c < 0xAC00 or 0xFA00 <= c < 0x13000)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [(x, a, b) for x, a, b in zip(texts, t.counts(texts), want, strict=True) if a != b] == []
+
+
 def test_state_maps_compose_in_any_way(texts):
     t, library = CountTransducer(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
     for x in texts[5:25]:
@@ -171,6 +178,27 @@ def test_ids_are_the_library_s():
     assert [t for t, got, w in zip(texts, words.ids(texts), want, strict=True) if got != np.array(w.ids, "<u4").tobytes()] == []
 
 
+def test_ids_of_letters_with_marks():
+    words, rng = WordIds(default_word_tokenizer()), np.random.default_rng(5)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = [chr(c) for c in range(65, 91)] + list("thwyjaAÉß ")
+    texts = ["".join(rng.choice(letters) + "".join(rng.choice(marks, rng.integers(0, 3))) for _ in range(6)) for _ in range(5000)]
+    texts += [a + m for a in map(chr, range(65, 91)) for m in marks]
+    want = words.library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, got, w in zip(texts, words.ids(texts), want, strict=True) if got != np.array(w.ids, "<u4").tobytes()] == []
+
+
+def test_many_short_pieces_fill_their_sequences(spark):
+    rng = np.random.default_rng(6)
+    for lengths in ([10] * 20_000, rng.integers(1, 65, 20_000).tolist(), [257] * 3000, (rng.integers(200, 300, 4000)).tolist()):
+        items = spark.createDataFrame(list(enumerate(lengths)), "id long, length int").repartition(4)
+        load = {}
+        for r in best_fit(items, 2048).collect():
+            load[r["bin"]] = load.get(r["bin"], 0) + lengths[r["id"]]
+        assert max(load.values()) <= 2048 and sum(load.values()) == sum(lengths)
+        assert len(load) <= plain_best_fit(lengths, 2048) * 1.01 + 1
+
+
 def test_packing_is_whole_and_tight(docs, empty, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = pack(docs, capacity=128).collect()
