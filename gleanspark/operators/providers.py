@@ -88,18 +88,30 @@ def relationships(detections: DataFrame) -> DataFrame:
     return own.join(F.broadcast(known), "technology").join(own.withColumnRenamed("technology", "stands_on"), ["page_id", "stands_on"]).select("page_id", "technology", "stands_on", "kind")
 
 
-def without_conflicts(detections: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Detections that no conflicting one of higher confidence (ties: smaller name) on the same page displaces.
+def without_conflicts(detections: DataFrame, conflicts: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """Detections that are accepted when a page's are taken by falling confidence (ties: smaller name).
 
-    conflicts: technology, other. As the accepted set grows in order, a displaced one displaces nothing: a page's few
-    detections are folded in order within one expression.
+    conflicts: technology, other, minimum_score. A technology isn't accepted if an accepted one of its own others has its
+    minimum score at least; it may still displace others that don't name it. dependencies: technology, needs. What an
+    accepted technology needs is accepted with it if it was found. As the accepted set grows in order, a page's few
+    detections (one a technology, the most confident) are folded in order within one expression.
     """
-    pairs = conflicts.select("technology", "other").union(conflicts.select("other", "technology")).distinct()
-    against = pairs.groupBy("technology").agg(F.collect_set("other").alias("against"))
-    rows = detections.join(F.broadcast(against), "technology", "left")
-    one = F.struct((-F.col("confidence")).alias("o"), "technology", "confidence", F.coalesce("against", F.array().cast("array<string>")).alias("against"))
+    spark = detections.sparkSession
+    no = F.array().cast("array<string>")
+    against = conflicts.groupBy("technology").agg(F.collect_set("other").alias("against"), F.max("minimum_score").alias("minimum"))
+    needs = (dependencies or spark.createDataFrame([], "technology string, needs string")).groupBy("technology").agg(F.collect_set("needs").alias("needs"))
+    best = detections.groupBy("page_id", "technology").agg(F.max("confidence").alias("confidence"))
+    rows = best.join(against, "technology", "left").join(needs, "technology", "left")
+    one = F.struct((-F.col("confidence")).alias("o"), "technology", "confidence", F.coalesce("against", no).alias("against"), F.coalesce("minimum", F.lit(0.0)).alias("minimum"), F.coalesce("needs", no).alias("needs"))
     page = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    kept = F.aggregate("all", F.array().cast("array<string>"), lambda acc, d: F.when(F.arrays_overlap(acc, d["against"]), acc).otherwise(F.concat(acc, F.array(d["technology"]))))
+    names = F.transform("all", lambda d: d["technology"])
+
+    def accept(taken: Column, d: Column) -> Column:
+        strong = F.transform(F.filter("all", lambda x: x["confidence"] >= d["minimum"]), lambda x: x["technology"])
+        blocked = F.arrays_overlap(taken, F.array_intersect(d["against"], strong))
+        return F.when(blocked, taken).otherwise(F.array_union(F.array_union(taken, F.array(d["technology"])), F.array_intersect(d["needs"], names)))
+
+    kept = F.aggregate("all", no, accept)
     return page.withColumn("kept", kept).select("page_id", F.explode(F.filter("all", lambda d: F.array_contains(F.col("kept"), d["technology"]))).alias("d")).select("page_id", "d.technology", "d.confidence")
 
 
@@ -120,25 +132,30 @@ def with_dependencies(accepted: DataFrame, found: DataFrame, dependencies: DataF
 def resolved_versions(candidates: DataFrame) -> DataFrame:
     """The version of each page's technology, or why there is none.
 
-    candidates: page_id, technology, version, source, priority, ownership_confidence, preferred, confirmable. A version's
-    group scores its best candidate and more for each further one; groups that can't confirm are held down. Two groups
-    of different sources within 12 points conflict, within 6 they are ambiguous.
+    candidates: page_id, technology, version, source, priority, ownership_confidence, preferred, confirmable, origin (the
+    address, asset or file it comes from; null: its source and version stand for it). A version's group is judged by its
+    confirmable candidates, or by all if there is none: the best one's score, and 8 for each further origin, 20 at most.
+    Groups that can't confirm are held down. If the best two are within 12 points, and the confirmable groups have
+    several origins between them, they conflict; within 6 they are ambiguous.
     """
     score = 0.5 * F.col("priority") + 0.35 * F.col("ownership_confidence") + F.when(F.col("preferred"), 20.0).otherwise(0.0)
+    origin = F.coalesce(F.nullif("origin", F.lit("")), F.concat_ws(":", "source", "version"))
+    fit = lambda f, what: F.coalesce(f(F.when(F.col("confirmable"), what)), f(what))
     groups = (
         candidates.where(valid_version(F.col("version")))
-        .withColumn("score", score)
+        .withColumns({"score": score, "origin": origin})
         .groupBy("page_id", "technology", "version")
-        .agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.bool_or("confirmable").alias("ok"), F.array_sort(F.collect_set("source")).alias("sources"))
+        .agg(fit(F.max, F.col("score")).alias("best"), F.bool_or("confirmable").alias("ok"), F.array_sort(F.collect_set(F.when(F.col("confirmable"), F.col("origin")))).alias("firm"), F.array_sort(F.collect_set("origin")).alias("any"))
     )
-    total = F.col("best") + F.least(F.lit(20.0), 8.0 * (F.col("n") - 1))
-    groups = groups.withColumn("score", F.when(F.col("ok"), total).otherwise(F.least(0.4 * total, F.lit(40.0))))
-    one = F.struct((-F.col("score")).alias("o"), "version", "score", "ok", "sources")
+    origins = F.when(F.col("ok"), F.col("firm")).otherwise(F.col("any"))
+    total = F.col("best") + F.least(F.lit(20.0), 8.0 * (F.size(origins) - 1))
+    groups = groups.withColumns({"score": F.round(F.when(F.col("ok"), total).otherwise(F.least(0.4 * total, F.lit(40.0))), 2), "origins": origins})
+    one = F.struct((-F.col("score")).alias("o"), "version", "score", "ok", "origins")
     per = groups.groupBy("page_id", "technology").agg(F.array_sort(F.collect_list(one)).alias("g"))
     good = F.filter("g", lambda x: x["ok"])
     first, second = F.try_element_at(good, F.lit(1)), F.try_element_at(good, F.lit(2))
     margin = F.coalesce(first["score"] - second["score"], F.lit(1e9))
-    apart = F.size(F.array_distinct(F.concat(F.coalesce(first["sources"], F.array().cast("array<string>")), F.coalesce(second["sources"], F.array().cast("array<string>"))))) > 1
+    apart = F.size(F.array_distinct(F.flatten(F.transform(good, lambda x: x["origins"])))) > 1
     kind = F.when(first.isNull(), "WEAK_ONLY").when((margin < 6) & apart, "AMBIGUOUS").when((margin < 12) & apart, "STRONG_CONFLICT").when(F.size("g") > 1, "WEAK_ALTERNATE").otherwise("NO_CONFLICT")
     version = F.when(kind.isin("WEAK_ALTERNATE", "NO_CONFLICT"), first["version"]).otherwise(UNKNOWN)
     others = F.array_join(F.array_sort(F.transform(F.filter("g", lambda x: x["version"] != version), lambda x: x["version"])), ",")

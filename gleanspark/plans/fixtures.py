@@ -109,18 +109,41 @@ FIXTURES: dict[str, Rows] = {
             (3, "vue", "framework", "Unknown", 55.0, "n.js", []),
         ],
     ),
-    "conflicts": ("technology string, other string", [("react", "preact"), ("angular", "angularjs"), ("angularjs", "vue"), ("vue", "nuxt")]),
+    "conflicts": (
+        "technology string, other string, minimum_score double",
+        [("react", "preact", 45.0), ("angular", "angularjs", 45.0), ("angularjs", "vue", 45.0), ("vue", "nuxt", 45.0), ("nextjs", "vue", 40.0), ("react", "vue", 60.0), ("webpack", "react", 50.0)],
+    ),
+    "needs": ("technology string, needs string", [("nextjs", "react"), ("nuxt", "vue"), ("nuxt", "nitro")]),
+    "assignments": (
+        "page_id long, text string",
+        [
+            (1, 'username: "deploy-bot",\n\n\npassword: "Tr0ub4dor&3xyz"\npassword = "second-one"'),
+            (2, 'pwd = "above-it"\r\nx\r\nlogin = "ada"\r\nDB_USER: \'root\' password: "same line"'),
+            (3, 'login = "far"' + "\n" * 9 + 'password = "too-far"' + "\n" * 8 + "user_name='near'"),
+            (4, "password = 'abc'\nusername = 'x'"),
+            (5, None),
+            (6, ""),
+        ],
+    ),
     "samples": ("sample_id string, expected array<string>, found array<string>", [("react-spa", ["react", "webpack"], ["react"]), ("vue-nuxt", ["vue", "nuxt"], ["nuxt", "vue", "vite"]), ("plain", ["nginx"], [])]),
     "version_candidates": (
-        "page_id long, technology string, version string, source string, priority double, ownership_confidence double, preferred boolean, confirmable boolean",
+        "page_id long, technology string, version string, source string, priority double, ownership_confidence double, preferred boolean, confirmable boolean, origin string",
         [
-            (1, "react", "18.2.0", "runtime", 95.0, 90.0, True, True),
-            (1, "react", "18.2.0", "package", 100.0, 90.0, False, True),
-            (1, "react", "17.0.2", "banner", 75.0, 40.0, False, True),
-            (2, "vue", "3.4.0", "runtime", 95.0, 70.0, False, True),
-            (2, "vue", "3.3.1", "package", 100.0, 65.0, False, True),
-            (3, "jquery", "3.7.1", "regex", 20.0, 30.0, False, False),
-            (3, "d3", "0.0.0", "runtime", 95.0, 90.0, True, True),
+            (1, "react", "18.2.0", "runtime", 95.0, 90.0, True, True, None),
+            (1, "react", "18.2.0", "package", 100.0, 90.0, False, True, None),
+            (1, "react", "17.0.2", "banner", 75.0, 40.0, False, True, None),
+            (2, "vue", "3.4.0", "runtime", 95.0, 70.0, False, True, None),
+            (2, "vue", "3.3.1", "package", 100.0, 65.0, False, True, None),
+            (3, "jquery", "3.7.1", "regex", 20.0, 30.0, False, False, None),
+            (3, "d3", "0.0.0", "runtime", 95.0, 90.0, True, True, None),
+            (4, "axios", "1.6.0", "banner", 80.0, 80.0, False, True, "https://a.example/app.js"),
+            (4, "axios", "1.6.0", "regex", 60.0, 80.0, False, True, "https://a.example/app.js"),
+            (4, "axios", "1.6.0", "string", 50.0, 80.0, False, True, "https://a.example/app.js"),
+            (4, "axios", "1.4.0", "package", 90.0, 80.0, False, True, "https://a.example/v.js"),
+            (4, "axios", "1.4.0", "runtime", 80.0, 80.0, False, True, "https://a.example/w.js"),
+            (5, "lodash", "4.17.21", "package", 100.0, 95.0, True, False, "x.js"),
+            (5, "lodash", "4.17.21", "banner", 60.0, 50.0, False, True, "y.js"),
+            (5, "lodash", "4.0.0", "runtime", 70.0, 60.0, False, True, "z.js"),
         ],
     ),
     "robots": ("id long, text string", [(1, "User-agent: *\nSitemap: https://a.example/sitemap.xml\nsitemap:/b.xml  \nDisallow: /x"), (2, "# Sitemap: no"), (3, ""), (4, None), (5, "Sitemap:\thttps://c.example/s.xml.gz\r\nSitemap: https://c.example/t.xml")]),

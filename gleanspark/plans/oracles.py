@@ -9,6 +9,7 @@ from gleanspark.functions.identities import RELATIONSHIPS
 from gleanspark.functions.js_patterns import JS_BUNDLE_PATTERNS, JS_RUNTIME_PATTERNS, JS_VERSION_PATTERNS
 from gleanspark.functions.version_patterns import METHOD_WEIGHTS, VERSION_PATTERNS
 from gleanspark.operators import javascript as J
+from gleanspark.operators import sensitive as S
 from gleanspark.functions.fingerprints import FINGERPRINTS
 from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, VERSION_MULTIPLIERS, Pattern, evidence_tier, fingerprint_patterns, strong_pattern, version_patterns, weak_pattern
 from gleanspark.operators.pages import WELL_KNOWN, WELL_KNOWN_ANALYZERS
@@ -249,14 +250,22 @@ FROM (SELECT p.page_id, t, a, coalesce(bool_or(o.available), false) AS there, mi
 # Worked out by hand: of what falls below 85, page 3's react comes back, as its nextjs stands on it; page 1's has it.
 ORACLES["dependency_addback"] = "SELECT page_id::BIGINT AS page_id, technology, confidence::DOUBLE AS confidence FROM (VALUES (1, 'nextjs', 96.5), (1, 'react', 91.25), (2, 'nuxt', 88.0), (2, 'vue', 88.0), (3, 'nextjs', 90.0), (3, 'react', 50.0)) AS v(page_id, technology, confidence)"
 # Worked out by hand: vue falls to nuxt, and so displaces angularjs no more.
-ORACLES["conflict_removal"] = "SELECT page_id::BIGINT AS page_id, technology, confidence::DOUBLE AS confidence FROM (VALUES (1, 'nextjs', 96.5), (1, 'react', 91.25), (1, 'webpack', 80.0), (2, 'nuxt', 88.0), (2, 'angularjs', 60.0), (3, 'nextjs', 90.0), (3, 'vue', 55.0), (3, 'react', 50.0)) AS v(page_id, technology, confidence)"
+ORACLES["conflict_removal"] = "SELECT page_id::BIGINT AS page_id, technology, confidence::DOUBLE AS confidence FROM (VALUES (1, 'nextjs', 96.5), (1, 'react', 91.25), (2, 'nuxt', 88.0), (2, 'vue', 88.0), (3, 'nextjs', 90.0), (3, 'vue', 55.0), (3, 'react', 50.0)) AS v(page_id, technology, confidence)"
 ORACLES["cookie_attributes"] = """SELECT page_id::BIGINT AS page_id, CAST(i AS INTEGER) AS "index", name, value, CAST(NULL AS VARCHAR) AS domain, path, CAST(NULL AS VARCHAR) AS expires, samesite, CAST(NULL AS VARCHAR) AS priority, max_age, secure, httponly, false AS partitioned, host_prefix, CAST(NULL AS VARCHAR) AS secure_prefix, raw
 FROM (VALUES (1, 0, 'session', 'abc', '/', NULL, NULL, true, true, NULL, 'session=abc; Path=/; Secure; HttpOnly'), (1, 1, '__Host-id', '7', '/', 'Lax', 60, true, false, '__Host-', '__Host-id=7; Path=/; Secure; SameSite=Lax; Max-Age=60'),
   (3, 0, 'flag', '', NULL, NULL, NULL, false, false, NULL, 'flag')) AS v(page_id, i, name, value, path, samesite, max_age, secure, httponly, host_prefix, raw)"""
 # Worked out by hand from the rules: scores of page 2 are 72 and 72.75, of different sources; page 3 can't confirm, and 0.0.0 is no version.
-ORACLES["version_primary"] = "SELECT page_id::BIGINT AS page_id, technology, version, conflict, alternates FROM (VALUES (1, 'react', '18.2.0', 'WEAK_ALTERNATE', '17.0.2'), (2, 'vue', 'Unknown', 'AMBIGUOUS', '3.3.1,3.4.0'), (3, 'jquery', 'Unknown', 'WEAK_ONLY', '3.7.1')) AS v(page_id, technology, version, conflict, alternates)"
+ORACLES["version_primary"] = "SELECT page_id::BIGINT AS page_id, technology, version, conflict, alternates FROM (VALUES (1, 'react', '18.2.0', 'WEAK_ALTERNATE', '17.0.2'), (2, 'vue', 'Unknown', 'AMBIGUOUS', '3.3.1,3.4.0'), (3, 'jquery', 'Unknown', 'WEAK_ONLY', '3.7.1'), (4, 'axios', '1.4.0', 'WEAK_ALTERNATE', '1.6.0'), (5, 'lodash', 'Unknown', 'STRONG_CONFLICT', '4.0.0,4.17.21')) AS v(page_id, technology, version, conflict, alternates)"
+
+_LINES = _q(r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]")
+_USER, _PASSWORD = _q(S.USER_ASSIGNMENT), _q(S.PASSWORD_ASSIGNMENT)
+ORACLES["assigned_pairs"] = f"""WITH texts AS (SELECT doc_id AS page_id, text FROM documents UNION ALL SELECT page_id + {CASES}, text FROM {table('assignments')}),
+whole AS (SELECT page_id, regexp_split_to_array(text, {_LINES}) AS lines FROM texts),
+seen AS (SELECT page_id, line, nullif(regexp_extract(one, {_USER}, 1), '') AS u, nullif(regexp_extract(one, {_PASSWORD}, 1), '') AS p FROM (SELECT page_id, unnest(lines) AS one, generate_subscripts(lines, 1) AS line FROM whole)),
+met AS (SELECT a.page_id, a.u, a.line AS user_line, min(b.line) AS password_line, arg_min(b.p, b.line) AS p FROM seen a JOIN seen b ON a.page_id = b.page_id AND abs(a.line - b.line) <= {S.NEAR_LINES} WHERE a.u IS NOT NULL AND b.p IS NOT NULL GROUP BY ALL)
+SELECT page_id, u AS user, p AS password, user_line::INTEGER AS user_line, password_line::INTEGER AS password_line, least(user_line, password_line)::INTEGER AS line,
+    array_to_string(lines[least(user_line, password_line) : greatest(user_line, password_line)], chr(10))[1:200] AS evidence FROM met JOIN whole USING (page_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-

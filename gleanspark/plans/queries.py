@@ -107,6 +107,11 @@ def _secret_texts(s: SparkSession, d: str) -> DataFrame:
     return _with_cases(s, "secret_texts", "page_id", turns)
 
 
+def _assignments(s: SparkSession, d: str) -> DataFrame:
+    """All documents, and cases."""
+    return _with_cases(s, "assignments", "page_id", _table(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+
+
 def _artifact_texts(s: SparkSession, d: str) -> DataFrame:
     """All pages, and cases."""
     return _with_cases(s, "artifact_texts", "page_id", _table(s, d, "pages").select("page_id", F.lit("html").alias("source"), F.col("html").alias("text")))
@@ -122,7 +127,7 @@ def _judged(s: SparkSession, d: str) -> DataFrame:
 
 def _calibrated(s: SparkSession, d: str) -> DataFrame:
     found = _judged(s, d)
-    return sensitive.calibrated(found, sensitive.pairs(found))
+    return sensitive.calibrated(found, sensitive.pairs(found), sensitive.database_triples(found))
 
 
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
@@ -212,8 +217,10 @@ QUERIES: dict[str, Query] = {
     "benchmark_pr": lambda s, d: providers.comparison_statistics(providers.compared(frame(s, "ours"), frame(s, "theirs"))),
     "regression_metrics": lambda s, d: providers.regression_metrics(frame(s, "samples")),
     "relationships": lambda s, d: providers.relationships(frame(s, "detections")),
-    "conflict_removal": lambda s, d: providers.without_conflicts(frame(s, "detections"), frame(s, "conflicts")),
+    "conflict_removal": lambda s, d: providers.without_conflicts(frame(s, "detections"), frame(s, "conflicts"), frame(s, "needs")),
     "dependency_addback": lambda s, d: providers.with_dependencies(frame(s, "detections").where("confidence >= 85"), frame(s, "detections")),
+    "assigned_pairs": lambda s, d: sensitive.assigned_pairs(_assignments(s, d)),
+    "database_triples": lambda s, d: sensitive.database_triples(_judged(s, d)),
     "database_sets": lambda s, d: sensitive.database_sets(_judged(s, d)),
     "report_groups": lambda s, d: findings.report_groups(frame(s, "detections")),
     "report_csv": lambda s, d: findings.csv_rows(frame(s, "detections")),
