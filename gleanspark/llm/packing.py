@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import materialize, parcels, prepared, range_ranked, text_of
+from gleanspark.llm.common import few_rows_a_batch, materialize, parcels, prepared, range_ranked, released, text_of
 
 CAPACITY = 2048
 END_ID = 0
 #: A task keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
 KEPT_BYTES = 12 << 20
 KEPT_WORD_BYTES = 64
+#: Rows of texts that go to Python at once.
+BATCH_ROWS = 1000
 #: Words that the tokenizer's steps before its merges leave as they are: ASCII but the apostrophe, small Latin-1 letters;
 #: and the parts that its pattern cuts them into.
 _PLAIN = re.compile("[!-&(-~ß-öø-ÿ]+")
@@ -169,6 +171,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
                     names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
         w.forget()
+        released()
 
     return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length int, ids_crc32 long")
 
@@ -296,7 +299,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPAC
     of the rows whose pieces opened them, so that who reads sequence after sequence meets the rows' order.
     """
     cut = pieces(docs, tokenizer=tokenizer, capacity=capacity, id_column=id_column, text_column=text_column, order_column=order_column)
-    cut = materialize(cut.withColumn("id", F.monotonically_increasing_id()), "pack-pieces")
+    with few_rows_a_batch(docs.sparkSession, BATCH_ROWS):
+        cut = materialize(cut.withColumn("id", F.monotonically_increasing_id()), "pack-pieces")
     binned = cut.join(best_fit(cut.select("id", "length"), capacity), "id")
     inside = Window.partitionBy("bin").orderBy("row", "piece", "id")
     offset = F.coalesce(F.sum(F.col("length").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import parcels, prepared, text_of
+from gleanspark.llm.common import parcels, prepared, released, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -354,5 +354,6 @@ def masked(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
                 cols = list(some.columns)
                 cols[place] = pa.array(new, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+        released()
 
     return docs.mapInArrow(run, docs.schema)
