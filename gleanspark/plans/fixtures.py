@@ -52,6 +52,28 @@ FIXTURES: dict[str, Rows] = {
             (6, "https://a.example/app.chunk.js", "//# sourceMappingURL=old.map\nlet q = 1;\n/*# sourceMappingURL=app.chunk.js.map*/"),
         ],
     ),
+    "script_sources": (
+        "script_id long, content string",
+        [
+            (1, "/*!\n * React v18.2.0\n * MIT License\n * Copyright (c) 2013-2024 Example Authors and others\n * @generated by some-tool 1.4\n * https://github.com/example/react\n */\nimport React, { useState } from 'react';\n  import './style.css'\nimport React from 'react';\nexport default function App() {}\nexport * from './lib';\n"),
+            (2, "const a = \"it's \\\"quoted\\\" v1.2\", b = 'say \"hi\"', c = `x ${a}`, d = 'ab', e = 'https://github.com/example/repo', f = \"MIT License\", g = 'node_modules/@scope/pkg/index.js';\nimport('lodash-es'); require( 'left-pad' )\n// commit 0123456789abcdef0\nvar buildId = \"deadbeef01\"; hash: 'DEADBEEF02'"),
+            (3, "x={\"name\":\"@scope/tool\",\n \"version\":\"3.4.5\"};y={'name':'./odd','version':'1'};abcdef0123456789 is the revision; abcdef01234567aa nothing near"),
+            (4, None),
+            (5, ""),
+            (6, "'unclosed\nlet q = \"closed.one\"; // Built with Example Tool; rest"),
+        ],
+    ),
+    "source_maps": (
+        "map_id long, text string",
+        [
+            (1, '{"version":3,"file":"app.js","sources":["webpack:///./src/a.ts","webpack:///./node_modules/react/index.js","../node_modules/@scope/pkg/lib/x.js",7,null],"names":["a","useState"],"sourcesContent":["let a",null],"mappings":"AAAA"}'),
+            (2, '{"version":"3","file":null,"sources":"one.js"}'),
+            (3, "[1, 2]"),
+            (4, ")]}'{broken"),
+            (5, None),
+            (6, '{"sources":["node_modules/x/node_modules/lodash/get.js","node_modules/"],"names":[]}'),
+        ],
+    ),
     "secret_texts": (
         "page_id long, source string, text string",
         [

@@ -9,12 +9,14 @@ from gleanspark.functions.identities import RELATIONSHIPS
 from gleanspark.functions.js_patterns import JS_BUNDLE_PATTERNS, JS_RUNTIME_PATTERNS, JS_VERSION_PATTERNS
 from gleanspark.functions.version_patterns import METHOD_WEIGHTS, VERSION_PATTERNS
 from gleanspark.operators import javascript as J
+from gleanspark.operators import script_findings as SF
 from gleanspark.operators import sensitive as S
 from gleanspark.functions.fingerprints import FINGERPRINTS
 from gleanspark.operators.fingerprint import BOOTSTRAP_MARKERS, BUNDLE_HINTS, VERSION_MULTIPLIERS, Pattern, evidence_tier, fingerprint_patterns, strong_pattern, version_patterns, weak_pattern
 from gleanspark.operators.pages import WELL_KNOWN, WELL_KNOWN_ANALYZERS
 from gleanspark.operators.scan import CONTACT_BY_NAME, ENTROPY_ASSIGNMENT
 from gleanspark.plans.fixtures import sql as table
+from gleanspark.sources import source_maps as SM
 
 #: As in queries.
 CASES, SCRIPTS = 1_000_000_000, 1000
@@ -267,5 +269,51 @@ SELECT page_id, u AS user, p AS password, user_line::INTEGER AS user_line, passw
     array_to_string(lines[least(user_line, password_line) : greatest(user_line, password_line)], chr(10))[1:200] AS evidence FROM met JOIN whole USING (page_id)"""
 
 
+_SOURCES = f"""(SELECT script_id + {CASES} AS script_id, coalesce(content, '') AS c FROM {table("script_sources")}
+  UNION ALL SELECT page_id * {SCRIPTS} + "index", content FROM ({_listed('<script>(.*?)</script>')}))"""
+_EDGES = "'^\\s+|\\s+$', '', 'g'"
+
+
+def _extracted(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {_q(pattern)}, {group})"
+
+
+def _found(category: str, kind: str, label: str, values: str) -> str:
+    return f"SELECT script_id, {_q(category)} AS category, {_q(kind)} AS evidence_type, {_q(label)} AS kind, unnest({values}) AS value FROM read"
+
+
+def _leading(category: str, kind: str, kinds: tuple, text: str) -> list[str]:
+    return [_found(category, kind, k, f"{_extracted(text, p)}[:1]") for k, p in kinds]
+
+
+_STATEMENTS = [(SF.IMPORT, "import"), (SF.DYNAMIC_IMPORT, "import"), (SF.EXPORT_FROM, "export"), (SF.EXPORT, "export")]
+_FINDINGS = [
+    *_leading("banner", "banner", SF.BANNER_KINDS, "b"),
+    _found("banner", "version_candidate", "banner", _extracted("b", SF.VERSION, 1)),
+    *[_found("ast", "import_export", k, _extracted("c", p, 1)) for p, k in _STATEMENTS],
+    *[_found("ast", "ast_extraction", k, f"list_transform({_extracted('c', p)}, lambda x: regexp_replace(x, {_EDGES}))") for p, k in _STATEMENTS[:2]],
+    _found("string", "string_literal", "literal", "said"),
+    *[_found(c, e, k, f"list_filter(said, lambda x: regexp_matches(x, {_q(p)}))") for c, e, k, p in SF.LITERAL_KINDS],
+    *[_found("metadata", "metadata", k, f"list_distinct({_extracted('c', p, g)})") for k, p, g in SF.METADATA_KINDS],
+    *_leading("package", "metadata", SF.HEAD_KINDS, f"c[1:{SF.HEAD_CHARS}]"),
+    *[f"SELECT DISTINCT * FROM ({' UNION ALL '.join(_leading('package', 'package_marker', tuple(('module', p) for p in SF.MODULE_MARKERS), 'c'))})"],
+]
+_WORDS_OF_COMMITS = (("commit", 14), ("revision", 12), ("sha", 17), ("git", 17))
+ORACLES["script_findings"] = f"""WITH raw AS (SELECT script_id, c, array_to_string(list_transform({_extracted(f"c[1:{SF.BANNER_CHARS}]", SF.BANNER_COMMENT)}, lambda x: regexp_replace(x, {_EDGES})), chr(10)) AS comments,
+    list_transform(list_filter(list_transform({_extracted("c", SF.LITERAL.replace("*+", "*"))}, lambda x: x[2:-2]), lambda x: length(x) >= 2)[:{SF.MAX_LITERALS}], lambda x: regexp_replace(x[1:{SF.LITERAL_CHARS}], {_EDGES})) AS literals FROM {_SOURCES}),
+read AS (SELECT script_id, c, CASE WHEN comments <> '' THEN comments ELSE c[1:{SF.BANNER_CHARS}] END AS b, list_filter(list_distinct(literals), lambda x: length(x) >= 3 AND regexp_matches(x, {_q(SF.MEANINGFUL)})) AS said FROM raw),
+hexes AS (SELECT DISTINCT script_id, c[1:{SF.COMMIT_CHARS}] AS front, unnest({_extracted(f"c[1:{SF.COMMIT_CHARS}]", chr(92) + "b[a-f0-9]{12,40}" + chr(92) + "b")}) AS value FROM read)
+{" UNION ALL ".join(_FINDINGS)}
+UNION ALL SELECT script_id, 'metadata', 'metadata', 'commit_hash', value FROM hexes WHERE {" OR ".join(f"regexp_matches(front, '(?s)(?i:{w}).{{0,{n}}}\\b' || value || '\\b|\\b' || value || '\\b.{{0,{n}}}(?i:{w})')" for w, n in _WORDS_OF_COMMITS)}"""
+
+_MAPS = f"""(SELECT map_id + {CASES} AS map_id, text FROM {table("source_maps")}
+  UNION ALL SELECT script_id * {SCRIPTS} + generate_subscripts(codes, 1) - 1, decode(from_base64(unnest(codes))) FROM (SELECT script_id, regexp_extract_all(c, {_q(SM.INLINE_MAP)}, 1) AS codes FROM {_SOURCES}) WHERE script_id < {CASES})"""
+_strings = lambda name: f"coalesce(list_transform(list_filter(CASE WHEN json_type(m, '$.{name}') = 'ARRAY' THEN CAST(json_extract(m, '$.{name}') AS JSON[]) ELSE [] END, lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), [])"
+_PARSED = f"""SELECT map_id, status, CASE WHEN json_type(m, '$.version') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(m, '$.version') AS BIGINT) END AS version, CASE WHEN json_type(m, '$.file') = 'VARCHAR' THEN json_extract_string(m, '$.file') END AS file,
+    CASE WHEN status = 'ok' THEN {_strings("sources")} END AS sources, CASE WHEN status = 'ok' THEN {_strings("names")} END AS names, CASE WHEN status = 'ok' THEN len({_strings("sourcesContent")})::INTEGER END AS n_contents
+FROM (SELECT map_id, status, CASE WHEN status = 'ok' THEN CAST(text AS JSON) END AS m FROM (SELECT map_id, text, CASE WHEN NOT coalesce(json_valid(text), FALSE) THEN 'broken' WHEN json_type(CASE WHEN json_valid(text) THEN text END) = 'OBJECT' THEN 'ok' ELSE 'not_object' END AS status FROM {_MAPS}))"""
+ORACLES["source_map_parse"] = f"SELECT * REPLACE (array_to_string(sources, '|') AS sources, array_to_string(names, '|') AS names) FROM ({_PARSED})"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import columns as C
 from gleanspark.functions import fixed_values as V
-from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, javascript, pages, providers, rules, scan, sensitive
+from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, javascript, pages, providers, rules, scan, script_findings, sensitive
 from gleanspark.plans.fixtures import frame
-from gleanspark.sources import html, sinks
+from gleanspark.sources import html, sinks, source_maps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,17 @@ def _scripts(s: SparkSession, d: str) -> DataFrame:
     return _with_cases(s, "scripts", "script_id", _script_texts(s, d))
 
 
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """script_id, content: inline scripts of all pages, and cases."""
+    return _with_cases(s, "script_sources", "script_id", _script_texts(s, d))
+
+
+def _maps(s: SparkSession, d: str) -> DataFrame:
+    """map_id, text: the maps that inline scripts of all pages carry, and cases."""
+    inline = source_maps.inline_maps(_script_texts(s, d)).withColumn("map_id", F.col("script_id") * SCRIPTS + F.col("position"))
+    return _with_cases(s, "source_maps", "map_id", inline)
+
+
 def _contexts(s: SparkSession, d: str) -> DataFrame:
     """Inline scripts of all pages as what patterns and rules look at, and cases."""
     nothing = F.lit(None).cast("string")
@@ -196,6 +207,10 @@ QUERIES: dict[str, Query] = {
     "version_validate": lambda s, d: frame(s, "versions").select("id", C.normalize_version(F.col("raw")).alias("normalized"), F.coalesce(C.valid_version(F.col("raw")), F.lit(False)).alias("valid")),
     "version_primary": lambda s, d: providers.resolved_versions(frame(s, "version_candidates")),
     "js_tokens": lambda s, d: javascript.tokens(_scripts(s, d)).select("script_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("strings").alias("n_strings")),
+    "source_map_parse": lambda s, d: source_maps.parsed_maps(_maps(s, d)).withColumns({"sources": F.array_join("sources", "|"), "names": F.array_join("names", "|")}),
+    "source_map_sources": lambda s, d: source_maps.map_sources(source_maps.parsed_maps(_maps(s, d))),
+    "script_findings": lambda s, d: script_findings.script_findings(_sources(s, d)),
+    "script_packages": lambda s, d: script_findings.script_packages(_sources(s, d)),
     "js_evidence": lambda s, d: javascript.script_evidence(_scripts(s, d)),
     "js_versions": lambda s, d: javascript.version_hits(_scripts(s, d)),
     "js_duplicates": lambda s, d: javascript.duplicate_scripts(_scripts(s, d)),
