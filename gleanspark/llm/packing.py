@@ -30,7 +30,7 @@ from gleanspark.llm.common import few_rows_a_batch, materialize, parcels, prepar
 CAPACITY = 2048
 END_ID = 0
 #: A task keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
-KEPT_BYTES = 12 << 20
+KEPT_BYTES = 16 << 20
 KEPT_WORD_BYTES = 64
 #: Rows of texts that go to Python at once.
 BATCH_ROWS = 1000
