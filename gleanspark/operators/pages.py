@@ -229,3 +229,14 @@ def well_known_findings(observed: DataFrame) -> DataFrame:
     rows = pages.join(got, ["page_id", "resource_type"], "left").withColumn("analyzer", F.element_at(own, F.col("resource_type")))
     state = F.when(F.coalesce(F.col("available"), F.lit(False)), "present").otherwise("missing")
     return rows.select(*finding(F.col("page_id"), F.col("analyzer"), "METADATA", F.concat_ws("-", "resource_type", state), F.concat_ws(" ", "resource_type", state), location=F.col("url")))
+
+
+def link_header_references(headers: DataFrame) -> DataFrame:
+    """page_id, base, href, url: what the Link headers (page_id, base, header) of pages refer to, by their base address.
+
+    A header's parts stand between commas; those that begin with an address in angle brackets count, whatever their
+    parameters. url is null if it isn't http or https; null headers have none.
+    """
+    parts = F.transform(F.split(F.coalesce("header", F.lit("")), ","), lambda x: F.trim(x))
+    found = headers.select("page_id", "base", F.explode(parts).alias("part")).where(F.col("part").rlike("^<[^>]+>"))
+    return resolved(found.select("page_id", "base", F.regexp_extract("part", "^<([^>]+)>", 1).alias("href")))
