@@ -23,6 +23,24 @@ CONFIRMS = {"OWNED": 65.0, "ASSOCIATED": 70.0}
 # Affinity by where a name stands, and from where on it makes an asset a technology's own.
 IN_NAME, IN_PATH, IN_URL, ENOUGH = 95.0, 90.0, 75.0, 70.0
 STAMPED, WEAK_STAMP, NO_AFFINITY = 95.0, 60.0, 70.0
+# What a method's versions are called, and what the ground of an ownership and a version in the address add.
+METHOD_SOURCES = {
+    "runtime_constant": "runtime",
+    "framework_object": "runtime",
+    "package_identifier": "package",
+    "package_manifest": "manifest",
+    "build_metadata": "build_metadata",
+    "metadata": "metadata",
+    "banner": "banner",
+    "source_map": "sourcemap",
+    "asset_filename": "filename",
+    "technology_marker": "runtime",
+    "reference": "content",
+    "generic_literal": "content",
+    "unknown": "unknown",
+}
+BASIS_BONUS = {"js_asset_affinity": 12.0, "js_extractor_low_affinity": -2.0, "js_self_proving_method": 6.0}
+IN_ADDRESS = 8.0
 
 
 def name_tokens(technology: Column) -> Column:
@@ -153,25 +171,40 @@ def scoped_resources(matches: DataFrame, resources: DataFrame) -> DataFrame:
     return scoped.unionByName(anywhere)
 
 
+def _plain_url(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(url), r"\?.*$", ""), "/+$", "")
+
+
+def _ends_alike(known: str, text: Column) -> Column:
+    """Whether the text and one of the array's are equal or one ends with the other; empty ones never."""
+    near = F.exists(known, lambda k: (k != "") & (F.endswith(text, k) | F.endswith(k, text)))
+    return F.coalesce((text != "") & near, F.lit(False))
+
+
 def extracted_candidates(hits: DataFrame, resources: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Candidates for providers.resolved_versions from what version extractors found in assets.
 
     hits: asset_id, technology, method, version, weight. resources and matches: as in scoped_resources. Without matches
     every technology found on a page is looked for in all its assets and none is preferred; with them, only detected
-    ones in their scope, and the asset that a detection came from first is preferred. Equal versions by one method in
-    one asset count once.
+    ones in their scope, and the asset that a detection came from itself (url, filename; also if one ends with the other)
+    is preferred. bonus: more for assets of the technology's name, self-proving methods and addresses that hold the
+    version, less for mentions elsewhere. Equal versions by one method in one asset count once.
     """
     at = hits.join(resources.select("page_id", "asset_id", "url", "filename"), "asset_id")
+    url, file = F.coalesce("url", F.lit("")), F.coalesce("filename", F.lit(""))
     preferred = F.lit(False)
     if matches is not None:
         at = at.join(scoped_resources(matches, resources), ["page_id", "technology", "asset_id"], "left_semi")
-        origin = matches.groupBy("page_id", "technology").agg(F.collect_set("url").alias("_urls"), F.collect_set("filename").alias("_files"))
+        origin = matches.groupBy("page_id", "technology").agg(F.collect_set(_plain_url(F.col("url"))).alias("_urls"), F.collect_set(F.lower(F.trim("filename"))).alias("_files"))
         at = at.join(origin, ["page_id", "technology"], "left")
-        preferred = F.coalesce(F.array_contains("_urls", F.col("url")), F.lit(False)) | F.coalesce(F.array_contains("_files", F.col("filename")), F.lit(False))
+        preferred = _ends_alike("_urls", _plain_url(url)) | _ends_alike("_files", F.lower(F.trim(file)))
     method = F.lower("method")
     rows = at.withColumn("o", extraction_ownership(F.col("technology"), method, F.col("filename"), F.col("url")))
-    firm = ~method.isin(*WEAK_METHODS) & ~method.isin(*WEAK_SOURCES) & (F.col("weight") >= MIN_PRIORITY) & confirms(F.col("o.ownership"), F.col("o.confidence"))
+    source = lookup(method, METHOD_SOURCES, "content")
+    firm = ~method.isin(*WEAK_METHODS) & ~source.isin(*WEAK_SOURCES) & (F.col("weight") >= MIN_PRIORITY) & confirms(F.col("o.ownership"), F.col("o.confidence"))
+    named = F.contains(F.lower(F.concat_ws(" ", file, url)), F.lower("version"))
+    bonus = lookup(F.col("o.basis"), BASIS_BONUS, 0.0) + F.when(named, IN_ADDRESS).otherwise(0.0) + F.when((F.col("o.ownership") == "ASSOCIATED") & (source == "content"), 1.0).otherwise(0.0)
     return rows.select(
-        "page_id", "technology", "version", method.alias("source"), F.col("weight").alias("priority"), F.col("o.confidence").alias("ownership_confidence"), F.col("o.basis").alias("basis"),
-        preferred.alias("preferred"), firm.alias("confirmable"), F.coalesce(F.nullif("url", F.lit("")), F.col("filename")).alias("origin"),
+        "page_id", "technology", "version", source.alias("source"), F.col("weight").alias("priority"), F.col("o.confidence").alias("ownership_confidence"), F.col("o.basis").alias("basis"),
+        bonus.alias("bonus"), preferred.alias("preferred"), firm.alias("confirmable"), F.coalesce(F.nullif("url", F.lit("")), F.col("filename")).alias("origin"),
     ).distinct()

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanspark.functions.columns import technology_id, valid_version
+from gleanspark.functions.columns import lookup, technology_id, valid_version
 from gleanspark.functions.signatures import SIGNATURES
 from gleanspark.functions.identities import RELATIONSHIPS
 
 UNKNOWN = "Unknown"
+# What a version's source adds to its score.
+SOURCE_BONUS = {"package": 5.0, "package_metadata": 5.0, "manifest": 5.0, "runtime": 4.0, "build_metadata": 4.0, "version_candidate": 4.0, "banner": 3.0, "metadata": 3.0, "sourcemap": 3.0, "source_map": 3.0}
 AGREEMENT = {1: 90.0, 2: 97.0, 3: 99.0}  # fixed values: confidence by number of providers
 
 
@@ -136,21 +138,22 @@ def resolved_versions(candidates: DataFrame) -> DataFrame:
     address, asset or file it comes from; null: its source and version stand for it). A version's group is judged by its
     confirmable candidates, or by all if there is none: the best one's score, and 8 for each further origin, 20 at most.
     Groups that can't confirm are held down. If the best two are within 12 points, and the confirmable groups have
-    several origins between them, they conflict; within 6 they are ambiguous.
+    several origins between them, they conflict; within 6 they are ambiguous. Candidates may hold a bonus to their score.
     """
-    score = 0.5 * F.col("priority") + 0.35 * F.col("ownership_confidence") + F.when(F.col("preferred"), 20.0).otherwise(0.0)
+    bonus = F.coalesce("bonus", F.lit(0.0)) if "bonus" in candidates.columns else F.lit(0.0)
+    score = 0.5 * F.col("priority") + 0.35 * F.col("ownership_confidence") + lookup(F.lower("source"), SOURCE_BONUS, 0.0) + F.when(F.col("preferred"), 20.0).otherwise(0.0) + bonus
     origin = F.coalesce(F.nullif("origin", F.lit("")), F.concat_ws(":", "source", "version"))
     fit = lambda f, what: F.coalesce(f(F.when(F.col("confirmable"), what)), f(what))
     groups = (
         candidates.where(valid_version(F.col("version")))
         .withColumns({"score": score, "origin": origin})
         .groupBy("page_id", "technology", "version")
-        .agg(fit(F.max, F.col("score")).alias("best"), F.bool_or("confirmable").alias("ok"), F.array_sort(F.collect_set(F.when(F.col("confirmable"), F.col("origin")))).alias("firm"), F.array_sort(F.collect_set("origin")).alias("any"))
+        .agg(fit(F.max, F.col("score")).alias("best"), fit(F.max, F.col("ownership_confidence")).alias("owned"), F.bool_or("confirmable").alias("ok"), F.array_sort(F.collect_set(F.when(F.col("confirmable"), F.col("origin")))).alias("firm"), F.array_sort(F.collect_set("origin")).alias("any"))
     )
     origins = F.when(F.col("ok"), F.col("firm")).otherwise(F.col("any"))
     total = F.col("best") + F.least(F.lit(20.0), 8.0 * (F.size(origins) - 1))
     groups = groups.withColumns({"score": F.round(F.when(F.col("ok"), total).otherwise(F.least(0.4 * total, F.lit(40.0))), 2), "origins": origins})
-    one = F.struct((-F.col("score")).alias("o"), "version", "score", "ok", "origins")
+    one = F.struct((-F.col("score")).alias("o"), (-F.col("owned")).alias("p"), "version", "score", "ok", "origins")
     per = groups.groupBy("page_id", "technology").agg(F.array_sort(F.collect_list(one)).alias("g"))
     good = F.filter("g", lambda x: x["ok"])
     first, second = F.try_element_at(good, F.lit(1)), F.try_element_at(good, F.lit(2))

@@ -168,6 +168,70 @@ FIXTURES: dict[str, Rows] = {
             (5, "lodash", "4.0.0", "runtime", 70.0, 60.0, False, True, "z.js"),
         ],
     ),
+    "owned_evidence": (
+        "page_id long, evidence_id string, evidence_type string, value string, metadata map<string,string>, technology string",
+        [
+            (1, "a", "banner", "x", {}, "React"),
+            (1, "b", "banner", "react", {"technology": " React "}, None),
+            (1, "c", "banner", "react", {"technology": "vue"}, "jquery"),
+            (1, "d", "banner", "react", {"runtime_family": "vue"}, None),
+            (1, "e", "banner", "", {"package": "React-DOM/server"}, None),
+            (1, "f", "runtime_pattern", "react", {}, None),
+            (1, "g", "version_candidate", "v18", {}, None),
+            (1, "h", "version_candidate", "react 18", {}, None),
+            (2, "i", "banner", "react", {}, None),
+            (3, "j", "package_reference", "node_modules/@mui/system", {}, None),
+            (3, "k", "package_reference", "nextauth", {"package": "next"}, None),
+        ],
+    ),
+    "owned_detections": ("page_id long, technology string", [(1, "react"), (1, "vue"), (2, "vue"), (3, "material-ui"), (3, "nextjs")]),
+    "owned_matches": ("page_id long, evidence_id string, technology string", [(1, "f", "REACT"), (1, "g", "react"), (1, "a", "react")]),
+    "resources": (
+        "page_id long, asset_id long, url string, filename string, content string",
+        [
+            (1, 1, "https://cdn.example.com/jquery-3.6.0.min.js", "jquery-3.6.0.min.js", "/*! jQuery v3.6.0 | (c) Example Foundation */"),
+            (1, 2, "https://cdn.example.com/app.js", "app.js", "/* jQuery v1.4.0 once */"),
+            (1, 3, "https://cdn.example.com/app.js", "app.js", "jQuery v9.9.9"),
+            (2, 4, "https://b.example/react.js", "react.js", 'React.version = "18.2.0";'),
+            (2, 5, "https://b.example/other/react.js", "react.js", 'React.version = "17.0.2";'),
+            (3, 6, None, "inline-1.js", "lodash 4.17.21"),
+        ],
+    ),
+    "owner_assets": (
+        "url string, filename string",
+        [
+            ("https://CDN.example.com/jquery@3.7.1/dist/x.js", "x.js"),
+            ("https://cdn.example.com/libs/myjquery/y.js", "y.js"),
+            ("https://cdn.example.com/a/react-dom.production.min.js?v=1#top", "react-dom.production.min.js"),
+            ("https://cdn.example.com/a/react-dom.production.min.js?v=1", "other.js"),
+            ("https://cdn.example.com/plain.js", "plain.js"),
+            ("https://cdn.example.com/MUI/index.js", None),
+            (None, "vue.js"),
+        ],
+    ),
+    "scopes": (
+        "page_id long, technology string, url string, filename string, resources array<string>, evidence_files array<string>",
+        [
+            (1, "jquery", None, None, None, None),
+            (2, "react", "https://b.example/react.js", None, [], []),
+            (2, "vue", None, None, ["/static/react.js", "x/react.js"], None),
+            (3, "lodash", None, None, [" "], ["inline-1.js"]),
+            (3, "axios", None, "gone.js", None, None),
+        ],
+    ),
+    "intelligence_assets": (
+        "page_id long, asset_id string, url string, original_url string, filename string, source string",
+        [(1, "asset-framework", "https://example.com/static/framework.js", None, "framework.js", "html"), (1, "asset-vendor", "https://example.com/static/vendor.js", "https://Example.com/v.js#old", "vendor.js", "http_header"), (2, "other-page", "https://example.com/static/framework.js", None, "f.js", "html")],
+    ),
+    "intelligence_matches": (
+        "page_id long, position int, technology string, name string, version string, confidence double, url string, filename string, reason string, resources array<string>, patterns array<struct<matcher: string, pattern: string, weight: double, detail: string>>, methods array<string>",
+        [
+            (1, 0, "react", "React", "19.3.0", 85.0, "https://example.com/static/framework.js", "framework.js", "", ["https://example.com/static/framework.js", "https://example.com/static/vendor.js"], [("global", "React.version", 90.0, "19.3.0")], ["global"]),
+            (1, 5, "React", "React", "Unknown", 40.0, "https://example.com/z.js", None, "", ["https://example.com/v.js"], [("string", "React.createElement", 50.0, "")], ["string"]),
+            (1, 3, "nextjs", "Next.js", "Unknown", 80.0, None, "build-manifest.js", "", None, None, None),
+            (3, 0, "vue", "Vue", "3.4.0", 99.5, "https://c.example/a.js", None, "", ["https://c.example/b.js", "https://c.example/c.js"], [("string", "Vue.createApp", 30.0, "")], ["string"]),
+        ],
+    ),
     "robots": ("id long, text string", [(1, "User-agent: *\nSitemap: https://a.example/sitemap.xml\nsitemap:/b.xml  \nDisallow: /x"), (2, "# Sitemap: no"), (3, ""), (4, None), (5, "Sitemap:\thttps://c.example/s.xml.gz\r\nSitemap: https://c.example/t.xml")]),
     "manifests": (
         "id long, text string",

@@ -129,6 +129,42 @@ _CATEGORY = f"""CASE WHEN contains(lower(filename), 'manifest') THEN 'manifest'
 ORACLES["anchor_inventory"] = f"""SELECT *, {_CATEGORY} AS category FROM (SELECT asset_key, count(*) AS n_references, count(DISTINCT page_id) AS n_pages, 'anchor' AS sources, {_filename("asset_key")} AS filename FROM ({_ASSETS}) GROUP BY asset_key)"""
 ORACLES["asset_category_summary"] = f"SELECT category, count(*) AS n_assets, CAST(sum(n_references) AS BIGINT) AS n_references FROM ({ORACLES['anchor_inventory']}) GROUP BY 1"
 
+# Names of technologies in addresses of pages, of what they link to, and of cases.
+_OWNER_ASSETS = f"""(SELECT url, {_filename("trim(url)")} AS filename FROM pages UNION ALL SELECT asset_key, {_filename("trim(asset_key)")} FROM (SELECT DISTINCT asset_key FROM ({_ASSETS})) UNION ALL SELECT url, filename FROM {table("owner_assets")})"""
+_OWNER_NAMES = f"""(SELECT technology, unnest([technology, replace(technology, '-', ''), replace(technology, '-', '.')] || CASE technology WHEN 'nextjs' THEN ['next'] WHEN 'react' THEN ['react-dom', 'reactdom'] WHEN 'material-ui' THEN ['mui', '@mui'] ELSE [] END) AS name
+  FROM (VALUES {", ".join(f"({_q(t)})" for t in sorted({f[0] for f in FINGERPRINTS}))}) AS t(technology))"""
+ORACLES["asset_owners"] = f"""SELECT asset_key, technology, max(affinity) AS affinity FROM (
+  SELECT regexp_replace({_normalized("trim(url)")}, '#.*$', '') AS asset_key, technology,
+    CAST(CASE WHEN length(name) < 2 THEN 0 WHEN contains(lower(coalesce(filename, '')), name) THEN 95
+      WHEN contains(lower(url), '/' || name) OR contains(lower(url), name || '@') OR contains(lower(url), name || '-') THEN 90
+      WHEN contains(lower(url), name) THEN 75 ELSE 0 END AS DOUBLE) AS affinity
+  FROM {_OWNER_ASSETS} AS a, {_OWNER_NAMES} AS n WHERE url IS NOT NULL) WHERE affinity > 0 GROUP BY 1, 2"""
+# Scripts of the synthetic pages show no technology: rows of the cases only, by hand.
+ORACLES["evidence_owners"] = f"""SELECT CAST(p + {CASES} AS BIGINT) AS page_id, evidence_id, technology, ownership, CAST(confidence AS DOUBLE) AS confidence, basis, relevant, confirms FROM (VALUES
+  (1, 'a', 'react', 'OWNED', 98, 'technology_field', TRUE, TRUE), (1, 'b', 'react', 'OWNED', 95, 'metadata_technology', TRUE, TRUE), (1, 'c', 'vue', 'OWNED', 95, 'metadata_technology', TRUE, TRUE),
+  (1, 'd', 'vue', 'OWNED', 90, 'runtime_family', TRUE, TRUE), (1, 'e', 'react', 'OWNED', 82, 'package_hint', TRUE, TRUE), (1, 'f', 'react', 'ASSOCIATED', 72, 'matched_detection_evidence', TRUE, TRUE),
+  (1, 'g', 'react', 'INCIDENTAL', 20, 'matched_evidence_version_candidate', FALSE, FALSE), (1, 'h', 'react', 'OWNED', 55, 'value_hint', TRUE, FALSE),
+  (3, 'j', 'material-ui', 'OWNED', 55, 'value_hint', TRUE, FALSE), (3, 'k', 'nextjs', 'OWNED', 82, 'package_hint', TRUE, TRUE)) AS v(p, evidence_id, technology, ownership, confidence, basis, relevant, confirms)"""
+ORACLES["version_scopes"] = f"SELECT CAST(p + {CASES} AS BIGINT) AS page_id, technology, CAST(a + {CASES} AS BIGINT) AS asset_id FROM (VALUES (1, 'jquery', 1), (1, 'jquery', 2), (2, 'react', 4), (2, 'vue', 4), (2, 'vue', 5), (3, 'lodash', 6)) AS v(p, technology, a)"
+ORACLES["version_extracted"] = f"""SELECT CAST(p + {CASES} AS BIGINT) AS page_id, technology, version, source, CAST(priority AS DOUBLE) AS priority, CAST(ownership_confidence AS DOUBLE) AS ownership_confidence, basis, CAST(bonus AS DOUBLE) AS bonus, preferred, confirmable FROM (VALUES
+  (1, 'jquery', '3.6.0', 'banner', 80, 95, 'js_asset_affinity', 20, FALSE, TRUE), (1, 'jquery', '1.4.0', 'banner', 80, 70, 'js_extractor_low_affinity', -2, FALSE, TRUE),
+  (2, 'react', '18.2.0', 'runtime', 95, 95, 'js_self_proving_method', 6, TRUE, TRUE)) AS v(p, technology, version, source, priority, ownership_confidence, basis, bonus, preferred, confirmable)"""
+ORACLES["version_resolved"] = f"SELECT CAST(p + {CASES} AS BIGINT) AS page_id, technology, version, conflict, alternates FROM (VALUES (1, 'jquery', '3.6.0', 'WEAK_ALTERNATE', '1.4.0'), (2, 'react', '18.2.0', 'NO_CONFLICT', '')) AS v(p, technology, version, conflict, alternates)"
+ORACLES["technology_records"] = """SELECT CAST(page_id AS BIGINT) AS page_id, CAST(confidence AS DOUBLE) AS confidence, technology, name, evidence_type, pattern, text, url, source_file, asset_id, discovery, first_position FROM (VALUES
+  (1, 85, 'react', 'React', 'runtime_constant', 'React.version', '19.3.0', 'https://example.com/static/framework.js', 'framework.js', 'asset-framework', 'html', 0),
+  (1, 85, 'react', 'React', 'runtime_constant', 'React.version', '19.3.0', 'https://example.com/static/vendor.js', 'vendor.js', 'asset-vendor', 'network', 0),
+  (1, 40, 'React', 'React', 'pattern_match', 'React.createElement', 'React.createElement', 'https://example.com/z.js', 'z.js', NULL, 'unknown', 5),
+  (1, 40, 'React', 'React', 'pattern_match', 'React.createElement', 'React.createElement', 'https://example.com/v.js', 'vendor.js', 'asset-vendor', 'network', 5),
+  (1, 80, 'nextjs', 'Next.js', 'pattern_match', NULL, '', NULL, 'build-manifest.js', NULL, 'unknown', 3),
+  (3, 30, 'vue', 'Vue', 'pattern_match', 'Vue.createApp', 'Vue.createApp', 'https://c.example/a.js', 'a.js', NULL, 'unknown', 0),
+  (3, 30, 'vue', 'Vue', 'pattern_match', 'Vue.createApp', 'Vue.createApp', 'https://c.example/b.js', 'b.js', NULL, 'unknown', 0),
+  (3, 30, 'vue', 'Vue', 'pattern_match', 'Vue.createApp', 'Vue.createApp', 'https://c.example/c.js', 'c.js', NULL, 'unknown', 0)) AS v(page_id, confidence, technology, name, evidence_type, pattern, text, url, source_file, asset_id, discovery, first_position)"""
+# React: 85 and 3 for a second file, 1 for a second record; merged: 9 for four files, 3 for four records, beyond 100.
+ORACLES["technology_entries"] = """SELECT CAST(page_id AS BIGINT) AS page_id, technology, name, version, CAST(confidence AS DOUBLE) AS confidence, CAST(n_files AS BIGINT) AS n_files, CAST(n_records AS BIGINT) AS n_records, CAST(n_assets AS BIGINT) AS n_assets, files, methods, CAST(n_relationships AS BIGINT) AS n_relationships FROM (VALUES
+  (1, 'react', 'React', '19.3.0', 100, 4, 4, 2, 'framework.js,v.js,vendor.js,z.js', 'global,string', 0), (1, 'nextjs', 'Next.js', 'Unknown', 80, 1, 1, 0, 'build-manifest.js', '', 1),
+  (3, 'vue', 'Vue', '3.4.0', 100, 3, 3, 0, 'a.js,b.js,c.js', 'string', 0)) AS v(page_id, technology, name, version, confidence, n_files, n_records, n_assets, files, methods, n_relationships)"""
+
+
 # Scripts of pages as contexts, and cases.
 _CONTEXTS = f"""(SELECT page_id + {CASES} AS page_id, ctx_id, url, filename, content, source_map_url FROM {table("contexts")}
   UNION ALL SELECT page_id, page_id * {SCRIPTS} + "index", url, NULL, content, NULL FROM ({_listed('<script>(.*?)</script>')}) JOIN (SELECT page_id, url FROM pages) USING (page_id))"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import columns as C
 from gleanspark.functions import fixed_values as V
-from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, javascript, pages, providers, rules, scan, script_findings, sensitive
+from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, intelligence, javascript, ownership, pages, providers, rules, scan, script_findings, sensitive
 from gleanspark.plans.fixtures import frame
 from gleanspark.sources import html, sinks, source_maps
 
@@ -94,12 +94,11 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
     return _with_cases(s, "contexts", "page_id", real)
 
 
-def _evidence(s: SparkSession, d: str) -> DataFrame:
-    """What the inline scripts of all pages show, as evidence for technologies, and cases."""
-    texts = _script_texts(s, d)
+def _script_evidence(s: SparkSession, d: str) -> DataFrame:
+    """What the inline scripts of all pages show, as evidence for technologies."""
     kind, key = F.col("evidence_type"), F.col("key")
     name = F.when(kind == "runtime_pattern", "runtime_family").when(kind == "bundle_runtime", "bundler").otherwise("technology")
-    real = javascript.script_evidence(texts).withColumns(
+    return javascript.script_evidence(_script_texts(s, d)).withColumns(
         {
             "page_id": F.floor(F.col("script_id") / SCRIPTS).cast("long"),
             "evidence_id": F.concat_ws(":", F.col("script_id").cast("string"), kind, key),
@@ -107,9 +106,59 @@ def _evidence(s: SparkSession, d: str) -> DataFrame:
             "url": F.concat(F.lit("inline://"), F.col("script_id").cast("string")),
             "file": F.lit(None).cast("string"),
             "metadata": F.create_map(name, key),
+            "technology": F.lit(None).cast("string"),
         }
     )
-    return _with_cases(s, "evidence", "page_id", real)
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    """What the inline scripts of all pages show, and cases."""
+    return _with_cases(s, "evidence", "page_id", _script_evidence(s, d))
+
+
+def _case(s: SparkSession, name: str, *keys: str) -> DataFrame:
+    """Literal edge cases only, with the ids that they have beside a table's rows."""
+    return frame(s, name).withColumns({k: F.col(k) + CASES for k in keys})
+
+
+def _evidence_owners(s: SparkSession, d: str) -> DataFrame:
+    """Whose the evidence of all pages' scripts is, among the technologies that signatures find there, and cases."""
+    real = _script_evidence(s, d)
+    columns = ["page_id", "technology"]
+    detections = evidence.by_signatures(real.drop("technology")).select(*columns).unionByName(_case(s, "owned_detections", "page_id"))
+    return ownership.evidence_ownership(_with_cases(s, "owned_evidence", "page_id", real), detections, _case(s, "owned_matches", "page_id"))
+
+
+def _resources(s: SparkSession, d: str) -> DataFrame:
+    """page_id, asset_id, url, filename, content: inline scripts of all pages, and cases."""
+    number = F.col("index").cast("string")
+    real = _script_texts(s, d).select("page_id", F.col("script_id").alias("asset_id"), F.concat(F.lit("inline://script/"), number).alias("url"), F.concat(F.lit("inline-"), number, F.lit(".js")).alias("filename"), "content")
+    return real.unionByName(_case(s, "resources", "page_id", "asset_id"))
+
+
+def _scopes(s: SparkSession, d: str) -> DataFrame:
+    """Detections with what they came from: technologies that a page's own address names, from nowhere, and cases."""
+    cases = _case(s, "scopes", "page_id")
+    named = _table(s, d, "pages").select("page_id", C.asset_key(F.col("url")).alias("asset_key")).join(_page_owners(s, d), "asset_key")
+    nothing = {c: F.lit(None).cast(cases.schema[c].dataType) for c in ("url", "filename", "resources", "evidence_files")}
+    return named.select("page_id", "technology").withColumns(nothing).unionByName(cases)
+
+
+def _page_owners(s: SparkSession, d: str) -> DataFrame:
+    """Technologies that the addresses of pages, of what they link to, and of cases name."""
+    linked = _anchor_inventory(s, d).select(F.col("asset_key").alias("url"))
+    assets = _table(s, d, "pages").select("url").unionByName(linked).withColumn("filename", C.filename(F.col("url")))
+    return ownership.asset_owners(assets.unionByName(frame(s, "owner_assets")))
+
+
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    resources = _resources(s, d)
+    hits = javascript.version_hits(resources.withColumnRenamed("asset_id", "script_id")).withColumnRenamed("script_id", "asset_id")
+    return ownership.extracted_candidates(hits, resources, _scopes(s, d))
+
+
+def _intelligence_records(s: SparkSession) -> DataFrame:
+    return intelligence.evidence_records(frame(s, "intelligence_matches"), frame(s, "intelligence_assets"))
 
 
 def _secret_texts(s: SparkSession, d: str) -> DataFrame:
@@ -206,6 +255,13 @@ QUERIES: dict[str, Query] = {
     "evidence_summary": lambda s, d: frame(s, "evidence").groupBy("source", "evidence_type").agg(F.count(F.lit(1)).alias("n")),
     "version_validate": lambda s, d: frame(s, "versions").select("id", C.normalize_version(F.col("raw")).alias("normalized"), F.coalesce(C.valid_version(F.col("raw")), F.lit(False)).alias("valid")),
     "version_primary": lambda s, d: providers.resolved_versions(frame(s, "version_candidates")),
+    "asset_owners": _page_owners,
+    "evidence_owners": _evidence_owners,
+    "version_scopes": lambda s, d: ownership.scoped_resources(_scopes(s, d), _resources(s, d)),
+    "version_extracted": lambda s, d: _extracted(s, d).drop("origin"),
+    "version_resolved": lambda s, d: providers.resolved_versions(_extracted(s, d)),
+    "technology_records": lambda s, d: intelligence.tracked(_intelligence_records(s)).drop("technology_key"),
+    "technology_entries": lambda s, d: intelligence.technology_entries(frame(s, "intelligence_matches"), _intelligence_records(s)).withColumns({"files": F.array_join("files", ","), "methods": F.array_join("methods", ",")}),
     "js_tokens": lambda s, d: javascript.tokens(_scripts(s, d)).select("script_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("strings").alias("n_strings")),
     "source_map_parse": lambda s, d: source_maps.parsed_maps(_maps(s, d)).withColumns({"sources": F.array_join("sources", "|"), "names": F.array_join("names", "|")}),
     "source_map_sources": lambda s, d: source_maps.map_sources(source_maps.parsed_maps(_maps(s, d))),

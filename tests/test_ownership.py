@@ -105,10 +105,16 @@ def _resolved(spark, resources, hits, matches=None):
 def test_a_mention_elsewhere_cannot_outweigh_the_library(spark):
     resources = [(1, 1, "https://cdn.example.com/generic-library-3.6.0.min.js", "generic-library-3.6.0.min.js"), (1, 2, "https://cdn.example.com/app.bundle.js", "app.bundle.js")]
     hits = [(1, "generic-library", "BANNER", "3.6.0", 80.0), (2, "generic-library", "BANNER", "1.2.3", 80.0), (2, "generic-library", "GENERIC_LITERAL", "9.9.9", 55.0)]
-    got = _resolved(spark, resources, hits[:1] + hits[2:])
-    assert got == [(1, "generic-library", "3.6.0", "WEAK_ALTERNATE", "9.9.9")]
-    # 8.75 points apart are a conflict where both are firm by method; the ranking still tells them apart
-    assert _resolved(spark, resources, hits[:2])[0][3] == "STRONG_CONFLICT"
+    assert _resolved(spark, resources, hits) == [(1, "generic-library", "3.6.0", "WEAK_ALTERNATE", "1.2.3,9.9.9")]
+
+
+def test_equal_owners_without_provenance_stay_open(spark):
+    resources = [(1, k, f"https://cdn.example.com/lib-y-{k}.0.0.min.js?x", f"lib-y-{k}.0.0.min.js") for k in (1, 2)]
+    got = _resolved(spark, resources, [(k, "lib-y", "BANNER", f"{k}.0.0", 80.0) for k in (1, 2)])
+    assert got == [(1, "lib-y", "Unknown", "AMBIGUOUS", "1.0.0,2.0.0")]
+    # the detection names the file by the end of its path
+    match = (1, "lib-y", None, "js/lib-y-2.0.0.min.js", [None, "a/lib-y-1.0.0.min.js", "b/lib-y-2.0.0.min.js"], None)
+    assert _resolved(spark, resources, [(k, "lib-y", "BANNER", f"{k}.0.0", 80.0) for k in (1, 2)], [match])[0][2] == "2.0.0"
 
 
 def test_provenance_decides_between_equal_owners(spark):
