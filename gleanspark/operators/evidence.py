@@ -171,7 +171,7 @@ def identities(evidence: DataFrame) -> DataFrame:
     bundler = F.coalesce(meta("bundler"), F.lower(value))
     runtime = F.coalesce(meta("runtime_family"), F.lower(value))
     first = F.regexp_extract(F.lower(value), r"^\s*([a-z][a-z0-9.]*)", 1)
-    css = F.lower(value)
+    css = F.nullif(F.trim(meta("css_family")), F.lit(""))
     found = (
         F.when(kind.isin("package_reference", "package_marker", "import_export"), package_identity(value))
         .when(kind == "runtime_pattern", F.coalesce(lookup(runtime, N.RUNTIME_NAMES), F.when(meta("runtime_family").isNotNull() & ~runtime.isin(*sorted(N.CONSERVATIVE_PACKAGE_NAMES)), F.concat(F.lit("runtime:"), runtime))))

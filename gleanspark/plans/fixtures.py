@@ -209,6 +209,17 @@ FIXTURES: dict[str, Rows] = {
             (None, "vue.js"),
         ],
     ),
+    "sheets": (
+        "style_id long, url string, filename string, content string",
+        [
+            (1, "https://a.example/x.css", "x.css", "/*!\n  Bootstrap v5.3.2 (https://example.com)\n */ /* * Bootstrap v4.0 */ @import 'bootstrap'; @import \"~bootstrap/dist/css\"; @import 'Bootstrap';"),
+            (2, "https://a.example/CDN-CGI/y.css", "Bootstrap.Bundle.min.css", "p { margin: 0 }"),
+            (3, None, None, "@tailwind base; @tailwind  base;@TAILWIND utilities; @tailwind based; p { --tw-a: 1; --tw-b : 2; --tw-c:3 } /* tailwindcss v3.4.1 */"),
+            (4, None, None, "p { --tw-a: 1; --tw-b: 2 } @import 'bootstrap-icons'; url(node_modules\\tailwindcss/base.css)"),
+            (5, None, "bootstrap.css", None),
+            (6, None, None, ""),
+        ],
+    ),
     "scopes": (
         "page_id long, technology string, url string, filename string, resources array<string>, evidence_files array<string>",
         [

@@ -165,6 +165,16 @@ ORACLES["technology_entries"] = """SELECT CAST(page_id AS BIGINT) AS page_id, te
   (3, 'vue', 'Vue', '3.4.0', 100, 3, 3, 0, 'a.js,b.js,c.js', 'string', 0)) AS v(page_id, technology, name, version, confidence, n_files, n_records, n_assets, files, methods, n_relationships)"""
 
 
+# The synthetic sheets show none: rows of the cases only, by hand.
+_STYLES = f"""SELECT CAST(s + {CASES} AS BIGINT) AS style_id, family, kind, value, version, CAST(n AS BIGINT) AS n, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
+  (1, 'bootstrap', 'banner', '/*!' || chr(10) || '  Bootstrap v5.3.2', '5.3.2', NULL, 90), (1, 'bootstrap', 'package_path', 'bootstrap', NULL, NULL, 75), (1, 'bootstrap', 'package_path', 'Bootstrap', NULL, NULL, 75),
+  (2, 'bootstrap', 'asset', 'Bootstrap.Bundle.min.css', NULL, NULL, 85), (2, 'cloudflare', 'cdn_path', '/cdn-cgi/', NULL, NULL, 85),
+  (3, 'tailwindcss', 'directive', '@tailwind base', NULL, NULL, 90), (3, 'tailwindcss', 'directive', '@tailwind  base', NULL, NULL, 90), (3, 'tailwindcss', 'directive', '@TAILWIND utilities', NULL, NULL, 90),
+  (3, 'tailwindcss', 'css_variables', '--tw-*', NULL, 3, 80), (3, 'tailwindcss', 'banner', '/* tailwindcss v3.4.1', '3.4.1', NULL, 90), (4, 'tailwindcss', 'package_path', 'tailwindcss', NULL, NULL, 75),
+  (5, 'bootstrap', 'asset', 'bootstrap.css', NULL, NULL, 85)) AS v(s, family, kind, value, version, n, confidence)"""
+ORACLES["style_evidence"] = _STYLES
+ORACLES["style_identities"] = f"SELECT style_id AS page_id, 'css:' || style_id || ':' || family || ':' || value AS evidence_id, family AS identity FROM ({_STYLES})"
+
 # Scripts of pages as contexts, and cases.
 _CONTEXTS = f"""(SELECT page_id + {CASES} AS page_id, ctx_id, url, filename, content, source_map_url FROM {table("contexts")}
   UNION ALL SELECT page_id, page_id * {SCRIPTS} + "index", url, NULL, content, NULL FROM ({_listed('<script>(.*?)</script>')}) JOIN (SELECT page_id, url FROM pages) USING (page_id))"""

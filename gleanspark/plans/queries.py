@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import columns as C
 from gleanspark.functions import fixed_values as V
-from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, intelligence, javascript, ownership, pages, providers, rules, scan, script_findings, sensitive
+from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, intelligence, javascript, ownership, pages, providers, rules, scan, script_findings, sensitive, styles
 from gleanspark.plans.fixtures import frame
 from gleanspark.sources import html, sinks, source_maps
 
@@ -157,6 +157,14 @@ def _extracted(s: SparkSession, d: str) -> DataFrame:
     return ownership.extracted_candidates(hits, resources, _scopes(s, d))
 
 
+def _style_evidence(s: SparkSession, d: str) -> DataFrame:
+    """What the inline style sheets of all pages show, and cases."""
+    nothing = F.lit(None).cast("string")
+    sheets = _pages(s, d).select("page_id", F.posexplode("page.styles").alias("index", "content"))
+    real = sheets.withColumns({"style_id": (F.col("page_id") * SCRIPTS + F.col("index")).cast("long"), "url": nothing, "filename": nothing})
+    return styles.style_evidence(_with_cases(s, "sheets", "style_id", real))
+
+
 def _intelligence_records(s: SparkSession) -> DataFrame:
     return intelligence.evidence_records(frame(s, "intelligence_matches"), frame(s, "intelligence_assets"))
 
@@ -262,6 +270,8 @@ QUERIES: dict[str, Query] = {
     "version_resolved": lambda s, d: providers.resolved_versions(_extracted(s, d)),
     "technology_records": lambda s, d: intelligence.tracked(_intelligence_records(s)).drop("technology_key"),
     "technology_entries": lambda s, d: intelligence.technology_entries(frame(s, "intelligence_matches"), _intelligence_records(s)).withColumns({"files": F.array_join("files", ","), "methods": F.array_join("methods", ",")}),
+    "style_evidence": _style_evidence,
+    "style_identities": lambda s, d: evidence.identities(styles.as_evidence(_style_evidence(s, d), F.col("style_id"))).select("page_id", "evidence_id", "identity"),
     "js_tokens": lambda s, d: javascript.tokens(_scripts(s, d)).select("script_id", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("strings").alias("n_strings")),
     "source_map_parse": lambda s, d: source_maps.parsed_maps(_maps(s, d)).withColumns({"sources": F.array_join("sources", "|"), "names": F.array_join("names", "|")}),
     "source_map_sources": lambda s, d: source_maps.map_sources(source_maps.parsed_maps(_maps(s, d))),
