@@ -24,7 +24,7 @@ def _rows(spark, folder, name):
     return sorted(repr(tuple(r)) for r in found.collect()), sorted(repr(r) for r in told.fetchall())
 
 
-@pytest.mark.parametrize("name", ["html_title_lang", "page_findings"])
+@pytest.mark.parametrize("name", ["html_title_lang", "page_findings", "sarif_rows"])
 def test_cut_titles_equal_sql(spark, tmp_path, name):
     ours, theirs = _rows(spark, tmp_path, name)
     assert ours == theirs
