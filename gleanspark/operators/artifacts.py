@@ -10,6 +10,7 @@ from gleanspark.functions.artifact_patterns import ARTIFACT_PATTERNS, SENSITIVE_
 from gleanspark.functions.columns import entropy, lookup
 from gleanspark.operators.findings import finding, united
 from gleanspark.operators.scan import ENTROPY_ASSIGNMENT, ENTROPY_THRESHOLD, Rule, scanned
+from gleanspark.session import stored
 
 # Types that stay hidden in reports.
 HIDDEN_TYPES = ("aws-access-key", "google-api-key", "github-token", "gitlab-token", "stripe-secret-key", "jwt-token", "bearer-token-ref", "basic-auth-token")
@@ -108,7 +109,11 @@ def classes(assessed: DataFrame) -> DataFrame:
 
 
 def artifact_findings(assessed: DataFrame) -> DataFrame:
-    """Findings of the typed, the category, the exposure and the risk analyzers."""
+    """Findings of the typed, the category, the exposure and the risk analyzers.
+
+    What was found is stored: both kinds of findings are made of it, and the texts are scanned once.
+    """
+    assessed = stored(assessed, "artifacts")
     kind, category = F.col("artifact_type"), F.col("category")
     def by(analyzer: str, category_: str, severity: Column) -> Column:
         return F.struct(F.lit(analyzer).alias("analyzer"), F.lit(category_).alias("category"), severity.alias("severity"))

@@ -6,6 +6,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
+from re import _constants as K
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,6 +77,79 @@ class Rule:
         return re.compile(self.pattern, on)
 
 
+Clauses = list[tuple[str, ...]]
+#: So many texts at most are told apart in one clause.
+MOST_TEXTS = 24
+
+
+def _finite(op: int, value: object) -> set[str] | None:
+    """All texts that one item of a parsed pattern matches, lower-cased; None if they are many or not ASCII."""
+    if op is K.LITERAL:
+        return {chr(value).lower()} if value < 128 else None
+    if op is K.IN and all(o is K.LITERAL and v < 128 for o, v in value):
+        return {chr(v).lower() for _, v in value}
+    if op in (K.AT, K.ASSERT, K.ASSERT_NOT):
+        return {""}
+    if op is K.SUBPATTERN:
+        return _all_of(value[3])
+    if op is K.BRANCH:
+        parts = [_all_of(b) for b in value[1]]
+        return None if any(p is None for p in parts) else set().union(*parts)
+    if op is K.MAX_REPEAT and value[1] == 1:
+        one = _all_of(value[2])
+        return None if one is None else one | ({""} if value[0] == 0 else set())
+    return None
+
+
+def _all_of(items: Sequence[tuple]) -> set[str] | None:
+    out = {""}
+    for op, value in items:
+        one = _finite(op, value)
+        if one is None or len(out) * len(one) > MOST_TEXTS:
+            return None
+        out = {a + b for a, b in product(out, one)}
+    return out
+
+
+def _clauses(items: Sequence[tuple]) -> Clauses:
+    out: Clauses = []
+    run = {""}
+
+    def ended() -> None:
+        if "" not in run and (min(map(len, run)) > 1 or len(run) <= 4):
+            out.append(tuple(sorted(run)))
+
+    for op, value in items:
+        one = _finite(op, value)
+        if one is not None and len(run) * len(one) <= MOST_TEXTS:
+            run = {a + b for a, b in product(run, one)}
+            continue
+        ended()
+        run = one if one is not None and len(one) <= MOST_TEXTS else {""}
+        if run != {""}:
+            continue
+        if op is K.SUBPATTERN:
+            out += _clauses(value[3])
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and value[0] > 0:
+            out += _clauses(value[2])
+        elif op is K.BRANCH:
+            best = [max(_clauses(b), key=lambda c: (min(map(len, c)), -len(c)), default=None) for b in value[1]]
+            if None not in best:
+                out.append(tuple(sorted(set().union(*best))))
+    ended()
+    return out
+
+
+def needed(pattern: str) -> Clauses:
+    """What each match of a pattern holds, in any case: of each clause one text at least."""
+    return _clauses(_parser.parse(pattern))
+
+
+def folded(text: str) -> str:
+    """The text as texts of `needed` are looked for in it: capital and dotless i match i where case means nothing."""
+    return text.casefold() if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i").casefold()
+
+
 def contact_rules() -> list[Rule]:
     return [Rule(c[0], c[5], c[3], c[4], CONTACT_NEEDS.get(c[0], ())) for c in CONTACTS]
 
@@ -96,11 +172,11 @@ HIT = T.StructType(
 )
 
 
-def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str]]], margin: int = 40) -> Iterator[tuple]:
-    low = text.casefold()
+def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str], Clauses]], margin: int = 40) -> Iterator[tuple]:
+    low = folded(text)
     ends: list[int] | None = None  # places of line ends, looked up by bisection
-    for rule, pattern in rules:
-        if rule.needs and not any(n in low for n in rule.needs):
+    for rule, pattern, needs in rules:
+        if not all(any(n in low for n in one) for one in needs):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -120,9 +196,11 @@ def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text",
     rest = [c for c in texts.columns if c != text_column]
     schema = T.StructType([texts.schema[c] for c in rest] + list(HIT.fields))
     kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    # most texts lack what most patterns need, so that few patterns are tried on a text
+    needs = [needed(r.pattern) + ([r.needs] if r.needs else []) for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(r, r.compiled()) for r in rules]
+        compiled = [(r, r.compiled(), n) for r, n in zip(rules, needs, strict=True)]
         for b in batches:
             at: list[int] = []
             found: list[tuple] = []
