@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.columns import asset_key, lookup
 from gleanspark.functions.fingerprints import FINGERPRINTS
+from gleanspark.session import stored
 
 # Further names of technologies; methods that prove a library by themselves; methods and sources that
 # never confirm; the least priority that confirms; what owned and associated versions need to confirm.
@@ -52,20 +53,30 @@ def name_tokens(technology: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name, F.replace(name, F.lit("-"), F.lit("")), F.replace(name, F.lit("-"), F.lit("."))), more))
 
 
+def names_of(technology: str) -> list[str]:
+    """As `name_tokens`, of a technology that is known beforehand."""
+    name = technology.lower().replace("_", "-").removeprefix("package:")
+    return list(dict.fromkeys((name, name.replace("-", ""), name.replace("-", "."), *OTHER_NAMES.get(name, ()))))
+
+
 def _names(text: Column, technology: Column) -> Column:
     return F.exists(name_tokens(technology), lambda k: text.contains(k))
 
 
 def asset_affinity(technology: Column, filename: Column, url: Column) -> Column:
     """0 to 100: how much an asset's name and address say that it is the technology. Names of one letter say nothing."""
-    file, path = F.lower(F.coalesce(filename, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    return _best(name_tokens(technology), F.lower(F.coalesce(filename, F.lit(""))), F.lower(F.coalesce(url, F.lit(""))))
+
+
+def _best(names: Column, file: Column, path: Column) -> Column:
+    """The best affinity that any of the names gives; file and path are in lower case."""
     slash, at, dash = F.lit("/"), F.lit("@"), F.lit("-")
 
     def of(k: Column) -> Column:
         near = path.contains(F.concat(slash, k)) | path.contains(F.concat(k, at)) | path.contains(F.concat(k, dash))
         return F.when(F.length(k) < 2, 0.0).when(file.contains(k), IN_NAME).when(near, IN_PATH).when(path.contains(k), IN_URL).otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(name_tokens(technology), of)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(names, of)), F.lit(0.0))
 
 
 def asset_owners(assets: DataFrame, technologies: list[str] | None = None) -> DataFrame:
@@ -74,8 +85,14 @@ def asset_owners(assets: DataFrame, technologies: list[str] | None = None) -> Da
     technologies: by default those of the fingerprints. Assets of one key are one, with their best affinity.
     """
     technologies = sorted({f[0] for f in FINGERPRINTS}) if technologies is None else technologies
-    each = F.transform(F.array(*map(F.lit, technologies)), lambda t: F.struct(t.alias("technology"), asset_affinity(t, F.col("filename"), F.col("url")).alias("affinity")))
-    rows = assets.where("url is not null").select(asset_key(F.col("url")).alias("asset_key"), F.explode(F.filter(each, lambda x: x["affinity"] > 0)).alias("o"))
+    # names are literals, and an asset's texts are stored: else they'd be made again for each technology and name
+    known = F.array(*[F.struct(F.lit(t).alias("technology"), F.array(*map(F.lit, names_of(t))).alias("names")) for t in technologies])
+    ready = assets.where("url is not null").select(asset_key(F.col("url")).alias("asset_key"), F.lower(F.coalesce("filename", F.lit(""))).alias("_file"), F.lower("url").alias("_path"))
+    ready = stored(ready.distinct(), "owner-assets")
+    there = lambda k: (F.length(k) > 1) & (F.contains(F.col("_path"), k) | F.contains(F.col("_file"), k))
+    told = F.filter(known, lambda t: F.exists(t["names"], there))
+    each = F.transform(told, lambda t: F.struct(t["technology"].alias("technology"), _best(t["names"], F.col("_file"), F.col("_path")).alias("affinity")))
+    rows = ready.select("asset_key", F.explode(each).alias("o"))
     return rows.groupBy("asset_key", "o.technology").agg(F.max("o.affinity").alias("affinity"))
 
 
