@@ -38,3 +38,7 @@ def test_clauses_hide_no_match():
 def test_dotless_letters_are_letters(spark):
     texts = spark.createDataFrame([(1, "maıntaıner = 'bob'")], "doc_id long, text string")
     assert [(x["rule_id"], x["value"]) for x in scanned(texts, contact_rules()).collect()] == [("username", "bob")]
+
+
+def test_no_sensitive_rule_is_tried_on_every_text():
+    assert all(needed(r[8]) for r in SENSITIVE_RULES)
