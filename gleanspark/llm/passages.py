@@ -11,6 +11,10 @@ stretch of words are shared but no passage found covers them, runs of min_words
 the run's own first holder, and these matches are aligned too. As a seed is at most three words away, each verbatim
 passage of min_words + 3 has a row for all but three words at its ends; shorter ones have one if some first holder of
 their seeds holds them.
+
+Passages that aren't verbatim have no such runs. Where seeds of different first holders stand near each other (a
+patchwork), pairs of them are keys as well: a document that holds only a part doesn't hold the pair, so that its first
+holder is one that goes on with the passage. Places of pairs that no passage covers are matched and aligned like runs.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LEAST_SPAN = 10
 EVERY = 32
 #: A number with so many places in one chunk of seeds is matched there, and only its first place is sent on.
 HOT = 16
+#: Each seed of a patchwork makes keys with so many seeds of other first holders, those of the smallest numbers in reach.
+PAIRED = 2
 
 
 def minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -154,6 +160,50 @@ def _stretches(match: list[np.ndarray], least: int) -> tuple[np.ndarray, ...]:
     return doc[begin][long], s[long], e[long], own[long]
 
 
+def _patchworks(match: list[np.ndarray], least: int) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+    """document, first and end word, and first and last seeds of segments: seeds near each other whose first holders change.
+
+    A segment's seeds have one first holder, in whose text they stand near each other too.
+    """
+    order = np.lexsort((match[2], match[0]))
+    doc, partner, word, p_word = (match[k][order] for k in range(4))
+    if not len(doc):
+        return
+    apart = (doc[1:] != doc[:-1]) | (word[1:] - word[:-1] > MAX_GAP)
+    turn = apart | (partner[1:] != partner[:-1]) | (np.abs(p_word[1:] - word[1:] - (p_word[:-1] - word[:-1])) > MAX_GAP)
+    begin = np.flatnonzero(np.concatenate([[True], turn]))
+    end = np.append(begin[1:], len(doc)) - 1
+    whole = np.flatnonzero(np.concatenate([[True], apart])[begin])
+    for i, j in zip(whole.tolist(), [*whole[1:].tolist(), len(begin)], strict=True):
+        s, e = int(word[begin[i]]), int(word[end[j - 1]]) + SEED_WORDS
+        if j - i > 1 and e - s >= least:
+            yield int(doc[begin[i]]), s, e, word[begin[i:j]].tolist(), word[end[i:j]].tolist()
+
+
+def seed_pairs(number: np.ndarray, word: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of seeds that are keys: at most MAX_GAP words apart, in different segments.
+
+    Of the seeds in reach those of the PAIRED smallest numbers are taken, so that texts that differ in some take the same others.
+    """
+    n = len(word)
+    rank = scrambled(number.view(np.uint64))
+    most = np.iinfo(np.uint64).max
+    best, at = np.full((PAIRED, n), most, np.uint64), np.full((PAIRED, n), -1)
+    for d in range(1, n):
+        near = word[d:] - word[:-d] <= MAX_GAP
+        if not near.any():
+            break
+        x = np.where(near & (segment[d:] != segment[:-d]), rank[d:], most)
+        y = np.arange(d, n)
+        for k in range(PAIRED):
+            less = x < best[k, : n - d]
+            best[k, : n - d], x = np.where(less, x, best[k, : n - d]), np.where(less, best[k, : n - d], x)
+            at[k, : n - d], y = np.where(less, y, at[k, : n - d]), np.where(less, at[k, : n - d], y)
+    i = np.tile(np.arange(n), PAIRED)
+    j = at.ravel()
+    return i[j >= 0], j[j >= 0]
+
+
 class PrefixMax:
     """A Fenwick tree over places 0 to n - 1: the best (value, item) at or before a place."""
 
@@ -379,6 +429,36 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
 
         yield from in_chunks(found())
 
+    def sow_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both places of pairs of seeds in patchworks; wanted if no passage covers them."""
+
+        def found() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                ids, k = b.column(0).to_numpy(), 0
+                patches, covers = b.column(2), b.column(3)
+                for part in parcels(b.column(1)):
+                    number, of, word, at, _ = seeds_of([t.encode("utf-8", "replace") for t in part])
+                    edge = np.searchsorted(of, np.arange(len(part) + 1))
+                    for i in range(len(part)):
+                        mine = slice(edge[i], edge[i + 1])
+                        x, n, place = word[mine], number[mine], at[mine]
+                        own = covers[k + i].as_py() or ()
+                        for p in patches[k + i].as_py():
+                            starts, ends = np.array(p["starts"]), np.array(p["ends"])
+                            segment = np.searchsorted(starts, x, "right") - 1
+                            inside = np.flatnonzero((segment >= 0) & (x <= ends[segment]))
+                            u, v = (inside[side] for side in seed_pairs(n[inside], x[inside], segment[inside]))
+                            key = scrambled(n[u].view(np.uint64)) * np.uint64(3) + scrambled(n[v].view(np.uint64))
+                            wanted = np.ones(len(u), bool)
+                            for c in own:
+                                wanted &= ~((x[u] >= c["start_word"]) & (x[v] + SEED_WORDS <= c["end_word"]))
+                            for role, side in enumerate((u, v)):
+                                named = scrambled(key + np.uint64(role)).view(np.int64)
+                                yield [named, np.full(len(side), ids[k + i]), x[side].astype(np.int32), place[side].astype(np.int32), wanted.astype(np.int8)]
+                    k += len(part)
+
+        yield from in_chunks(found())
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, known = _unpacked(batches)
         for match in (known, _with_first(places)):
@@ -439,11 +519,14 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
             yield rows_of(out)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chains, and stretches with shared seeds only (without a partner; a0, a1: first and end word; b0: 1 if it holds all first)."""
+        """Chains, and stretches with shared seeds only (without a partner; a0, a1: first and end word; b0: 1 if it holds all first) and patchworks (b0: 2)."""
         _, match = _unpacked(batches)
         doc, s, e, own = _stretches(match, min_words - 2 * (WINDOW - 1))
         for k in range(0, len(doc), 10_000):
             yield rows_of([(d, None, x, y, int(o), None, None, None) for d, x, y, o in zip(*(c[k : k + 10_000].tolist() for c in (doc, s, e, own)), strict=True)])
+        patches = [(d, None, x, y, 2, None, u, v) for d, x, y, u, v in _patchworks(match, min_words // 2)]
+        for k in range(0, len(patches), 10_000):
+            yield rows_of(patches[k : k + 10_000])
         yield from linked(match, False)
 
     def link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +539,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
     with few_rows_a_batch(spark, 500):
         once = materialize(matched(rows.mapInArrow(sow, _SCHEMA)).mapInArrow(link, schema), "passage-linked")
     found = materialize(once.where("partner is not null").withColumn("k", F.monotonically_increasing_id()), "passage-chains")
-    stretches = once.where("partner is null").select("doc", F.col("a0").alias("s"), F.col("a1").alias("e"), (F.col("b0") == 1).alias("own"))
+    stretches = once.where("partner is null and b0 < 2").select("doc", F.col("a0").alias("s"), F.col("a1").alias("e"), (F.col("b0") == 1).alias("own"))
     involved = materialize(once.select(F.col("doc").alias("doc_id")).union(once.where("partner is not null").select("partner")).distinct(), "passage-ids")
     few = involved.count() <= BROADCAST_IDS
     texts = materialize(rows.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi"), "passage-texts")
@@ -526,6 +609,16 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
         with few_rows_a_batch(spark, 500):
             runs = materialize(matched(open_docs.mapInArrow(sow_runs, _SCHEMA)).mapInArrow(link_runs, schema), "passage-runs")
         settled = settled.union(aligned(materialize(runs.withColumn("k", F.monotonically_increasing_id()), "passage-chains")))
+    patches = once.where("partner is null and b0 = 2").select(F.col("doc").alias("doc_id"), F.col("a0").alias("s"), F.col("a1").alias("e"), F.col("words").alias("starts"), F.col("p_words").alias("ends"))
+    cover = settled.select("doc_id", "start_word", "end_word")
+    of_patch = (cover.doc_id == patches.doc_id) & (cover.start_word <= patches.s + span) & (cover.end_word >= patches.e - span)
+    if not patches.join(cover, of_patch, "left_anti").isEmpty():
+        per_doc = patches.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "starts", "ends")).alias("patches"))
+        covers = cover.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("covers"))
+        open_docs = texts.join(per_doc, "doc_id").join(covers, "doc_id", "left").select("doc_id", "text", "patches", "covers")
+        with few_rows_a_batch(spark, 500):
+            pairs = materialize(matched(open_docs.mapInArrow(sow_pairs, _SCHEMA)).mapInArrow(link_runs, schema), "passage-pairs")
+        settled = settled.union(aligned(materialize(pairs.withColumn("k", F.monotonically_increasing_id()), "passage-chains")))
     # what lies within another passage with the same partner says nothing more
     before = Window.partitionBy("doc_id", "partner_id").orderBy("start_word", F.desc("end_word"), F.desc("n_equal"), "partner_start_word").rowsBetween(Window.unboundedPreceding, -1)
     whole = settled.distinct().withColumn("_reach", F.max("end_word").over(before))
