@@ -13,9 +13,9 @@ PAGES = [
 ]
 
 
-def _rows(spark, folder, name):
+def _rows(spark, folder, name, pages=PAGES):
     path = str(folder)
-    spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/pages.parquet/*.parquet')")
     told = con.execute(oracles.oracle_sql()[name])
@@ -35,3 +35,16 @@ def test_scripts_addresses_and_numbers():
     assert page["scripts"][0]["content"] == "a&&b&lt"
     assert page["anchors"] == ["/x?a=1&copy=2&b=3"] and page["media"] == ["&amp"]
     assert page["title"] == "Aé&eacute"
+
+
+WHITE = [
+    (1, "https://b.example/", '<!DOCTYPE html><html lang=" fr "><head><meta charset=" utf-8"><title> Cut at a line.\n</title></head><body><!-- x --></body></html>'),
+    (2, "https://b.example/2", '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>\ttab\u00a0\u2003</title></head><body><!--\tx\n--></body></html>'),
+    (3, "https://b.example/3", '<!DOCTYPE html><html lang="  "><head><title>\n</title></head></html>'),
+]
+
+
+@pytest.mark.parametrize("name", ["html_title_lang", "page_findings"])
+def test_white_ends_equal_sql(spark, tmp_path, name):
+    ours, theirs = _rows(spark, tmp_path, name, WHITE)
+    assert ours == theirs
