@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ MARGIN = 640
 MORE = 8
 BROADCAST_IDS = 1_000_000
 PART_BYTES = 64 << 20
+#: A bucket of places stands for so many bytes of text at least.
+BUCKET_BYTES = 256 << 10
 #: Of so many seeds in a row the smallest one is kept.
 WINDOW = 4
 #: A chain is aligned if it has two seeds and spans so many words, or if a seed of it repeats nearby.
@@ -59,12 +62,34 @@ def minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.arange(n - width + 1) + width - 1 - view[:, ::-1].argmin(1))
 
 
+def all_minima(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """`minima` of WINDOW numbers for each text, whose n numbers begin at `first`; ascending."""
+    picked = np.zeros(len(x), bool)
+    if len(x) >= WINDOW:
+        m = len(x) - WINDOW + 1
+        least = x[:m]
+        for k in range(1, WINDOW):
+            least = np.minimum(least, x[k : k + m])
+        # windows within one text, until their place is found
+        edge = np.zeros(len(x) + 1, np.int8)
+        long = n >= WINDOW
+        np.add.at(edge, first[long], 1)
+        np.add.at(edge, first[long] + n[long] - WINDOW + 1, -1)
+        within = np.cumsum(edge[:m], dtype=np.int8).view(bool)
+        for k in reversed(range(WINDOW)):
+            here = within & (x[k : k + m] == least)
+            picked[k : k + m] |= here
+            within = within & ~here
+    for k in np.flatnonzero((n > 0) & (n < WINDOW)).tolist():
+        picked[first[k] + minima(x[first[k] : first[k] + n[k]], WINDOW)] = True
+    return np.flatnonzero(picked)
+
+
 def seeds_of(texts: list[bytes], run: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
     """All seeds of all texts: number of the run of words that begins there (0 if it crosses the text's end), text, word, byte."""
     w = Words(texts)
     seeds = w.runs(SEED_WORDS)
-    picked = [first + minima(seeds[first : first + n - SEED_WORDS + 1], WINDOW) for first, n in zip(w.first.tolist(), w.n_words.tolist(), strict=True) if n >= SEED_WORDS]
-    i = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+    i = all_minima(seeds, w.first, w.n_words - SEED_WORDS + 1)
     of = np.repeat(np.arange(len(texts)), w.n_words)[i]
     word = i - w.first[of]
     number = seeds if run == SEED_WORDS else w.runs(run)
@@ -204,6 +229,49 @@ def seed_pairs(number: np.ndarray, word: np.ndarray, segment: np.ndarray) -> tup
     return i[j >= 0], j[j >= 0]
 
 
+#: More than any number of words in a text.
+_APART = 1 << 32
+
+
+def _inside(of: np.ndarray, word: np.ndarray, patches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the seeds (text, word; ascending) in segments of the texts' patches, with numbers of the segments and patches."""
+    each = pc.list_flatten(patches)
+    starts, ends = (pc.struct_field(each, name) for name in ("starts", "ends"))
+    text = pc.list_parent_indices(patches).to_numpy().astype(np.int64) * _APART
+    patch = pc.list_parent_indices(starts).to_numpy().astype(np.int64)
+    start, end = (pc.list_flatten(x).to_numpy().astype(np.int64) for x in (starts, ends))
+    edge = np.searchsorted(patch, np.arange(len(each) + 1))
+    place = of * _APART + word
+    first, last = np.searchsorted(place, text + start[edge[:-1]]), np.searchsorted(place, text + end[edge[1:] - 1], "right")
+    n = last - first
+    i = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    mine = np.repeat(np.arange(len(each)), n)
+    segment = np.searchsorted(patch * _APART + start, mine * _APART + word[i], "right") - 1
+    fits = word[i] <= end[segment]
+    return i[fits], segment[fits], mine[fits]
+
+
+def _spans(lists: pa.Array, start: str, end: str, but: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of the spans in the texts' lists, without those marked by `but`."""
+    each = pc.list_flatten(lists)
+    if but:
+        keep = pc.invert(pc.struct_field(each, but))
+        return tuple(x.filter(keep).to_numpy().astype(np.int64) for x in (pc.list_parent_indices(lists), pc.struct_field(each, start), pc.struct_field(each, end)))
+    return tuple(x.to_numpy().astype(np.int64) for x in (pc.list_parent_indices(lists), pc.struct_field(each, start), pc.struct_field(each, end)))
+
+
+def _within(of: np.ndarray, begin: np.ndarray, end: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether words [begin, end) of a text lie within one of its spans."""
+    text, start, stop = spans
+    if not len(text):
+        return np.zeros(len(of), bool)
+    start, stop = text * _APART + start, text * _APART + stop
+    order = np.argsort(start, kind="stable")
+    reach = np.maximum.accumulate(stop[order])
+    last = np.searchsorted(start[order], of * _APART + begin, "right") - 1
+    return (last >= 0) & (reach[last] >= of * _APART + end)
+
+
 class PrefixMax:
     """A Fenwick tree over places 0 to n - 1: the best (value, item) at or before a place."""
 
@@ -275,12 +343,19 @@ def _gap(x: list[bytes], y: list[bytes]) -> int:
     while z < most - a and x[-1 - z] == y[-1 - z]:
         z += 1
     x, y = x[a : len(x) - z], y[a : len(y) - z]
-    row = [0] * (len(y) + 1)
-    for w in x:
-        last = 0
-        for k, v in enumerate(y):
-            last, row[k + 1] = row[k + 1], last + 1 if w == v else max(row[k + 1], row[k])
-    return row[-1] + a + z
+    # a row of the table as bits: a bit is clear where the row goes up by one
+    at: dict[bytes, int] = {}
+    for k, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << k
+    row = full = (1 << len(x)) - 1
+    for w in y:
+        if up := row & at.get(w, 0):
+            row = (row + up | row - up) & full
+    return len(x) - row.bit_count() + a + z
+
+
+#: Steps over unequal words, on either side, in the order in which they are tried: few words first, alike on both sides.
+_STEPS = tuple((a, skip - a) for skip in range(1, 9) for a in sorted(range(max(0, skip - 4), min(4, skip) + 1), key=lambda a, skip=skip: abs(2 * a - skip)))
 
 
 def _outward(x: list[bytes], y: list[bytes]) -> tuple[int, int, int]:
@@ -300,17 +375,14 @@ def _outward(x: list[bytes], y: list[bytes]) -> tuple[int, int, int]:
             best = max(best, (score, i, j, same)) if score > best[0] else best
         else:
             return best[1:]
-        for skip in range(1, 9):
-            for a in sorted(range(max(0, skip - 4), min(4, skip) + 1), key=lambda a: abs(2 * a - skip)):
-                u, v = x[i + a : i + a + 5], y[j + skip - a : j + skip - a + 5]
-                if u and v and u[0] == v[0] and sum(map(bytes.__eq__, u, v)) >= min(3, len(u), len(v)):
+        for a, c in _STEPS:
+            if i + a < len(x) and j + c < len(y) and x[i + a] == y[j + c]:
+                u, v = x[i + a : i + a + 5], y[j + c : j + c + 5]
+                if sum(map(bytes.__eq__, u, v)) >= min(3, len(u), len(v)):
                     break
-            else:
-                continue
-            break
         else:
             return best[1:]
-        i, j = i + a, j + skip - a
+        i, j = i + a, j + c
 
 
 def align(x: list[bytes], y: list[bytes], matches: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
@@ -371,7 +443,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
     # so many parts that the places of one take about 64 MB (24 bytes a seed)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // PART_BYTES + 1)
-    buckets = 4 * parts
+    # packed rows are of some size also where partitions are many and texts few: their number grows with the texts
+    buckets = min(4 * parts, size // BUCKET_BYTES + 1)
     run_words = min_words
 
     def sent(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -409,21 +482,13 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
         def found() -> Iterator[list[np.ndarray]]:
             for b in batches:
                 ids, k = b.column(0).to_numpy(), 0
-                stretches, covers = b.column(2), b.column(3)
                 for part in parcels(b.column(1)):
+                    stretches, covers = (b.column(c).slice(k, len(part)) for c in (2, 3))
                     number, of, word, at, w = seeds_of([t.encode("utf-8", "replace") for t in part], run_words)
-                    inside, wanted = np.zeros(len(of), bool), np.zeros(len(of), bool)
-                    edge = np.searchsorted(of, np.arange(len(part) + 1))
-                    for i in range(len(part)):
-                        mine = slice(edge[i], edge[i + 1])
-                        x = word[mine]
-                        for st in stretches[k + i].as_py():
-                            fits = (x >= st["s"]) & (x + run_words <= min(st["e"] + WINDOW - 1, int(w.n_words[i])))
-                            inside[mine] |= fits
-                            if not st["own"]:
-                                wanted[mine] |= fits
-                        for c in covers[k + i].as_py() or ():
-                            wanted[mine] &= ~((x >= c["start_word"]) & (x + run_words <= c["end_word"]))
+                    end = word + run_words
+                    whole = end <= w.n_words[of]
+                    inside = whole & _within(of, word, end - WINDOW + 1, _spans(stretches, "s", "e"))
+                    wanted = whole & _within(of, word, end - WINDOW + 1, _spans(stretches, "s", "e", "own")) & ~_within(of, word, end, _spans(covers, "start_word", "end_word"))
                     yield [number[inside], ids[k + of[inside]], word[inside].astype(np.int32), at[inside].astype(np.int32), wanted[inside].astype(np.int8)]
                     k += len(part)
 
@@ -435,36 +500,27 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, percent: i
         def found() -> Iterator[list[np.ndarray]]:
             for b in batches:
                 ids, k = b.column(0).to_numpy(), 0
-                patches, covers = b.column(2), b.column(3)
                 for part in parcels(b.column(1)):
+                    patches, covers = (b.column(c).slice(k, len(part)) for c in (2, 3))
                     number, of, word, at, _ = seeds_of([t.encode("utf-8", "replace") for t in part])
-                    edge = np.searchsorted(of, np.arange(len(part) + 1))
-                    for i in range(len(part)):
-                        mine = slice(edge[i], edge[i + 1])
-                        x, n, place = word[mine], number[mine], at[mine]
-                        own = covers[k + i].as_py() or ()
-                        for p in patches[k + i].as_py():
-                            starts, ends = np.array(p["starts"]), np.array(p["ends"])
-                            segment = np.searchsorted(starts, x, "right") - 1
-                            inside = np.flatnonzero((segment >= 0) & (x <= ends[segment]))
-                            u, v = (inside[side] for side in seed_pairs(n[inside], x[inside], segment[inside]))
-                            key = scrambled(n[u].view(np.uint64)) * np.uint64(3) + scrambled(n[v].view(np.uint64))
-                            wanted = np.ones(len(u), bool)
-                            for c in own:
-                                wanted &= ~((x[u] >= c["start_word"]) & (x[v] + SEED_WORDS <= c["end_word"]))
-                            for role, side in enumerate((u, v)):
-                                named = scrambled(key + np.uint64(role)).view(np.int64)
-                                yield [named, np.full(len(side), ids[k + i]), x[side].astype(np.int32), place[side].astype(np.int32), wanted.astype(np.int8)]
+                    i, segment, patch = _inside(of, word, patches)
+                    # the words of different patches are far apart, so that no pair has seeds of two
+                    u, v = (i[side] for side in seed_pairs(number[i], word[i] + patch * _APART, segment))
+                    wanted = ~_within(of[u], word[u], word[v] + SEED_WORDS, _spans(covers, "start_word", "end_word"))
+                    key = scrambled(number[u].view(np.uint64)) * np.uint64(3) + scrambled(number[v].view(np.uint64))
+                    for role, side in enumerate((u, v)):
+                        named = scrambled(key + np.uint64(role)).view(np.int64)
+                        yield [named, ids[k + of[side]], word[side].astype(np.int32), at[side].astype(np.int32), wanted.astype(np.int8)]
                     k += len(part)
 
         yield from in_chunks(found())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, known = _unpacked(batches)
-        for match in (known, _with_first(places)):
-            for k in range(0, len(match[0]), _CHUNK):
-                cut = [x[k : k + _CHUNK] for x in match]
-                yield _packed(1, _bucket(cut[0], buckets), cut)
+        match = [np.concatenate(x) for x in zip(known, _with_first(places), strict=True)]
+        for k in range(0, len(match[0]), _CHUNK):
+            cut = [x[k : k + _CHUNK] for x in match]
+            yield _packed(1, _bucket(cut[0], buckets), cut)
 
     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32())]
     names = ["doc", "partner", "a0", "a1", "b0", "b1", "words", "p_words"]
