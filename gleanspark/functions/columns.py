@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from gleanspark.functions import fixed_values as V
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: All spaces of Unicode (Zs): what trim() takes away in the SQL, where Spark's knows U+0020 only.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """The text without spaces of any width at its ends; tabs and line ends stay."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def java_pattern(pattern: str, flags: str = "") -> str:
@@ -26,7 +33,7 @@ def lookup(key: Column, table: Mapping[str, object], default: object = None) ->
 
 def normalize_url(url: Column) -> Column:
     """Scheme and host lower-cased, an empty path is '/', slashes at a path's end fall; null if there's no scheme."""
-    u = F.trim(url)
+    u = trimmed(url)
     part = lambda k: F.regexp_extract(u, _URL, k)
     path = part(3)
     short = F.when((path == "") | (path == "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
@@ -35,7 +42,7 @@ def normalize_url(url: Column) -> Column:
 
 def validate_url(url: Column) -> Column:
     """The normalized URL, https by default; null unless it is http or https and has a host."""
-    u = F.trim(url)
+    u = trimmed(url)
     full = normalize_url(F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), u).otherwise(F.concat(F.lit("https://"), u)))
     return F.when(full.rlike("^https?://[^/?#]+"), full)
 
@@ -51,7 +58,7 @@ def asset_key(url: Column) -> Column:
 
 def filename(url: Column) -> Column:
     """The path's last part, script.js if it has none."""
-    path = F.regexp_replace(F.regexp_extract(F.trim(url), _URL, 3), "/+$", "")
+    path = F.regexp_replace(F.regexp_extract(trimmed(url), _URL, 3), "/+$", "")
     last = F.element_at(F.split(path, "/"), -1)
     return F.when(F.coalesce(last, F.lit("")) == "", F.lit("script.js")).otherwise(last)
 
@@ -141,7 +148,7 @@ _VERSION = r"^(\d{1,4})(?:\.(\d{1,4}))?(?:\.(\d{1,4}))?(?:-([\w.-]+))?(?:\+([\w.
 
 def normalize_version(raw: Column) -> Column:
     """Without white space, quotes around it and a leading v."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), "^[\"']+|[\"']+$", ""), "^[vV]", ""))
+    return trimmed(F.regexp_replace(F.regexp_replace(trimmed(raw), "^[\"']+|[\"']+$", ""), "^[vV]", ""))
 
 
 def valid_version(raw: Column) -> Column:
