@@ -17,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -29,15 +29,17 @@ from gleanspark.llm.common import few_rows_a_batch, materialize, parcels, prepar
 
 CAPACITY = 2048
 END_ID = 0
-#: A task keeps the ids of words it has met, and of those met before that, each in about so many bytes; longer words are not kept.
-KEPT_BYTES = 16 << 20
-KEPT_WORD_BYTES = 64
+#: A task keeps the ids of parts of words it has met, and of those met before that, each in about so many bytes; longer ones are not kept.
+KEPT_BYTES = 32 << 20
+KEPT_LENGTH = 64
 #: Rows of texts that go to Python at once.
 BATCH_ROWS = 1000
 #: Words that the tokenizer's steps before its merges leave as they are: ASCII but the apostrophe, small Latin-1 letters;
-#: and the parts that its pattern cuts them into.
+#: texts of such words alone; the parts that its pattern cuts them into; words, parted by ASCII white space.
 _PLAIN = re.compile("[!-&(-~ß-öø-ÿ]+")
-_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_TEXT = re.compile("[\\t-\\r -&(-~ß-öø-ÿ]*")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\\t-\\r ]+")
+_WORDS = re.compile("[^\\t-\\r ]+")
 #: The character of the vocabulary for each byte: printable ones themselves, the others by 256 and on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARACTER = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
@@ -59,7 +61,7 @@ class WordIds:
 
     Where the tokenizer drops white space between words and changes nothing across it, a text's ids are those of its
     words, parted by ASCII white space. Plain words are cut into the parts that the tokenizer's pattern makes of them,
-    which go to the library's merges at once; others go through all its steps. Other tokenizers get whole texts.
+    each of which goes to the library's merges once; others go through all its steps. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,66 +75,60 @@ class WordIds:
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         splits = [x for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and [(x["behavior"], x["invert"]) for x in splits] == [("Removed", True)] and "\\s" in splits[0]["pattern"].get("Regex", "")
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.size = 0
 
     def forget(self) -> None:
-        """Drop all words: workers outlive their tasks, and other stages need the memory."""
-        self.known, self.before, self.parts, self.size = {}, {}, {}, 0
-
-    def _plain(self, word: bytes) -> bytes | None:
-        """The ids of a plain word, None if it isn't one."""
-        v = word.decode().lower()
-        if not _PLAIN.fullmatch(v) or "<|" in v:
-            return None
+        """Drop all parts: workers outlive their tasks, and other stages need the memory."""
+        self.known, self.before, self.size = {}, {}, 0
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The parts of a text's plain words, and its other words as they are."""
+        low = text.lower()
+        if _PLAIN_TEXT.fullmatch(low) and "<|" not in low:
+            return _PARTS.findall(low)
         out = []
-        for part in _PARTS.findall(v):
-            ids = self.parts.get(part)
-            if ids is None:
-                told = part if part.isascii() else part.encode().decode("latin-1").translate(_CHARACTER)
-                ids = np.array([t.id for t in self.library.model.tokenize(told)], "<u4").tobytes()
-                if len(part) <= KEPT_WORD_BYTES:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        for word in _WORDS.findall(text.encode("utf-8", "replace").decode()):
+            low = word.lower()
+            if _PLAIN.fullmatch(low) and "<|" not in low:
+                out += _PARTS.findall(low)
+            else:
+                out.append(word)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Add the library's ids of parts and words; those of many are made into one array."""
+        merged = self.library.model.tokenize
+        for k in range(0, len(new), 5000):
+            plain, other = [], []
+            for x in new[k : k + 5000]:
+                (plain if _PLAIN.fullmatch(x) and "<|" not in x else other).append(x)
+            found = [[t.id for t in merged(x if x.isascii() else x.encode().decode("latin-1").translate(_CHARACTER))] for x in plain]
+            found += [e.ids for e in self.library.encode_batch(other, add_special_tokens=False)] if other else []
+            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = list(accumulate(4 * len(ids) for ids in found))
+            self.known.update(zip(plain + other, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        split = []
-        for t in texts:
-            raw = t.encode("utf-8", "replace")
-            # ASCII case means nothing to this tokenizer, but for special strings, and before marks that small letters
-            # alone compose with (those marks start with these bytes): it composes first, and lower-cases then
-            split.append((raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split())
+        cut = [self._cut(t) for t in texts]
         if self.size > KEPT_BYTES:
             self.before, self.known, self.size = self.known, {}, 0
-            self.parts.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        before = self.before
-        self.known.update((w, before[w]) for w in new if w in before)
-        unknown = []
-        for w in new:
-            if w not in before:
-                found_ids = self._plain(w)
-                if found_ids is None:
-                    unknown.append(w)
-                else:
-                    self.known[w] = found_ids
-        for k in range(0, len(unknown), 5000):
-            part = unknown[k : k + 5000]
-            found = self.library.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        met = new.intersection(self.before)
+        self.known.update((x, self.before[x]) for x in met)
+        self._learn(list(new.difference(met)))
         get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for w in new:
-            if len(w) > KEPT_WORD_BYTES:
-                del self.known[w]
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for x in new:
+            if len(x) > KEPT_LENGTH:
+                del self.known[x]
             else:
-                self.size += 200 + len(w)
+                self.size += 200 + len(x)
         return out
 
 
