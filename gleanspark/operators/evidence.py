@@ -9,6 +9,7 @@ from gleanspark.functions import fixed_values as V
 from gleanspark.functions import identities as N
 from gleanspark.functions.columns import clamp, host, java_pattern, lookup, plain_text
 from gleanspark.functions.signatures import SIGNATURES
+from gleanspark.session import literal
 
 MIN_CONFIDENCE = 25.0
 # Evidence types that a rule's target takes.
@@ -79,7 +80,7 @@ def matched_rules(evidence: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The rules are literal conditions of one projection: no join of evidence and rules.
     """
-    about = evidence.sparkSession.createDataFrame([(k, r[0], r[1], r[4]) for k, r in enumerate(rules)], "rule int, technology string, role string, rule_weight double")
+    about = literal(evidence.sparkSession, [(k, r[0], r[1], r[4]) for k, r in enumerate(rules)], "rule int, technology string, role string, rule_weight double")
     hits = F.array_compact(F.array(*[F.when(rule_matches(r[2], r[3], r[5]), F.lit(k)) for k, r in enumerate(rules)]))
     found = readied(evidence).withColumn("_hits", hits).where(F.size("_hits") > 0).withColumn("rule", F.explode("_hits")).drop("_hits")
     base = lookup(F.col("evidence_type"), V.EVIDENCE_WEIGHTS, 20.0)
@@ -123,7 +124,7 @@ def evaluated(found: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def signature_table(spark) -> DataFrame:  # noqa: ANN001
     rows = [(t, len(req), float(m), float(p)) for t, _, p, m, req, _, _, _, _ in SIGNATURES]
-    return spark.createDataFrame(rows, "technology string, n_required int, minimum double, priority double")
+    return literal(spark, rows, "technology string, n_required int, minimum double, priority double")
 
 
 def by_signatures(evidence: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gleanspark.functions import fixed_values as V
 from gleanspark.functions.columns import any_of, clamp, java_pattern, lookup, normalize_version, valid_version
 from gleanspark.functions.fingerprints import FINGERPRINTS
+from gleanspark.session import literal
 
 MIN_SCORE = 45.0
 UNKNOWN = "Unknown"
@@ -106,7 +107,7 @@ def pattern_matches(contexts: DataFrame, patterns: list[Pattern] | None = None)
     """page_id, ctx_id, url, filename, and technology, matcher, pattern, weight, weak, strong, tier of each match."""
     patterns = fingerprint_patterns() if patterns is None else patterns
     rows = [(k, p.technology, p.matcher, p.pattern, p.weight, weak_pattern(p.matcher, p.pattern), strong_pattern(p.matcher, p.pattern), evidence_tier(p.matcher, p.pattern, p.weight)) for k, p in enumerate(patterns)]
-    about = contexts.sparkSession.createDataFrame(rows, "k int, technology string, matcher string, pattern string, weight double, weak boolean, strong boolean, tier string")
+    about = literal(contexts.sparkSession, rows, "k int, technology string, matcher string, pattern string, weight double, weak boolean, strong boolean, tier string")
     hit = F.array_compact(F.array(*[F.when(matches(p), F.lit(k)) for k, p in enumerate(patterns)]))
     found = contexts.withColumn("_hits", hit).where(F.size("_hits") > 0).select("page_id", "ctx_id", "url", "filename", F.explode("_hits").alias("k"))
     return found.join(F.broadcast(about), "k").drop("k")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.columns import asset_key, lookup
 from gleanspark.functions.identities import RELATIONSHIPS
+from gleanspark.session import literal
 
 UNKNOWN = "Unknown"
 
@@ -158,7 +159,7 @@ def technology_entries(matches: DataFrame, records: DataFrame) -> DataFrame:
     counts = said.groupBy(*_KEYS).agg(F.count_distinct(*what).alias("n_records"), F.count_distinct("asset_id").alias("n_assets"))
     entries = per.join(listed, _KEYS, "left").join(counts, _KEYS, "left")
     spark = matches.sparkSession
-    known = spark.createDataFrame([(a.lower(), b.lower()) for a, b, _ in RELATIONSHIPS], "technology_key string, other string")
+    known = literal(spark, [(a.lower(), b.lower()) for a, b, _ in RELATIONSHIPS], "technology_key string, other string")
     ids = entries.select(*_KEYS)
     related = ids.join(F.broadcast(known), "technology_key").join(ids.select("page_id", F.col("technology_key").alias("other")), ["page_id", "other"]).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n_relationships"))
     out = entries.join(related, _KEYS, "left").na.fill(0, ["n_relationships", "n_records", "n_assets"])

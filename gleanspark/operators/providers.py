@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gleanspark.functions.columns import lookup, technology_id, valid_version
 from gleanspark.functions.signatures import SIGNATURES
 from gleanspark.functions.identities import RELATIONSHIPS
+from gleanspark.session import literal
 
 UNKNOWN = "Unknown"
 # What a version's source adds to its score.
@@ -85,7 +86,7 @@ def regression_metrics(samples: DataFrame) -> DataFrame:
 
 def relationships(detections: DataFrame) -> DataFrame:
     """page_id, technology, stands_on, kind: for pairs that are both detected on a page."""
-    known = detections.sparkSession.createDataFrame(RELATIONSHIPS, "technology string, stands_on string, kind string")
+    known = literal(detections.sparkSession, RELATIONSHIPS, "technology string, stands_on string, kind string")
     own = detections.select("page_id", "technology").distinct()
     return own.join(F.broadcast(known), "technology").join(own.withColumnRenamed("technology", "stands_on"), ["page_id", "stands_on"]).select("page_id", "technology", "stands_on", "kind")
 
@@ -101,7 +102,7 @@ def without_conflicts(detections: DataFrame, conflicts: DataFrame, dependencies:
     spark = detections.sparkSession
     no = F.array().cast("array<string>")
     against = conflicts.groupBy("technology").agg(F.collect_set("other").alias("against"), F.max("minimum_score").alias("minimum"))
-    needs = (dependencies or spark.createDataFrame([], "technology string, needs string")).groupBy("technology").agg(F.collect_set("needs").alias("needs"))
+    needs = (dependencies or literal(spark, [], "technology string, needs string")).groupBy("technology").agg(F.collect_set("needs").alias("needs"))
     best = detections.groupBy("page_id", "technology").agg(F.max("confidence").alias("confidence"))
     rows = best.join(against, "technology", "left").join(needs, "technology", "left")
     one = F.struct((-F.col("confidence")).alias("o"), "technology", "confidence", F.coalesce("against", no).alias("against"), F.coalesce("minimum", F.lit(0.0)).alias("minimum"), F.coalesce("needs", no).alias("needs"))
@@ -124,7 +125,7 @@ def with_dependencies(accepted: DataFrame, found: DataFrame, dependencies: DataF
     """
     if dependencies is None:
         rows = [(s[0], n) for s in SIGNATURES for n in s[7]]
-        dependencies = accepted.sparkSession.createDataFrame(rows, "technology string, needs string")
+        dependencies = literal(accepted.sparkSession, rows, "technology string, needs string")
     wanted = accepted.join(F.broadcast(dependencies), "technology").select("page_id", F.col("needs").alias("technology")).distinct()
     columns = ["page_id", "technology", "confidence"]
     back = found.join(wanted, columns[:2], "left_semi").join(accepted, columns[:2], "left_anti")

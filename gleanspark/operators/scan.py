@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanspark.functions.columns import java_pattern
-from gleanspark.session import ship_package
+from gleanspark.session import literal, ship_package
 
 # Subtype, confidence, severity, flags, group, pattern.
 CONTACTS = (
@@ -217,7 +217,7 @@ def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text",
 def contact_hits(texts: DataFrame, text_column: str = "text") -> DataFrame:
     """Contacts and identifiers with their place, confidence and severity."""
     found = scanned(texts, contact_rules(), text_column, margin=30)
-    about = texts.sparkSession.createDataFrame([(c[0], c[1], c[2]) for c in CONTACTS], "rule_id string, confidence double, severity string")
+    about = literal(texts.sparkSession, [(c[0], c[1], c[2]) for c in CONTACTS], "rule_id string, confidence double, severity string")
     return found.join(F.broadcast(about), "rule_id")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanspark.session import literal
+
 Rows = tuple[str, list[tuple]]
 
 FIXTURES: dict[str, Rows] = {
@@ -272,7 +274,7 @@ FIXTURES: dict[str, Rows] = {
 
 def frame(spark: SparkSession, name: str) -> DataFrame:
     schema, rows = FIXTURES[name]
-    return spark.createDataFrame(rows, schema)
+    return literal(spark, rows, schema)
 
 
 _KINDS = {"long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "map<string,string>": "MAP(VARCHAR, VARCHAR)", "array<string>": "VARCHAR[]"}

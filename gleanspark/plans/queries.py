@@ -11,6 +11,7 @@ from gleanspark.functions import columns as C
 from gleanspark.functions import fixed_values as V
 from gleanspark.operators import artifacts, evidence, findings, fingerprint, http, intelligence, javascript, ownership, pages, providers, rules, scan, script_findings, sensitive, styles
 from gleanspark.plans.fixtures import frame
+from gleanspark.session import few_rows_a_batch, stored
 from gleanspark.sources import html, sinks, source_maps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +95,21 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
     return _with_cases(s, "contexts", "page_id", real)
 
 
+#: Pages sent to Python at once where what they show is stored.
+PAGES_A_BATCH = 512
+
+
 def _script_evidence(s: SparkSession, d: str) -> DataFrame:
-    """What the inline scripts of all pages show, as evidence for technologies."""
+    """What the inline scripts of all pages show, as evidence for technologies.
+
+    It is stored, so that pages are parsed once however often it is used, and few at a time: a worker holds no more of
+    a large task than of a small one.
+    """
+    with few_rows_a_batch(s, PAGES_A_BATCH):
+        shown = stored(javascript.script_evidence(_script_texts(s, d)), "script-evidence")
     kind, key = F.col("evidence_type"), F.col("key")
     name = F.when(kind == "runtime_pattern", "runtime_family").when(kind == "bundle_runtime", "bundler").otherwise("technology")
-    return javascript.script_evidence(_script_texts(s, d)).withColumns(
+    return shown.withColumns(
         {
             "page_id": F.floor(F.col("script_id") / SCRIPTS).cast("long"),
             "evidence_id": F.concat_ws(":", F.col("script_id").cast("string"), kind, key),

@@ -6,9 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
@@ -46,6 +51,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Inside, Arrow batches to Python hold n rows at most, so that what a worker holds doesn't grow with its task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _plain(v: object, kind: T.DataType) -> object:
+    """A value as Arrow takes it: structs as dicts, maps as pairs."""
+    if v is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(x, f.dataType) for f, x in zip(kind.fields, v, strict=True)}
+    if isinstance(kind, T.MapType):
+        return [(k, _plain(x, kind.valueType)) for k, x in v.items()]
+    return [_plain(x, kind.elementType) for x in v] if isinstance(kind, T.ArrayType) else v
+
+
+def literal(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of fixed rows, made on the driver: createDataFrame of a list has Python workers copy it on the executors."""
+    kind = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([_plain(r, kind) for r in rows], to_arrow_schema(kind)), kind)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it anywhere."""
     app = spark.sparkContext.applicationId
