@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
+from math import prod
 from re import _constants as K
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +81,8 @@ class Rule:
 
 
 Clauses = list[tuple[str, ...]]
-#: So many texts at most are told apart in one clause.
-MOST_TEXTS = 24
+#: So many texts at most are told apart in one clause, and so many choices from the branches of a pattern.
+MOST_TEXTS, MOST_CHOICES = 24, 8
 
 
 def _finite(op: int, value: object) -> set[str] | None:
@@ -111,6 +114,11 @@ def _all_of(items: Sequence[tuple]) -> set[str] | None:
     return out
 
 
+def _telling(clause: tuple[str, ...]) -> tuple[int, int]:
+    """More for clauses that fewer texts hold."""
+    return min(map(len, clause)), -len(clause)
+
+
 def _clauses(items: Sequence[tuple]) -> Clauses:
     out: Clauses = []
     run = {""}
@@ -133,9 +141,11 @@ def _clauses(items: Sequence[tuple]) -> Clauses:
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and value[0] > 0:
             out += _clauses(value[2])
         elif op is K.BRANCH:
-            best = [max(_clauses(b), key=lambda c: (min(map(len, c)), -len(c)), default=None) for b in value[1]]
-            if None not in best:
-                out.append(tuple(sorted(set().union(*best))))
+            each = [_clauses(b) for b in value[1]]
+            # a match holds what one of the branches needs: with few clauses, any choice of one from each
+            few = prod(map(len, each)) <= MOST_CHOICES
+            best = product(*each) if few else [[max(c, key=_telling, default=None) for c in each]]
+            out += [tuple(sorted(set().union(*b))) for b in best if None not in b]
     ended()
     return out
 
@@ -150,6 +160,60 @@ def folded(text: str) -> str:
     return text.casefold() if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i").casefold()
 
 
+#: Bytes looked at in one step of a sieve, and in texts sieved together; slots that parts of texts are hashed to.
+SIEVE_BYTES, SLOTS = 1 << 18, 1 << 16
+#: Parts with few of these letters are rare in texts.
+COMMON_LETTERS = frozenset("etaoinsrhldcu")
+
+
+def _slots(data: bytes, n: int) -> np.ndarray:
+    """The slot of each part of n bytes, 3 or 4."""
+    x = np.frombuffer(data, np.uint8)
+    size = max(0, len(x) - n + 1)
+    code = x[:size].astype(np.uint32)
+    for i in range(1, n):
+        code |= x[i : i + size].astype(np.uint32) << np.uint32(8 * i)
+    return (code * np.uint32(2654435761)) >> np.uint32(16)
+
+
+def sieve(needs: Sequence[Clauses]) -> Callable[[Sequence[str]], list[list[int]]]:
+    """For folded texts, the rules (by their place in needs) that may match each: no other one does.
+
+    A text is asked once for all rules, for a part of three or four letters of each text of a rule's most telling clause;
+    rules without such a clause may always match. What is asked for by hash may be absent, so needs are still to be tested.
+    """
+    always: set[int] = set()
+    by_slot: dict[int, dict[int, set[int]]] = {3: defaultdict(set), 4: defaultdict(set)}
+    for rule, clauses in enumerate(needs):
+        clause = max(clauses, key=_telling, default=("",))
+        if min(map(len, clause)) < 3:
+            always.add(rule)
+            continue
+        for told in clause:
+            n = min(4, len(told))
+            part = min((told[i : i + n] for i in range(len(told) - n + 1)), key=lambda w: sum(c in COMMON_LETTERS for c in w))
+            by_slot[n][int(_slots(part.encode()[:n], n)[0])].add(rule)
+    tables = {}
+    for n, slots in by_slot.items():
+        tables[n] = np.zeros(SLOTS, bool)
+        tables[n][list(slots)] = True
+
+    def may_match(texts: Sequence[str]) -> list[list[int]]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        data = b"\0".join(raw)
+        found = [set(always) for _ in texts]
+        for at in range(0, len(data), SIEVE_BYTES):
+            for n, table in tables.items():
+                slots = _slots(data[at : at + SIEVE_BYTES + n - 1], n)
+                places = np.flatnonzero(table[slots])
+                for pair in np.unique(np.searchsorted(ends, places + at, "right") * SLOTS + slots[places]).tolist():
+                    found[pair // SLOTS] |= by_slot[n][pair % SLOTS]
+        return [sorted(f) for f in found]
+
+    return may_match
+
+
 def contact_rules() -> list[Rule]:
     return [Rule(c[0], c[5], c[3], c[4], CONTACT_NEEDS.get(c[0], ())) for c in CONTACTS]
 
@@ -172,8 +236,9 @@ HIT = T.StructType(
 )
 
 
-def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str], Clauses]], margin: int = 40) -> Iterator[tuple]:
-    low = folded(text)
+def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str], Clauses]], margin: int = 40, low: str | None = None) -> Iterator[tuple]:
+    """Matches of rules in a text; low: the folded text, if it is at hand."""
+    low = folded(text) if low is None else low
     ends: list[int] | None = None  # places of line ends, looked up by bisection
     for rule, pattern, needs in rules:
         if not all(any(n in low for n in one) for one in needs):
@@ -186,11 +251,31 @@ def hits_of(text: str, rules: Sequence[tuple[Rule, re.Pattern[str], Clauses]], m
             yield rule.rule_id, m.group(rule.group), a, b, line + 1, a - (ends[line - 1] if line else -1), text[max(0, a - margin) : b + margin].strip()
 
 
+def dealt(texts: DataFrame, text_column: str) -> DataFrame:
+    """texts dealt evenly over tasks if they come in fewer files than tasks run at once: a file's rows may all be in one group."""
+    if texts.isStreaming or len(texts.inputFiles()) >= texts.sparkSession.sparkContext.defaultParallelism:
+        return texts
+    return texts.repartition(F.xxhash64(text_column, *(f.name for f in texts.schema if isinstance(f.dataType, T.AtomicType))))
+
+
+def _parcels(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts, nulls as empty, in lists of SIEVE_BYTES characters or little more, each with the place of its first one."""
+    part, size, first = [], 0, 0
+    for i, x in enumerate(texts):
+        part.append(x.as_py() or "")
+        size += len(part[-1]) + 1
+        if size >= SIEVE_BYTES:
+            yield first, part
+            part, size, first = [], 0, i + 1
+    if part:
+        yield first, part
+
+
 def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text", margin: int = 40) -> DataFrame:
     """The other columns of texts, and for each match of any rule its rule_id, value, start, end, line, col, snippet.
 
-    One pass of one function over each text for all rules: no product of texts and rules is made, and nothing is
-    shuffled. Offsets count code points. Null texts have no matches.
+    One pass of one function over each text for all rules: no product of texts and rules is made, and nothing but the
+    texts of few files is shuffled. Offsets count code points. Null texts have no matches.
     """
     ship_package(texts.sparkSession)
     rest = [c for c in texts.columns if c != text_column]
@@ -201,17 +286,20 @@ def scanned(texts: DataFrame, rules: Sequence[Rule], text_column: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled(), n) for r, n in zip(rules, needs, strict=True)]
+        may_match = sieve(needs)
         for b in batches:
             at: list[int] = []
             found: list[tuple] = []
-            for i, t in enumerate(b.column(len(rest))):
-                for h in hits_of(t.as_py() or "", compiled, margin):
-                    at.append(i)
-                    found.append(h)
+            for first, part in _parcels(b.column(len(rest))):
+                low = [folded(t) for t in part]
+                for i, some in enumerate(may_match(low)):
+                    for h in hits_of(part[i], [compiled[k] for k in some], margin, low[i]):
+                        at.append(first + i)
+                        found.append(h)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[: len(rest)]), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], names=[*rest, *HIT.names])
 
-    return texts.select(*rest, text_column).mapInArrow(run, schema)
+    return dealt(texts.select(*rest, text_column), text_column).mapInArrow(run, schema)
 
 
 def contact_hits(texts: DataFrame, text_column: str = "text") -> DataFrame:
