@@ -41,5 +41,5 @@ def test_few_rows_a_batch(spark):
 def test_script_evidence_is_parsed_once(spark):
     d = "/root/testdata/sf0.001"
     assert "MapInArrow" not in _plan(_script_evidence(spark, d))
-    for name in ("signature_detections", "evidence_owners"):
+    for name in ("signature_detections", "evidence_owners", "signature_evaluations"):
         assert "MapInArrow" not in _plan(QUERIES[name](spark, d)), name
