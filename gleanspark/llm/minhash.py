@@ -6,9 +6,11 @@ rank under the k-th shift. Coordinates are banded, and documents that share a ba
 similarity of their whole sets. With 32 bands of 4, a pair at 0.8 escapes all bands with a probability of 5e-8.
 
 Documents with equal sets are one node. In each bucket all are compared with the smallest node. What then is still
-apart within a bucket goes to an exact second look: nodes connected by such buckets form a group, and those outside
-the group's largest component are compared, in packs of bounded size, with the whole group. So each pair that shares
-a band is compared or known to be connected, and no bucket's pairs are ever listed.
+apart within a bucket is compared there by outlines, which bound the similarity from above (outlines.py). Nodes
+connected by pairs that outlines can't tell apart form a group, and those outside the group's largest component are
+compared, in packs of bounded size, with the whole group by their texts. So each pair that shares a band is compared,
+proven to be unlike or known to be connected, and no bucket's pairs are ever listed: a line that many documents share
+fills large buckets and chains them, but their texts are not sent around for it.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.common import few_rows_a_batch, materialize, parcels, prepared, text_of
 from gleanspark.llm.components import components
+from gleanspark.llm.outlines import Outlines, outline
 from gleanspark.llm.shingles import scrambled, shingle_sets
 
 BANDS, BAND_ROWS = 32, 4
 #: Ids up to this many may be broadcast to pick their texts; beyond it a shuffle does so.
 BROADCAST_IDS = 1_000_000
-#: Texts in a pack of the second look.
-FEW, MANY = 32, 128
+#: Characters of texts in a pack of the second look, and bytes of outlines in one: about so many, one node at least.
+FEW, MANY = 250_000, 1_000_000
+FEW_BYTES, MANY_BYTES = 125_000, 500_000
 
 
 def ranks(places: np.ndarray, shift: int, out: np.ndarray) -> np.ndarray:
@@ -137,30 +141,94 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     placed = materialize(shared.join(roots, "id", "left").select("bucket", "id", "hub", F.coalesce("root", "id").alias("root")), "minhash-placed")
     mixed = materialize(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "minhash-mixed")
     if not mixed.isEmpty():
-        apart = materialize(placed.join(mixed, "bucket").select("id", "hub", "root").distinct(), "minhash-apart")
-        groups = components(apart.select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "g")
-        nodes = materialize(apart.select("id", "root").distinct().join(groups, "id"), "minhash-nodes")
-        more = _second_look(nodes, texts, width, percent)
-        top = components(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
-        roots = materialize(roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))), "minhash-roots")
-        roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        # all have been compared with the hub
+        apart = materialize(placed.join(mixed, "bucket").where("id <> hub").select("bucket", "id", "root"), "minhash-apart")
+        near = _not_unlike(apart, texts, few, width, percent)
+        if not near.isEmpty():
+            groups = components(near).withColumnRenamed("root", "g")
+            nodes = materialize(apart.select("id", "root").distinct().join(groups, "id"), "minhash-nodes")
+            more = _second_look(nodes, _texts_of(nodes, texts, few), width, percent)
+            top = components(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
+            roots = materialize(roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))), "minhash-roots")
+            roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     by_class = materialize(classes.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root")), "minhash-by-class")
     out = signed.join(by_class, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _second_look(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """nodes: id, root, g. Links a, b between roots of the same g that a pair of their nodes proves."""
-    per_root = nodes.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
-    sizes = per_root.groupBy("g").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
-    sizes = materialize(sizes.select("g", "main", F.ceil(F.col("n") / MANY).cast("int").alias("many"), F.ceil((F.col("n") - F.col("most")) / FEW).cast("int").alias("few")).where("few > 0"), "minhash-sizes")
-    placed = materialize(nodes.join(sizes, "g"), "minhash-sized")
-    told = placed.join(texts.withColumnRenamed("doc_id", "id"), "id")
-    node = F.struct("id", "root", "text")
+def _texts_of(nodes: DataFrame, texts: DataFrame, few: bool) -> DataFrame:
+    """id, text of the nodes. few: their ids may be broadcast."""
+    ids = nodes.select(F.col("id").alias("doc_id")).distinct()
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+
+
+def _packed(nodes: DataFrame, by: str, told: list[str], few: int, many: int, label: str) -> DataFrame:
+    """nodes: by, id, root, weight and what is told of them. some, whole: packs that bring all nodes outside a key's
+    heaviest root together with all of that key; few and many: the packs' weights, about."""
+    per_root = nodes.groupBy(by, "root").agg(F.sum("weight").alias("n"))
+    sizes = per_root.groupBy(by).agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
+    sizes = materialize(sizes.select(by, "main", F.ceil(F.col("n") / many).cast("int").alias("many"), F.ceil((F.col("n") - F.col("most")) / few).cast("int").alias("few")).where("few > 0"), label)
+    placed = nodes.join(sizes, by)
+    node = F.struct("id", "root", *told)
     pack = F.xxhash64("id")
-    many = told.groupBy("g", F.pmod(pack, F.col("many")).alias("m")).agg(F.collect_list(node).alias("all"))
-    few = told.where("root <> main").groupBy("g", F.pmod(pack, F.col("few")).alias("f"), "many").agg(F.collect_list(node).alias("some"))
-    few = few.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1))).drop("many")
+    whole = placed.groupBy(by, F.pmod(pack, F.col("many")).alias("m")).agg(F.collect_list(node).alias("whole"))
+    some = placed.where("root <> main").groupBy(by, F.pmod(pack, F.col("few")).alias("f"), "many").agg(F.collect_list(node).alias("some"))
+    some = some.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1))).drop("many")
+    return some.join(whole, [by, "m"]).select("some", "whole")
+
+
+def _not_unlike(apart: DataFrame, texts: DataFrame, few: bool, width: int, percent: int) -> DataFrame:
+    """apart: bucket, id, root. Links a, b that connect all pairs of a bucket, of two roots, whose outlines leave it open whether they are alike."""
+
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, told = [], []
+            for part in parcels(b.column(1)):
+                for s in shingle_sets([_raw(t) for t in part], width):
+                    sizes.append(len(s))
+                    told.append(outline(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(told, pa.binary())], names=["id", "size", "outline"])
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, up = [], []
+            x, y = (_columns(c) for c in b.columns[:2])
+            for k in range(b.num_rows):
+                x_id, x_root, x_size, x_told = (c[x[0][k] : x[0][k + 1]] for c in x[1:])
+                y_id, y_root, y_size, y_told = (c[y[0][k] : y[0][k + 1]] for c in y[1:])
+                ids = np.unique(np.concatenate([x_id, y_id]))
+                x_at, y_at = np.searchsorted(ids, x_id), np.searchsorted(ids, y_id)
+                label = np.arange(len(ids))
+                all_y = Outlines(y_size, y_told)
+                for i in range(len(x_id)):
+                    near = all_y.near(int(x_size[i]), x_told[i], percent)
+                    near = near[y_root[near] != x_root[i]]
+                    if len(near):
+                        met = np.unique(label[np.append(y_at[near], x_at[i])])
+                        if len(met) > 1:
+                            label[np.isin(label, met)] = met[0]
+                moved = np.flatnonzero(label != np.arange(len(ids)))
+                a.append(ids[moved])
+                up.append(ids[label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a, up)], names=["a", "b"])
+
+    with few_rows_a_batch(apart.sparkSession, 500):
+        outlines = _texts_of(apart, texts, few).mapInArrow(outlined, "id long, size long, outline binary").where("size > 0")
+        outlines = materialize(outlines.distinct().withColumn("weight", F.length("outline") + 40), "minhash-outlines")
+        packs = _packed(apart.join(outlines, "id"), "bucket", ["size", "outline"], FEW_BYTES, MANY_BYTES, "minhash-bucket-sizes")
+        return materialize(packs.mapInArrow(connect, "a long, b long").distinct(), "minhash-near")
+
+
+def _columns(lists: pa.ListArray) -> list:
+    """Where each row's nodes begin, and their ids, roots, sizes and outlines."""
+    ids, roots, sizes, told = lists.flatten().flatten()
+    return [np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), ids.to_numpy(), roots.to_numpy(), sizes.to_numpy(), told.to_pylist()]
+
+
+def _second_look(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """nodes: id, root, g; texts: id, text. Links a, b between roots of the same g that a pair of their nodes proves."""
+    told = texts.withColumn("weight", F.length("text") + 1)
+    packs = _packed(nodes.join(told, "id"), "g", ["text"], FEW, MANY, "minhash-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,4 +251,4 @@ def _second_look(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     with few_rows_a_batch(nodes.sparkSession, 4):
-        return materialize(few.join(many, ["g", "m"]).select("some", "all").mapInArrow(compare, "a long, b long").distinct(), "minhash-more")
+        return materialize(packs.mapInArrow(compare, "a long, b long").distinct(), "minhash-more")
