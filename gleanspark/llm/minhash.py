@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
 
     Links join documents whose sets of `width`-word shingles (A-Z lower-cased) have a Jaccard similarity of `percent`
     / 100 or more. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are
-    one document that links with what any of its texts does. A row without an id links with nothing: component_id is
+    one document, of one component, that links with what any of its texts does. A row without an id links with nothing: component_id is
     null and it is kept. An empty table gives no rows; other columns are not looked at.
     """
     prepared(docs.sparkSession)
@@ -135,6 +135,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     of_both = of_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     with few_rows_a_batch(docs.sparkSession, 500):
         links = materialize(of_both.select("a", "b", "a_text", "b_text").mapInArrow(confirm, "a long, b long"), "minhash-links")
+    twice = materialize(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash-twice")
+    again = not twice.isEmpty()
+    if again:  # the classes of a document's texts
+        own = materialize(signed.join(twice, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id").distinct(), "minhash-own")
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     roots = components(links)
 
     # buckets that still hold two components
@@ -152,7 +157,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
             roots = materialize(roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))), "minhash-roots")
             roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     by_class = materialize(classes.select("key", "id").join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("root")), "minhash-by-class")
-    out = signed.join(by_class, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
+    out = signed.join(by_class, "key", "left")
+    if again:  # and those of its texts that have none
+        by_id = own.join(roots, "id").groupBy("doc_id").agg(F.min("root").alias("own_root"))
+        out = out.join(by_id, "doc_id", "left").withColumn("root", F.coalesce("root", "own_root"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

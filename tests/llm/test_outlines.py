@@ -49,3 +49,22 @@ def test_small_packs_give_the_same(spark, monkeypatch):
     texts = corpus(5)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(documents(spark, texts), width=5).collect()}
     assert got == plain(texts, 5)
+
+
+def test_texts_of_a_repeated_id_are_one_document(spark):
+    for seed in (7, 8):
+        texts = corpus(seed) + ["", " ", None]
+        r = random.Random(seed)
+        ids = [r.randrange(2 * len(texts) // 3) for _ in texts]
+        up = {i: i for i in ids}
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for k, (_, first) in plain(texts, 5).items():
+            x, y = sorted((root(ids[k]), root(ids[first])))
+            up[y] = x
+        rows = minhash.near_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), width=5).collect()
+        assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in rows) == sorted((i, root(i), i == root(i)) for i in ids)
