@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     of_both = of_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     with few_rows_a_batch(docs.sparkSession, 500):
         links = materialize(of_both.select("a", "b", "a_text", "b_text").mapInArrow(confirm, "a long, b long"), "minhash-links")
-    twice = materialize(signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "minhash-twice")
+    twice = signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = not twice.isEmpty()
     if again:  # the classes of a document's texts
         own = materialize(signed.join(twice, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id").distinct(), "minhash-own")
@@ -148,11 +148,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     if not mixed.isEmpty():
         # all have been compared with the hub
         apart = materialize(placed.join(mixed, "bucket").where("id <> hub").select("bucket", "id", "root"), "minhash-apart")
-        near = _not_unlike(apart, texts, few, width, percent)
+        near = _not_unlike(apart, texts, width, percent)
         if not near.isEmpty():
             groups = components(near).withColumnRenamed("root", "g")
             nodes = materialize(apart.select("id", "root").distinct().join(groups, "id"), "minhash-nodes")
-            more = _second_look(nodes, _texts_of(nodes, texts, few), width, percent)
+            more = _second_look(nodes, texts, width, percent)
             top = components(more).select(F.col("id").alias("root"), F.col("root").alias("top"))
             roots = materialize(roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))), "minhash-roots")
             roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
@@ -165,12 +165,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _texts_of(nodes: DataFrame, texts: DataFrame, few: bool) -> DataFrame:
-    """id, text of the nodes. few: their ids may be broadcast."""
-    ids = nodes.select(F.col("id").alias("doc_id")).distinct()
-    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-
-
 def _packed(nodes: DataFrame, by: str, told: list[str], few: int, many: int, label: str) -> DataFrame:
     """nodes: by, id, root, weight and what is told of them. some, whole: packs that bring all nodes outside a key's
     heaviest root together with all of that key; few and many: the packs' weights, about."""
@@ -186,7 +180,7 @@ def _packed(nodes: DataFrame, by: str, told: list[str], few: int, many: int, lab
     return some.join(whole, [by, "m"]).select("some", "whole")
 
 
-def _not_unlike(apart: DataFrame, texts: DataFrame, few: bool, width: int, percent: int) -> DataFrame:
+def _not_unlike(apart: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """apart: bucket, id, root. Links a, b that connect all pairs of a bucket, of two roots, whose outlines leave it open whether they are alike."""
 
     def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +216,8 @@ def _not_unlike(apart: DataFrame, texts: DataFrame, few: bool, width: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (a, up)], names=["a", "b"])
 
     with few_rows_a_batch(apart.sparkSession, 500):
-        outlines = _texts_of(apart, texts, few).mapInArrow(outlined, "id long, size long, outline binary").where("size > 0")
-        outlines = materialize(outlines.distinct().withColumn("weight", F.length("outline") + 40), "minhash-outlines")
+        outlines = texts.mapInArrow(outlined, "id long, size long, outline binary").where("size > 0")
+        outlines = materialize(outlines.withColumn("weight", F.length("outline") + 40), "minhash-outlines")
         packs = _packed(apart.join(outlines, "id"), "bucket", ["size", "outline"], FEW_BYTES, MANY_BYTES, "minhash-bucket-sizes")
         return materialize(packs.mapInArrow(connect, "a long, b long").distinct(), "minhash-near")
 
@@ -235,8 +229,8 @@ def _columns(lists: pa.ListArray) -> list:
 
 
 def _second_look(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """nodes: id, root, g; texts: id, text. Links a, b between roots of the same g that a pair of their nodes proves."""
-    told = texts.withColumn("weight", F.length("text") + 1)
+    """nodes: id, root, g. Links a, b between roots of the same g that a pair of their nodes proves."""
+    told = texts.select(F.col("doc_id").alias("id"), "text", (F.length("text") + 1).alias("weight"))
     packs = _packed(nodes.join(told, "id"), "g", ["text"], FEW, MANY, "minhash-sizes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
